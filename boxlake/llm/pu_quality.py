@@ -71,16 +71,14 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     """Share of positives in u: the least ratio of the shares of u and of p above a threshold of a p-against-u score.
 
-    The score is fitted on one half and the ratio taken on the other; a threshold counts if a tenth of p is above it.
+    The score is fitted on one half and the ratio taken on the other; a threshold counts if three tenths of p are above it.
     """
     fit = fit_logistic(np.r_[p[::2], u[::2]], np.r_[np.ones(len(p[::2])), np.zeros(len(u[::2]))], ridge=5.0)
     sp, su = p[1::2] @ fit[:-1], u[1::2] @ fit[:-1]
     best = 1.0
-    for t in np.unique(np.quantile(sp, np.linspace(0.02, 0.9, 45))):
-        a, b = (sp >= t).mean(), (su >= t).mean()
-        slack = math.sqrt(math.log(40) / 2) * (1 / math.sqrt(len(sp)) + 1 / math.sqrt(len(su)))
-        if a >= 0.1:
-            best = min(best, (b + slack) / a)
+    for t in np.unique(np.quantile(sp, np.linspace(0.02, 0.7, 35))):
+        if (a := (sp >= t).mean()) >= 0.3:
+            best = min(best, (su >= t).mean() / a)
     return float(min(max(best, 0.02), 0.98))
 
 
