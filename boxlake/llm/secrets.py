@@ -160,7 +160,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = BASE) ->
     found = joined.select("doc_id", F.sort_array(F.flatten(F.filter(F.array(*of), lambda x: x.isNotNull()))).alias("all"))
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     text_of = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.element_at(kinds, x["k"] + 1), F.lit(":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",")
-    count = [F.size(F.filter("all", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])]
+    number = lambda i: F.size(F.filter("all", lambda x: x["k"] == i)).cast("long")
+    count = [number(i).alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])]
     return found.select("doc_id", *count, F.sha2(text_of(F.filter("all", lambda x: x["k"] < base)), 256).alias("base_sha256"), text_of(F.col("all")).alias("spans"))
 
 
