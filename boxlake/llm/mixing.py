@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import WORD, documents, join_keyed, stored
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 20
+#: Hex digits of the SHA-256 of seed and doc_id that make a draw; 52 bits are exact in a double.
+DIGITS = 13
 #: A key for every source, null included, that joins as text.
 _KEY = "coalesce(concat('s', source), 'null')"
 
@@ -48,7 +50,8 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     targets = stored(source_targets(sums, weights, most).select(F.expr(_KEY).alias("_source"), "source_size", "target"), "source-targets")
     rows = join_keyed(own, targets, "_source", F.col("doc_id")).withColumn("size", size_of(F.col("text")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), F.col("doc_id")), 11) / F.lit(float(1 << 53))
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
+    draw = F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
     copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
     return rows.withColumn("copies", copies.cast("long")).drop("_source")
 
@@ -61,3 +64,17 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+#: The same in DuckDB.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce('s' || source, 'null') AS k, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+s AS (SELECT k, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY k),
+o AS (SELECT *, CAST({list(WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS DOUBLE) AS weight, {MOST} * CAST(source_size AS DOUBLE) AS cap FROM s),
+l AS (SELECT *, greatest(sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER w, 0), 0) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM o WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT k, source_size, least(cap, max(level) OVER () * weight) AS target FROM l),
+j AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+  CAST(CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, {DIGITS}) AS BIGINT) AS DOUBLE) / CAST({16**DIGITS} AS DOUBLE) AS draw FROM d JOIN t USING (k))
+SELECT doc_id, size, source_size, target, CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) * size AS taken FROM j
+"""

@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and DuckDB SQL for those that SQL can express on whole tables."""
 
-from . import exact, secrets
+from . import exact, mixing, secrets, substrings, warc
 from .exact import op10_exact_dedup
 from .mixing import op7_mixing
 from .pieces import op6_sentencepiece
@@ -21,4 +21,4 @@ def _pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_secrets, op4_quality_rules, op5_pu_quality, op6_sentencepiece, op7_mixing, op8_substring_dedup, op9_toxicity, op10_exact_dedup)} | {"pipeline": _pipeline}
 
-ORACLE = {"op10_exact_dedup": exact.ORACLE, "op3_secrets": secrets.oracle()}
+ORACLE = {"op2_warc": warc.ORACLE, "op3_secrets": secrets.oracle(), "op7_mixing": mixing.ORACLE, "op8_substring_dedup": substrings.ORACLE, "op10_exact_dedup": exact.ORACLE}

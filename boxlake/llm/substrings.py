@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, join_keyed, map_batches, stored
+from .common import WORD, as_bytes, documents, join_keyed, map_batches, stored
 
 WIDTH, GRAM = 35, 4
 #: Words of the passages that one index holds, and passages of one gram beyond which windows are counted one by one.
@@ -318,3 +318,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, shard_words: int = SHARD
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
+
+
+#: The same in DuckDB: every window is spelt out and counted.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+u AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT r, i, word, string_agg(word, ' ') OVER f AS window_words, count(*) OVER f AS n FROM u WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WIDTH - 1} FOLLOWING)),
+m AS (SELECT window_words FROM s WHERE n = {WIDTH} GROUP BY window_words HAVING count(*) > 1),
+b AS (SELECT s.r, s.i, s.word, m.window_words IS NOT NULL AS starts FROM s LEFT JOIN m ON s.n = {WIDTH} AND s.window_words = m.window_words),
+c AS (SELECT r, i, word, bool_or(starts) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WIDTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM b),
+g AS (SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM c GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (r)
+"""

@@ -153,3 +153,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "archives")
     index = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The same in DuckDB, without archives: five hex digits of a SHA-1 are four of base32.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+q AS (SELECT page_id, payload, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS least FROM p),
+r AS (SELECT page_id, payload, CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to, list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT)) AS twenty FROM q)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(flatten(list_transform(twenty, lambda v: [v // 32768, v // 1024 % 32, v // 32 % 32, v % 32])), lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(d + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""

@@ -44,6 +44,21 @@ def key(rows):
     return sorted(map(repr, (tuple(r) for r in rows)))
 
 
+def by_sql(sql, **tables):
+    """Rows of the SQL over these tables, in the order of its columns."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(name, df.toArrow())
+    return con.sql(sql)
+
+
+def same_as_sql(found, sql, **tables):
+    theirs = by_sql(sql, **tables)
+    assert found.columns == theirs.columns and key(found.collect()) == key(theirs.fetchall())
+
+
 def brute_components(prints, limit):
     ids = sorted(prints)
     root = {f: f for f in ids}
@@ -114,6 +129,7 @@ def test_warc(spark):
         to = None if to == i else to
         expected.append((i, len(p), warc._digest(p), "response" if to is None else "revisit", to))
     assert key(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == key(expected)
+    same_as_sql(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), warc.ORACLE, pages=pages)
     one = warc.read_records(index.where("page_id = 4"), folder).collect()
     assert [bytes(r.payload).decode() for r in one] == ["é😀"]
     with pytest.raises(Exception, match="damaged"):
@@ -193,6 +209,7 @@ def test_mixing(spark, docs, none):
         rate = r.target / r.source_size if r.source_size else 0
         assert int(rate) <= r.copies <= int(rate) + 1
     assert key(found) == key(mixing.mixing_plan(docs.repartition(3)).collect())
+    same_as_sql(mixing.mixing_plan(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")), mixing.ORACLE, documents=docs)
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs).count() == sum(r.copies for r in found) and mixing.mixing_plan(none).count() == 0
 
 
@@ -206,6 +223,7 @@ def test_substrings(spark, docs, none, hot):
         expected.append((d, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
     assert key(substrings.remove_repeats(docs, hot=hot, shard_words=500).collect()) == key(expected)
     if hot == 1:
+        same_as_sql(substrings.remove_repeats(docs), substrings.ORACLE, documents=docs)
         assert substrings.remove_repeats(none).count() == 0
 
 
