@@ -217,39 +217,36 @@ def _places(open_: DataFrame, width: int) -> DataFrame:
     return map_batches(open_.select("doc_id", "k", "words", "grams"), "doc_id long, k long, at int, gram long, pid long", make)
 
 
-def _search(width: int, shard_words: int, hot: int):
-    """For mapInArrow over passages sorted by gram: offsets of repeated windows; of a gram of over hot passages, only the gram."""
-    schema = pa.schema([("gram", pa.int64()), ("pid", pa.int64()), ("starts", pa.list_(pa.int32())), ("hot", pa.bool_())])
-
-    def rows(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)], schema=schema)
+def _search(width: int, shard_words: int):
+    """For mapInArrow over passages sorted by gram: offsets of repeated windows. A shard ends where a gram does."""
+    schema = pa.schema([("gram", pa.int64()), ("pid", pa.int64()), ("starts", pa.list_(pa.int32()))])
 
     def search(shard: list[tuple[int, bytes, list[bytes], int]]) -> pa.RecordBatch:
         found = repeated_starts([(w, n) for _, _, w, n in shard], width) if shard else []
-        return rows([(g, _pid(p), s, False) for (g, p, _, _), s in zip(shard, found, strict=True) if s])
+        rows = [(g, _pid(p), s) for (g, p, _, _), s in zip(shard, found, strict=True) if s]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     def run(batches):
-        shard, group, gram, over, words = [], [], None, False, 0
+        shard, gram, words = [], None, 0
         for batch in batches:
             for g, p, n in zip(*(batch.column(c).to_pylist() for c in ("gram", "passage", "n")), strict=True):
-                if g != gram:
-                    shard += group
-                    words += sum(len(x[2]) for x in group)
-                    group, gram, over = [], g, False
-                    if words >= shard_words:
-                        yield search(shard)
-                        shard, words = [], 0
-                if over:
-                    continue
-                group.append((g, p, p.split(), n))
-                if len(group) > hot:  # no more of it is gathered
-                    group, over = [], True
-                    yield rows([(g, None, None, True)])
-        yield search(shard + group)
+                if g != gram and words >= shard_words:
+                    yield search(shard)
+                    shard, words = [], 0
+                gram, w = g, p.split()
+                shard.append((g, p, w, n))
+                words += len(w)
+        yield search(shard)
 
     return run
 
 
+def _hot_grams(passages: DataFrame, shared: DataFrame, hot: int) -> DataFrame:
+    """Grams of over hot passages. A gram has no more passages than occurrences, so just those of over hot are counted."""
+    busy = shared.where(F.col("n") > hot).select("gram")
+    return join_keyed(passages, busy, "gram", F.xxhash64("passage")).groupBy("gram").count().where(F.col("count") > hot).select("gram")
+
+
 def _hot_windows(passages: DataFrame, width: int) -> DataFrame:
     """Windows of passages, each by a 128-bit digest."""
 
@@ -297,15 +294,18 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, shard_words: int = SHARD
     places. A null doc_id is fine; other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    shared = stored(_gram_counts(docs, width).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "shared-grams")
-    lists = stored(_document_grams(docs, width).join(shared, "gram").groupBy("k").agg(F.collect_set("gram").alias("grams")), "document-grams")
+    shared = stored(_gram_counts(docs, width).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1"), "shared-grams")
+    lists = stored(_document_grams(docs, width).join(shared.select("gram"), "gram").groupBy("k").agg(F.collect_set("gram").alias("grams")), "document-grams")
     state = stored(_settled(docs.withColumn("k", _key()).join(lists, "k", "left").select("doc_id", "k", "text", "grams"), width), "texts")
     open_ = state.where("words is not null")
     passages = stored(_distinct_passages(open_, width), "passages")
-    dealt = passages.repartition("gram").sortWithinPartitions("gram")
-    found = stored(dealt.mapInArrow(_search(width, shard_words, hot), "gram long, pid long, starts array<int>, hot boolean"), "found", 2048)
-    marks, over = found.where("not hot").select("gram", "pid", "starts"), found.where("hot").select("gram").distinct()
-    if not over.isEmpty():
+    over = stored(_hot_grams(passages, shared, hot), "hot-grams")
+    any_hot = not over.isEmpty()
+    # Passages of a hot gram would all come to one task: they are taken out before grams are dealt.
+    rest = join_keyed(passages, over.withColumn("_over", F.lit(True)), "gram", F.xxhash64("passage"), "left").where("_over is null").drop("_over") if any_hot else passages
+    dealt = rest.repartition("gram").sortWithinPartitions("gram")
+    marks = stored(dealt.mapInArrow(_search(width, shard_words), "gram long, pid long, starts array<int>"), "found", 2048)
+    if any_hot:
         windows = stored(_hot_windows(join_keyed(passages, over, "gram", F.xxhash64("passage")), width), "hot-windows")
         twice = stored(windows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b"), "hot-repeats")
         marks = marks.union(windows.join(twice, ["a", "b"]).groupBy("gram", "pid").agg(F.array_sort(F.collect_list("at")).alias("starts")))
