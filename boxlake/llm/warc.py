@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ from .common import new_path, pa_schema, stored
 
 #: Bytes after which a task begins a new archive; the widest gap that a read goes over; bytes of a read (one record at least).
 ARCHIVE, GAP, READ = 64 << 20, 64 << 10, 4 << 20
+#: Bytes of records that a reading task is dealt, about.
+TASK = 128 << 20
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -145,8 +148,11 @@ def read_records(index: DataFrame, folder: str, gap: int = GAP, most: int = READ
                         found = [parse_record(data[o - a : o - a + n]) for o, n in members]
                         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], schema.field(n).type) for i, n in enumerate(names)], schema=schema)
 
-    # Whole archives are dealt out; within a task rows come by archive and offset.
-    return index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(run, RECORD)
+    # Whole archives are dealt out; within a task rows come by archive and offset. Tasks are counted by the bytes to be
+    # read: left to the size of the index rows, which are tiny, adaptive execution would make one task of many archives.
+    archives, size = index.agg(F.count_distinct("archive"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(math.ceil(size / TASK), min(archives, index.sparkSession.sparkContext.defaultParallelism), 1)
+    return index.select("archive", "offset", "length").repartition(tasks, "archive").sortWithinPartitions("archive", "offset").mapInArrow(run, RECORD)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
