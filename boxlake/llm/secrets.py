@@ -132,15 +132,18 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
 
 
 def spans(text: str, rule: Rule, order: int) -> Column:
-    """array of (s, k, e): code points of the rule's matches in the column, found by the lengths of what lies between them."""
+    """array of (s, k, e): code points of the rule's matches in the column, found by the lengths of what lies between them.
+
+    The regex goes over a text three times, however many matches it has: what lies between them, the matches and the group
+    are zipped once. What follows the last match has no match beside it and is filtered out.
+    """
     rx = rule.regex.replace("\\", "\\\\").replace("'", "\\'")
     sql = f"""
-      filter(aggregate(sequence(0, size(_m) - 1),
+      filter(aggregate(arrays_zip(split({text}, '{rx}', -1), regexp_extract_all({text}, '{rx}', 0), regexp_extract_all({text}, '{rx}', {rule.group})),
         named_struct('at', 0, 'out', cast(array() as array<struct<s:int,k:int,e:int,n:int>>)),
-        (acc, i) -> named_struct('at', acc.at + length(_p[i]) + length(_m[i]), 'out', array_append(acc.out,
-          named_struct('s', acc.at + length(_p[i]), 'k', {order}, 'e', acc.at + length(_p[i]) + length(_m[i]), 'n', length(_g[i])))),
+        (acc, x) -> named_struct('at', acc.at + length(x.`0`) + length(x.`1`), 'out', array_append(acc.out,
+          named_struct('s', acc.at + length(x.`0`), 'k', {order}, 'e', acc.at + length(x.`0`) + length(x.`1`), 'n', length(x.`2`)))),
         acc -> acc.out), x -> x.n >= {rule.least})"""
-    sql = sql.replace("_m", f"regexp_extract_all({text}, '{rx}', 0)").replace("_g", f"regexp_extract_all({text}, '{rx}', {rule.group})").replace("_p", f"split({text}, '{rx}', -1)")
     return F.when(F.col(text).rlike(rule.regex), F.expr(sql))
 
 
