@@ -43,15 +43,18 @@ def dataset_summary(resolved: DataFrame) -> DataFrame:
     )
 
 
-def manifest(resolved: DataFrame, sentences: DataFrame, dataset: str, namespace: str = "", prefix: str = "") -> DataFrame:
-    """One row for each kept sentence: sentences(ref_pos, sent_id, sent, raw); image file names in column file_name."""
+def manifest(resolved: DataFrame, sentences: DataFrame, dataset: str, namespace: str = "", prefix: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each kept sentence: sentences(ref_pos, sent_id, sent, raw); image file names in column file_name.
+
+    keep names columns of resolved that are wanted besides.
+    """
     kept = resolved.where("reject_reason is null")
     box = g.xywh_normalized(*map(F.col, ("x", "y", "w", "h", "width", "height")))
     rows = kept.join(sentences, "ref_pos").withColumn("query", t.query_text(F.col("sent"), F.col("raw"))).where("query <> ''")
     return rows.select(
         F.lit(1).alias("schema_version"), F.lit(dataset).alias("dataset"), t.record_id(F.lit(dataset), F.col("sent_id")).alias("query_id"), t.image_key(F.lit(namespace), F.lit(dataset), F.col("image_id")).alias("image_key"),
         "image_id", "ref_id", "ann_ids", F.size("ann_ids").alias("target_count"), "query", "source_split", t.join_prefix(F.lit(prefix), t.posix(F.col("file_name"))).alias("image_relpath"), "width", "height",
-        F.array("x", "y", "w", "h").alias("bbox_xywh_pixels"), g.to_array(box).alias("bbox_xyxy_normalized"),
+        F.array("x", "y", "w", "h").alias("bbox_xywh_pixels"), g.to_array(box).alias("bbox_xyxy_normalized"), *keep,
     )
 
 
@@ -61,6 +64,19 @@ def with_existence(rows: DataFrame, listing: DataFrame, path: str, name: str) ->
     return rows.join(known, path, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+def with_files(rows: DataFrame, listing: DataFrame, depth_prefix: str | None = None) -> DataFrame:
+    """Rows of manifest(keep=("depth_file_name", ...)) with image_exists, depth_relpath and depth_exists.
+
+    depth_exists is null where a row has no depth image or depth_prefix is None: then there is none to miss.
+    """
+    out = with_existence(rows, listing, "image_relpath", "image_exists")
+    depth = t.join_prefix(F.lit(depth_prefix or ""), t.posix(F.nullif(F.col("depth_file_name"), F.lit(""))))
+    known = listing.select(F.col("path").alias("depth_relpath"), F.lit(True).alias("_depth")).distinct()
+    out = out.withColumn("depth_relpath", depth).join(known, "depth_relpath", "left")
+    has = F.col("depth_relpath").isNotNull() & F.lit(depth_prefix is not None)
+    return out.withColumn("depth_exists", F.when(has, F.coalesce("_depth", F.lit(False)))).drop("_depth", "depth_file_name")
+
+
 def first_distinct(rows: DataFrame, key: str, position: str, n: int) -> DataFrame:
     """The first row of each key by position, of these the first n, numbered from 1 in column preview. Filter rows before."""
     first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(position))).where("_k = 1").drop("_k")

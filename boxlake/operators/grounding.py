@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..errors import BoxError, OutputError
+from .pictures import size
 
 OUT = "query_id string, raw_output string, boxes array<array<double>>, labels array<string>, error string, latency_ms double"
+SIZED = OUT + ", width int, height int"
 
 
 class Grounder(Protocol):
@@ -31,12 +33,14 @@ class FixedGrounder:
         return {"raw_output": query, "boxes": self.boxes, "labels": self.labels}
 
 
-def run(rows: DataFrame, make: Callable[[], Grounder]) -> DataFrame:
-    """OUT of rows(query_id, query, content). make() is called once a task, where a model is loaded.
+def run(rows: DataFrame, make: Callable[[], Grounder], sizes: bool = False) -> DataFrame:
+    """OUT of rows(query_id, query, content), or SIZED with the image's size. make() is called once a task, where a model is loaded.
 
-    Unusable outputs give an error in their row; any other failure fails the job, and what was not committed is redone.
+    Unusable outputs give an error in their row; any other failure (an unreadable image whose size is asked for, too) fails the job, and what was not committed is redone.
     """
 
+    schema = SIZED if sizes else OUT
+
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for part in parts:
@@ -47,7 +51,8 @@ def run(rows: DataFrame, make: Callable[[], Grounder]) -> DataFrame:
                     found, error = model.predict(image=content, query=query), None
                 except (OutputError, BoxError) as e:
                     found, error = {}, str(e)
-                out.append((query_id, found.get("raw_output"), found.get("boxes"), found.get("labels"), error, 1000 * (time.perf_counter() - began)))
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in OUT.replace("array<array<double>>", "a").replace("array<string>", "a").split(", ")])
+                took = 1000 * (time.perf_counter() - began)
+                out.append((query_id, found.get("raw_output"), found.get("boxes"), found.get("labels"), error, took, *(size(content) if sizes else ())))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
-    return rows.select("query_id", "query", "content").mapInPandas(work, OUT)
+    return rows.select("query_id", "query", "content").mapInPandas(work, schema)

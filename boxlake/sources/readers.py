@@ -9,7 +9,7 @@ import zipfile
 import zlib
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -123,9 +123,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file, in its order."""
-    rows = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    return rows.select((F.row_number().over(Window.orderBy("_at")) - 1).cast("long").alias("line_no"), "value")
+    """(line_no, value) of a text file or a folder of them. line_no grows in reading order, with gaps: numbering without
+    them would put all lines in one task. Files of a folder are read in the order in which they were written."""
+    rows = spark.read.text(path)
+    at = F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.select(at.alias("line_no"), "value")
 
 
 def listing(spark: SparkSession, root: str, glob: str | None = None, content: bool = False) -> DataFrame:
