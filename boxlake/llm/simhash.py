@@ -28,18 +28,22 @@ STEP = 16_384
 EDGES = "u long, v long, hot long"
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
+    """A hash of each shingle of the lower-cased words, repeats included; a shorter text is one shingle."""
     words = text.lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(words) - shingle + 1]
-        hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(words) - shingle + 1]
+    return [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    if not text.split():
+        return 0
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), STEP):
         part = np.array(hashes[i : i + STEP], "<u8")
@@ -169,12 +173,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT,
     return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **parameters: int) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component: one document of each group."""
-    kept = near_duplicates(docs, **parameters).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import documents
 

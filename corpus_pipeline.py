@@ -9,7 +9,7 @@ from boxlake.llm.exact import drop_exact_duplicates
 from boxlake.llm.mixing import mix
 from boxlake.llm.pieces import encoding_digests, model_path
 from boxlake.llm.quality_rules import keep_good
-from boxlake.llm.simhash import drop_near_duplicates
+from boxlake.llm.similar import drop_similar
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,7 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    """Of texts that share 80 % of their five-word shingles, over any chain of such pairs, one stays."""
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("encode", encode)]
-#: Rolling hashes, SimHash components and BPE have no SQL; the pipeline is tested against a brute-force version.
+#: Rolling hashes, components of similar texts and BPE have no SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from boxlake.llm import exact, mixing, pieces, pu_quality, quality_rules, secrets, simhash, substrings, toxicity, warc
+from boxlake.llm import exact, mixing, pieces, pu_quality, quality_rules, secrets, simhash, similar, substrings, toxicity, warc
 from boxlake.llm.common import new_path
 
 R = random.Random(7)
@@ -92,6 +92,43 @@ def test_simhash(spark, docs):
     assert key(found) == key((d, f"{f:016x}", least.get(comp[f])) for d, f in prints)
 
 
+def jaccard_components(texts, width=5, over=4, under=5):
+    """Place of the first text of each one's component, by all pairs."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} for w in words]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if under * len(a & b) >= over * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    first = {}
+    return [first.setdefault(r, i) for i, r in enumerate(root)]
+
+
+@pytest.mark.parametrize("piece", (2048, 8))
+def test_similar(spark, piece):
+    words = [f"v{i}" for i in range(300)]
+    chain = [" ".join([*words[:k], *(f"y{k}" for _ in range(1)), *words[k + 1 :]]) for k in range(0, 300, 9)]
+    edits = [" ".join(f"c{k}" if i % 60 == 7 and i < 60 * k else w for i, w in enumerate(words)) for k in range(6)]
+    texts = [BASE, *(near(BASE, 1 + k % 3) for k in range(30)), *chain, *edits, "a b c", "A b  c", "a b d", None, "", "one", near(near(BASE, 9), 9)]
+    rows = [(i, t, "kept along") for i, t in enumerate(texts)]
+    found = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string, other string").repartition(3), piece=piece)
+    assert found.columns == ["doc_id", "text", "other"]
+    assert sorted(r.doc_id for r in found.collect()) == sorted(set(jaccard_components(texts)))
+
+
+def test_similar_stage_joins_what_simhash_parts(spark):
+    """Texts of five-word similarity of 0.8 or more, more than 4 bits apart."""
+    import corpus_pipeline
+
+    words = [f"u{i}" for i in range(100)]
+    other = [*words[:50], "changed", *words[51:]]
+    texts = [" ".join(words), " ".join(other)]
+    assert (simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).bit_count() > 4
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, "").collect()] == [0]
+
+
 @pytest.mark.parametrize("piece", [4096, 8])
 def test_near_links_in_large_cells(spark, piece):
     center = R.getrandbits(64)

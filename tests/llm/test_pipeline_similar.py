@@ -1,0 +1,27 @@
+"""The pipeline against a brute-force version of its stages, whose near copies are pairs of five-word similarity 0.8."""
+
+import hashlib
+
+import corpus_pipeline
+import pyarrow.parquet as pq
+import sentencepiece
+from boxlake.llm import mixing, pieces, quality_rules
+from tests.llm.test_corpus import jaccard_components
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_pipeline_with_similar_texts(spark):
+    rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    fertility = quality_rules.Fertility(pieces.model_path())
+    rows = [r for r in rows if quality_rules.assess((r["text"] or "").encode(), fertility, quality_rules.BANDS)[-1]]
+    best = {}
+    for r in rows:
+        k = (r["text"] or "").encode().lower()
+        best[k] = max(best.get(k, r), r, key=lambda x: x["doc_id"])
+    rows = sorted(best.values(), key=lambda r: r["doc_id"])
+    rows = [rows[i] for i in sorted(set(jaccard_components([r["text"] for r in rows])))]
+    copies = {r.doc_id: r.copies for r in mixing.mixing_plan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    expected = [(r["doc_id"], len(i := sp.encode(r["text"], add_eos=True)), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest()) for r in rows for _ in range(copies[r["doc_id"]])]
+    assert sorted(tuple(r)[:3] for r in corpus_pipeline.run(spark, SF).collect()) == sorted(expected)
