@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import math
 from collections import Counter
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -56,10 +57,17 @@ def script_of(sample: Counter) -> str:
     return max(sorted(seen), key=seen.get) if seen else "other"
 
 
+def rank_paths() -> tuple[str, ...]:
+    import public_tokenizers
+
+    return tuple(public_tokenizers.path(f"{name}.tiktoken") for name in ("byte_bpe_50k", "byte_bpe_multi_50k"))
+
+
 class Fertility:
-    """Tokens of single words for the piece vocabulary at path and further byte-level vocabularies (rank files)."""
+    """Tokens of single words for the piece vocabulary at path and byte-level ones (rank files; None: rank_paths())."""
 
-    def __init__(self, path: str, ranks: tuple[str, ...] = ()) -> None:
+    def __init__(self, path: str, ranks: tuple[str, ...] | None = None) -> None:
+        ranks = rank_paths() if ranks is None else ranks
         self.codec, self.others = codec(path), []
         self.known: dict[bytes, tuple[list[int], tuple[int, ...]]] = {}
         self.older = self.known
@@ -91,11 +99,17 @@ class Fertility:
         total = tokens.total()
         if not total:
             return 0.0, 0.0, 0.0, 0
-        counts = [total] + [sum(f[1][k] for f in found) for k in range(len(self.others))]
+        counts = [total, *map(sum, zip(*[f[1] for f in found], strict=True))]
         entropy = math.log2(total) - math.fsum(c * math.log2(c) for c in tokens.values()) / total
         return min(chars / n for n in counts), sum(tokens[i] for i in self.is_byte.intersection(tokens)) / total, max(entropy, 0.0), total
 
 
+@lru_cache(2)
+def fertility_of(path: str, ranks: tuple[str, ...]) -> Fertility:
+    """One for all tasks of a Python worker: vocabularies are read, and known words encoded, once."""
+    return Fertility(path, ranks)
+
+
 def assess(text: bytes, fertility: Fertility, bands: dict[str, tuple[float, ...]]) -> tuple:
     words = text.split()
     n, repeated = len(words), repeat_words(words)
@@ -108,7 +122,7 @@ def assess(text: bytes, fertility: Fertility, bands: dict[str, tuple[float, ...]
     return n, chars, len(text) - len(text.translate(None, SYMBOLS)), dup_lines(text), repeated, script, per_token, byte_share, entropy, failed, kept
 
 
-def quality_rules(docs: DataFrame, path: str, ranks: tuple[str, ...] = (), bands: dict[str, tuple[float, ...]] = BANDS) -> DataFrame:
+def quality_rules(docs: DataFrame, path: str, ranks: tuple[str, ...] | None = None, bands: dict[str, tuple[float, ...]] = BANDS) -> DataFrame:
     """Measures and verdict of every row of docs, in the columns of SCHEMA; no shuffle.
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated windows of 8 words. kept: not base_failed and
@@ -116,9 +130,10 @@ def quality_rules(docs: DataFrame, path: str, ranks: tuple[str, ...] = (), bands
     other columns of docs are ignored. Texts are read whole, one at a time.
     """
     names = [f.split()[0] for f in SCHEMA.split(", ")]
+    ranks = rank_paths() if ranks is None else ranks
 
     def make():
-        fertility = Fertility(path, ranks)
+        fertility = fertility_of(path, ranks)
 
         def work(batch):
             rows = [assess(t, fertility, bands) for t in as_bytes(batch, "text")]
@@ -129,17 +144,18 @@ def quality_rules(docs: DataFrame, path: str, ranks: tuple[str, ...] = (), bands
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), SCHEMA, make)
 
 
-def keep_good(docs: DataFrame, path: str, ranks: tuple[str, ...] = (), bands: dict[str, tuple[float, ...]] = BANDS) -> DataFrame:
+def keep_good(docs: DataFrame, path: str, ranks: tuple[str, ...] | None = None, bands: dict[str, tuple[float, ...]] = BANDS) -> DataFrame:
     """The rows of docs (with all their columns) that the rules keep; texts don't leave their task."""
     import pyarrow as pa
 
     if "text" not in docs.columns:
         raise ValueError("docs needs a column text")
 
+    ranks = rank_paths() if ranks is None else ranks
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
 
     def run(batches):
-        fertility = Fertility(path, ranks)
+        fertility = fertility_of(path, ranks)
         for batch in batches:
             yield batch.filter(pa.array([assess(t, fertility, bands)[-1] for t in as_bytes(batch, "text")], pa.bool_()))
 

@@ -1,5 +1,6 @@
 """Each corpus operator against a brute-force version on a small table with nulls, empty and long texts, ties and repeats."""
 
+import base64
 import hashlib
 import random
 from collections import Counter
@@ -206,6 +207,22 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.keep_good(docs, pieces.model_path()).columns == docs.columns
 
 
+def test_quality_rules_takes_the_least_of_the_vocabularies(spark):
+    """The query and the stage measure by byte-level vocabularies too, without being told to."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    text = "Straßenbahnhaltestellen überqueren möglicherweise große Brücken"
+    n = [len(pieces.codec(pieces.model_path()).ids_of("".join("▁" + w for w in text.split())))]
+    for p in quality_rules.rank_paths():
+        with open(p, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        n.append(len(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary(" " + text)))
+    assert len(n) == 3 and max(n) > n[0]
+    found = quality_rules.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string"), pieces.model_path()).first()
+    assert found.chars_per_token == pytest.approx(len(text.replace(" ", "")) / max(n))
+
+
 def test_pieces(spark, docs, none):
     import sentencepiece
 
