@@ -223,6 +223,21 @@ def test_quality_rules_takes_the_least_of_the_vocabularies(spark):
     assert found.chars_per_token == pytest.approx(len(text.replace(" ", "")) / max(n))
 
 
+@pytest.mark.parametrize("text, script, kept", (
+    ("12 4857 90233 5 77 2019 33.50 4411 8 901 66 2 35 7 120 9 44 18 5067 3 41 6022 87 15 930", "none", False),
+    ("### $$$ &&& ||| ** ## %% <> <> || ## @@ !! ~~ ^^ == ++ -- // ;; ((( ))) [[ ]] {{", "none", False),
+    ("".join(chr(0x1780 + i % 40) + " " * (i % 7 == 6) for i in range(280)), "other", None),
+    ("xq#zv kw$jq zzx%vq qj*wk vx&zq jk|qw zq<xv wj>kq qz#xj vk$wq xz%jk wq*vz kj&xq zv|wk jq<zx qw>vk xj#qz kz$vw jx%wq vq*zk wk&xj qz|vx", "latin", False),
+    ("The committee met in the old town hall to discuss how the new bridge should be paid for and which of the roads would have to be closed while it was being built over the river", "latin", True),
+    ("Ủy ban đã họp tại tòa thị chính cũ để thảo luận về cách chi trả cho cây cầu mới và những con đường nào sẽ phải đóng cửa trong khi xây dựng cầu qua sông", "vietnamese", True),
+    ("Комитет собрался в старой ратуше, чтобы обсудить, как оплатить новый мост и какие дороги придется закрыть, пока его строят через реку", "cyrillic", True),
+    ("Η επιτροπή συνεδρίασε στο παλιό δημαρχείο για να συζητήσει πώς θα πληρωθεί η νέα γέφυρα και ποιοι δρόμοι θα πρέπει να κλείσουν όσο χτίζεται πάνω από το ποτάμι", "greek", True),
+))
+def test_bands_reject_junk_and_keep_prose(text, script, kept):
+    row = quality_rules.assess(text.encode(), quality_rules.fertility_of(pieces.model_path(), quality_rules.rank_paths()), quality_rules.BANDS)
+    assert row[5] == script and (kept is None or row[-1] == kept and not row[-2])
+
+
 def test_pieces(spark, docs, none):
     import sentencepiece
 
