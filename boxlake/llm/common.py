@@ -72,6 +72,25 @@ def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def text_sha256() -> Column:
+    """Of the text with A-Z lowered; null counts as empty."""
+    return F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of docs for each (doc_id, text_sha256) of kept; which one, if rows agree in both, is not said.
+
+    kept has a row for each row of docs that it stands for. Only texts of rows that repeat are moved to choose one.
+    """
+    counted = stored(kept.groupBy("doc_id", "text_sha256").count(), "kept")
+    same = lambda n: docs.join(k := counted.where(n).select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha")), docs["doc_id"].cast("long").eqNullSafe(k["_kept"]) & (text_sha256() == k["_sha"]), "left_semi")
+    once, again = same("count = 1"), counted.where("count > 1")
+    if again.isEmpty():
+        return once
+    repeated = same("count > 1").withColumn("_sha", text_sha256()).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    return once.union(repeated)
+
+
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 of a string column; null is empty. bytes.split() and bytes.lower() then follow WORD and A-Z exactly."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

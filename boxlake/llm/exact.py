@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, join_keyed, map_batches, stored
+from .common import as_bytes, documents, join_keyed, keep_rows, map_batches, stored
 
 #: Sizes of chunks in bytes: least, about the mean of what follows (a power of two), most.
 CHUNK = (128, 512, 4096)
@@ -121,9 +121,8 @@ def exact_duplicates(docs: DataFrame, sizes: tuple[int, int, int] = CHUNK, bits:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_duplicates() keeps."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of docs that exact_duplicates() keeps; of rows that agree in doc_id and text, one."""
+    return keep_rows(docs, exact_duplicates(docs).where("kept").select("doc_id", "text_sha256"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def shingle_hashes(text: bytes, shingle: int) -> list[int]:
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    if not text.split():
+    if not text.strip():
         return 0
     hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, join_keyed, lower_ascii, map_batches, stored
+from .common import as_bytes, join_keyed, keep_rows, map_batches, stored, text_sha256
 from .components import components
 from .simhash import shingle_hashes
 
@@ -152,11 +152,6 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LE
     return rows.join(best, (rows["text_sha256"] == best["t"]) & rows["doc_id"].eqNullSafe(best["d"]), "left").select("doc_id", "text_sha256", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-def text_sha256():
-    return F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
-
-
 def drop_similar(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that similar() keeps."""
-    kept = similar(docs, **parameters).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & (text_sha256() == kept["_sha"]), "left_semi")
+    """The rows of docs that similar() keeps; of rows that agree in doc_id and text, one."""
+    return keep_rows(docs, similar(docs, **parameters).where("kept").select("doc_id", "text_sha256"))

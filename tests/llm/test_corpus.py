@@ -118,6 +118,15 @@ def test_similar(spark, piece):
     assert sorted(r.doc_id for r in found.collect()) == sorted(set(jaccard_components(texts)))
 
 
+@pytest.mark.parametrize("drop", (exact.drop_exact_duplicates, similar.drop_similar))
+def test_dedup_keeps_one_of_repeated_rows(spark, drop):
+    """Rows that agree in doc_id and text count once; a doc_id that names several texts keeps each on its own account."""
+    other = " ".join(f"o{i}" for i in range(40))
+    rows = [(1, BASE), (1, BASE), (2, other), (1, other.upper()), (None, "only here"), (None, "only here"), (None, BASE)]
+    found = drop(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(found) == 3 and sorted(r.text.lower() for r in found) == sorted([BASE, other, "only here"])
+
+
 def test_similar_stage_joins_what_simhash_parts(spark):
     """Texts of five-word similarity of 0.8 or more, more than 4 bits apart."""
     import corpus_pipeline
