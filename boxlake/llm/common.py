@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 #: The words of every contract: runs of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of an Arrow batch: long texts must not fill a Python worker.
+#: Rows that a function of a batch is given at once. Spark bounds the bytes of an Arrow batch (64 MB or one row, by
+#: default); this bounds the Python objects made of it.
 BATCH_ROWS = 256
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,38 +29,57 @@ def lower_ascii(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is named (tests), a temporary one."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where none is named, a local master (tests) gets a temporary one; on a cluster that is an error, since each machine
+    would have a folder of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the application's folder. What is written there belongs to the application; see clean_up()."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all that this application's operators have stored, archives of lost attempts included.
+
+    Call it when every result has been written: results of operators are read from there.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df, written as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.sparkSession.conf.set(BATCH_CONF, batch_rows)
-    df.write.parquet(path)
-    df.sparkSession.conf.set(BATCH_CONF, BATCH_ROWS)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]]) -> DataFrame:
-    """mapInArrow with a function built once a task; it turns a batch into columns (lists or Arrow arrays) of schema."""
-    df.sparkSession.conf.set(BATCH_CONF, BATCH_ROWS)
+def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]], rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with a function built once a task; it turns up to rows rows into columns (lists or Arrow arrays) of schema."""
     target = pa_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            out = work(batch)
-            yield pa.RecordBatch.from_arrays([c if isinstance(c := out[f.name], pa.Array) else pa.array(c, f.type) for f in target], schema=target)
+            for start in range(0, batch.num_rows, rows):
+                out = work(batch.slice(start, rows))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c := out[f.name], pa.Array) else pa.array(c, f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 

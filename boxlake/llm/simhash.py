@@ -143,7 +143,7 @@ def near_links(fps: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS, piece:
     """Links (u, v) that connect exactly those of the distinct fingerprints fps(fp) that pairs within limit connect."""
     keyed = cells(fps, limit, blocks)
     parted = keyed.repartition("cell").sortWithinPartitions("cell")
-    found = stored(parted.mapInArrow(_runs(piece, limit), EDGES), "links", 8192)
+    found = stored(parted.mapInArrow(_runs(piece, limit), EDGES), "links")
     edges, hot = found.where("hot is null").select("u", "v"), found.where("hot is not null").select(F.col("hot").alias("cell"))
     if hot.isEmpty():
         return edges
@@ -153,7 +153,7 @@ def near_links(fps: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS, piece:
     pairs = one.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     pairs = pairs.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp").distinct()
     again = pairs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_runs(1 << 40, limit), EDGES)
-    return edges.union(stored(again, "hot-links", 8192).select("u", "v"))
+    return edges.union(stored(again, "hot-links").select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT, blocks: int = BLOCKS, piece: int = PIECE) -> DataFrame:

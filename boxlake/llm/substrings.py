@@ -3,16 +3,20 @@
 A window of `width` words belongs to its minimiser, the 4-word gram of least hash in it; equal windows have equal
 minimisers. The windows of one minimiser position are the starts of one passage, so a text is cut into passages and
 every window is in exactly one. Passages whose gram occurs once hold nothing that repeats and go no further. The others
-are dealt to shards by gram, equal ones counted once, and each shard is indexed: a wavelet matrix over the
-Burrows-Wheeler transform of its words. Passages are streamed against the index; backward search gives, for each window
-end, how far back it still matches elsewhere, and windows matched over their whole width are reported. Thus a shard is
-searched only by what can match in it, and work stays in proportion to the input.
+are dealt to shards by gram, so that a text meets only the shards that can match it. A gram with very many passages is
+dealt by longer keys: the gram with 16, 24, 28, 30, at last 31 of the words around it, which all windows of a part share.
+
+A shard's index is a wavelet matrix over the Burrows-Wheeler transform of its distinct passages, with a bit a suffix for
+passages that occur more than once; the text itself is not kept. Passages are streamed against it: backward search from
+an end gives how far back the words still occur twice or more (the matching statistic of that end). Ends are chosen so
+that a passage repeated as a whole costs one search, and a search that breaks off rules out all windows over the break.
+What matches over `width` words or more is reported as intervals of window starts.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -24,23 +28,30 @@ from pyspark.sql import functions as F
 from .common import WORD, as_bytes, documents, join_keyed, map_batches, stored
 
 WIDTH, GRAM = 35, 4
-#: Words of the passages that one index holds, and passages of one gram beyond which windows are counted one by one.
-SHARD_WORDS, HOT = 100_000, 1_000
+#: Words of the passages that one index holds, about, and different passages of a key beyond which it is drawn longer.
+SHARD_WORDS, CROWD = 100_000, 1_000
+MARKS = "key long, pid long, firsts array<int>, lasts array<int>"
 
 
-def anchors(words: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hash (int64), first and last window start of each passage of words."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return (np.empty(0, np.int64),) * 3
+def gram_hashes(words: list[bytes]) -> np.ndarray:
+    """Hash (uint64) of each run of GRAM words."""
     w = np.fromiter(map(crc32, words), np.uint64, len(words))
-    grams = len(words) - GRAM + 1
-    h = np.zeros(grams, np.uint64)
+    n = len(words) - GRAM + 1
+    h = np.zeros(n, np.uint64)
     for i in range(GRAM):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + grams]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
+    return h
+
+
+def anchors(words: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gram hash (int64), first and last window start of each passage of words."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return (np.empty(0, np.int64),) * 3
+    h = gram_hashes(words)
     view = np.lib.stride_tricks.sliding_window_view(h, width - GRAM + 1)
     at = np.concatenate([view[i : i + 8192].argmin(axis=1) + np.arange(i, min(i + 8192, n)) for i in range(0, n, 8192)])
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
@@ -70,250 +81,301 @@ class WaveletMatrix:
         return at - start
 
 
+def suffix_order(t: np.ndarray, size: int) -> np.ndarray:
+    """Places of t (integers below size, no two suffixes equal) in the order of the suffixes, by doubling."""
+    n, bits = len(t), max(1, int(size).bit_length())
+    span = max(1, 62 // bits)  # symbols that fit a key of the first round
+    rank = np.zeros(n, np.int64)
+    for i in range(span):
+        rank = (rank << bits) + np.r_[t[i:] + 1, np.zeros(min(i, n), np.int64)][:n]
+    order = np.argsort(rank, kind="stable")
+    while True:
+        ordered = rank[order]
+        rank = np.empty(n, np.int64)
+        new = ordered[1:] != ordered[:-1]
+        rank[order] = np.cumsum(np.r_[0, new])
+        if new.all():
+            return order
+        if span > 1 << 40:
+            raise ValueError("suffixes are equal")
+        key = rank * (n + 1) + np.r_[rank[span:] + 1, np.zeros(min(span, n), np.int64)][:n]
+        # Only runs of equal ranks are put in order again.
+        open_ = np.flatnonzero(np.r_[False, ~new] | np.r_[~new, False])
+        part = order[open_]
+        order[open_] = part[np.argsort(key[part], kind="stable")]
+        rank, span = key, span * 2
+
+
 class FMIndex:
-    """Backward search over passages, each a list of words."""
-
-    def __init__(self, passages: list[list[bytes]]) -> None:
-        ids: dict[bytes, int] = {}
-        k = len(passages)
-        text: list[int] = []
-        self.starts = []
-        for i, p in enumerate(passages):
-            self.starts.append(len(text))
-            text += [k + ids.setdefault(w, len(ids)) for w in p]
-            text.append(i)  # ends differ, so no two suffixes are equal
-        t = self.text = np.array(text, np.int64)
-        n = len(t)
-        rank, span = t.copy(), 1
-        while True:
-            key = rank * (max(n, k + len(ids)) + 1) + np.r_[rank[span:] + 1, np.zeros(min(span, n), np.int64)]
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
-            if rank[order[-1]] == n - 1:
-                break
-            span *= 2
-        bwt = t[order - 1]
+    """Backward search over passages (lists of words); many says which of them occur more than once."""
+
+    def __init__(self, passages: list[list[bytes]], many: list[bool]) -> None:
+        k, self.ids = len(passages), {}
+        ids = self.ids
+        for p in passages:
+            for w in p:
+                ids.setdefault(w, len(ids) + k)
         size = k + len(ids)
-        self.first = np.r_[0, np.cumsum(np.bincount(t, minlength=size))]
-        self.levels = max(1, int(size - 1).bit_length())
-        self.matrix = WaveletMatrix(bwt, self.levels)
-        symbols = np.arange(size)
+        # Ends differ (0 to k - 1), so no two suffixes are equal.
+        text = np.concatenate([np.r_[self.symbols(p), i] for i, p in enumerate(passages)])
+        order = suffix_order(text, size)
+        owner = np.repeat(np.arange(k), [len(p) + 1 for p in passages])
+        self.n = len(text)
+        self.many = np.packbits(np.array(many, bool)[owner[order]], bitorder="little")
+        self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=size))]
+        self.matrix = WaveletMatrix(text[order - 1], max(1, int(size - 1).bit_length()))
         # Where the run of each symbol begins after the last level: the walk down from position 0.
-        self.run = self.matrix.rank(symbols, np.zeros(size, np.int64), np.zeros(size, np.int64))
-
-    def repeated(self, starts: np.ndarray, width: int) -> np.ndarray:
-        """Which of the windows at these positions of the text occur there twice or more: matched back over all width words."""
-        alive = np.arange(len(starts))
-        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.text))
-        for step in range(width - 1, -1, -1):
-            c = self.text[starts[alive] + step]
-            base, run = self.first[c], self.run[c]
-            lo, hi = base + self.matrix.rank(c, lo, run), base + self.matrix.rank(c, hi, run)
-            more = hi - lo > 1  # the window's own place always matches
-            alive, lo, hi = alive[more], lo[more], hi[more]
-        out = np.zeros(len(starts), bool)
-        out[alive] = True
-        return out
-
-
-def repeated_starts(passages: list[tuple[list[bytes], int]], width: int) -> list[list[int]]:
-    """For each passage (words, occurrences) the offsets of its windows that start in two places or more."""
-    index = FMIndex([p for p, _ in passages])
-    out: list[list[int]] = [list(range(len(p) - width + 1)) if n > 1 else [] for p, n in passages]
-    once = [i for i, (_, n) in enumerate(passages) if n == 1]
-    counts = [len(passages[i][0]) - width + 1 for i in once]
-    if once:
-        starts = np.concatenate([np.arange(c) + index.starts[i] for i, c in zip(once, counts, strict=True)])
-        found = index.repeated(starts, width)
-        for i, part in zip(once, np.split(found, np.cumsum(counts)[:-1]), strict=True):
-            out[i] = np.flatnonzero(part).tolist()
-    return out
+        self.run = self.matrix.rank(np.arange(size), np.zeros(size, np.int64), np.zeros(size, np.int64))
+
+    def symbols(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+
+    def matched_from(self, text: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """For each end (a place in text) the least start, not before its stop, from which text up to the end, itself
+        included, occurs twice or more in what is indexed; end + 1 if not even the last word does."""
+        reached = ends + 1
+        alive, at, stop = np.arange(len(ends)), ends.copy(), stops
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n)
+        while len(alive):
+            c, m = text[at], len(alive)
+            both = self.matrix.rank(np.r_[c, c], np.r_[lo, hi], np.tile(self.run[c], 2))
+            lo, hi = self.first[c] + both[:m], self.first[c] + both[m:]
+            more = hi - lo > 1
+            one = np.flatnonzero(hi - lo == 1)
+            more[one] = (self.many[lo[one] >> 3] >> (lo[one] & 7)) & 1
+            reached[alive[more]] = at[more]
+            more &= at > stop
+            alive, at, stop, lo, hi = alive[more], at[more] - 1, stop[more], lo[more], hi[more]
+        return reached
+
+    def intervals(self, passages: list[list[bytes]], width: int) -> list[list[tuple[int, int]]]:
+        """Per passage the intervals (first, last) of the starts of its windows that occur twice or more, in order."""
+        lengths = np.fromiter(map(len, passages), np.int64, len(passages))
+        text = np.concatenate([self.symbols(p) for p in passages])
+        base = np.cumsum(lengths) - lengths
+        left, right = base.copy(), base + lengths - width  # windows yet to be decided, by start
+        found: list[list[tuple[int, int]]] = [[] for _ in passages]
+
+        def report(who: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+            for i, x, y in zip(who.tolist(), (a - base[who]).tolist(), (b - base[who]).tolist(), strict=True):
+                found[i].append((x, y))
+
+        # From the last end as far back as it goes: settles passages that repeat as a whole.
+        who = np.arange(len(passages))
+        back = self.matched_from(text, right + width - 1, left)
+        hit = back <= right
+        report(who[hit], back[hit], right[hit])
+        right = np.minimum(right, back - 1)
+        broke = back - 1  # the word at which the last search from the right broke off
+        who = who[left <= right]
+        while len(who):
+            # The leftmost window: where its search breaks off, all windows that hold that word and the end are ruled out.
+            a = left[who]
+            back = self.matched_from(text, a + width - 1, a)
+            miss = back > a
+            left[who[miss]] = back[miss]
+            who_hit = who[~miss]
+            if len(who_hit):
+                a = left[who_hit]
+                # It repeats. The longest stretch that may repeat with it ends before the break; else it is one window.
+                end = np.minimum(right[who_hit] + width - 1, np.maximum(broke[who_hit] - 1, a + width - 1))
+                longer = end > a + width - 1
+                last = a.copy()
+                if longer.any():
+                    back = self.matched_from(text, end[longer], a[longer])
+                    good = back <= a[longer]
+                    at = np.flatnonzero(longer)
+                    last[at[good]] = end[at[good]] - width + 1
+                    broke[who_hit[at[~good]]] = back[~good] - 1
+                report(who_hit, a, last)
+                left[who_hit] = last + 1
+            who = who[left[who] <= right[who]]
+        return [sorted(x) for x in found]
 
 
 def _pid(passage: bytes) -> int:
     return xxhash.xxh64_intdigest(passage, 5) - (1 << 63)
 
 
-def _key() -> F.Column:
-    return F.xxhash64("doc_id", "text")
-
-
-def _gram_counts(docs: DataFrame, width: int) -> DataFrame:
-    def make():
-        def work(batch):
-            seen: Counter = Counter()
-            for t in as_bytes(batch, "text"):
-                seen.update(anchors(t.split(), width)[0].tolist())
-            return {"gram": list(seen), "n": list(seen.values())}
-
-        return work
-
-    return map_batches(docs.select("text"), "gram long, n long", make)
-
-
-def _document_grams(docs: DataFrame, width: int) -> DataFrame:
-    def make():
-        def work(batch):
-            keys, grams = [], []
-            for k, t in zip(batch.column("k").to_pylist(), as_bytes(batch, "text"), strict=True):
-                g = np.unique(anchors(t.split(), width)[0])
-                keys.append(np.full(len(g), k, np.int64)), grams.append(g)
-            return {c: pa.array(np.concatenate([np.empty(0, np.int64), *x])) for c, x in (("gram", grams), ("k", keys))}
-
-        return work
+def _lists(parts: list[np.ndarray], kind: np.dtype, arrow: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, kind), *parts]).astype(kind), arrow))
 
-    return map_batches(docs.select("text", _key().alias("k")), "gram long, k long", make)
 
-
-def _settled(joined: DataFrame, width: int) -> DataFrame:
-    """Texts without a shared gram are done with: they give their digest. The others keep their words for later."""
+def _texts(docs: DataFrame, width: int) -> DataFrame:
+    """Every row with its words (joined by one space), their number and digest, and the grams and starts of its passages."""
 
     def make():
         def work(batch):
-            n, sha, text = [], [], []
-            for t, grams in zip(as_bytes(batch, "text"), batch.column("grams").to_pylist(), strict=True):
+            joined, n, sha, grams, starts = [], [], [], [], []
+            for t in as_bytes(batch, "text"):
                 words = t.split()
-                joint = b" ".join(words)
-                n.append(len(words))
-                sha.append(None if grams else hashlib.sha256(joint).hexdigest())
-                text.append(joint if grams else None)
-            return {"doc_id": batch.column("doc_id"), "k": batch.column("k"), "grams": batch.column("grams"), "n_words": n, "sha": sha, "words": text}
+                gram, first, _ = anchors(words, width)
+                joined.append(b" ".join(words)), n.append(len(words)), grams.append(gram), starts.append(first)
+                sha.append(hashlib.sha256(joined[-1]).hexdigest())
+            return {"doc_id": batch.column("doc_id"), "words": joined, "n_words": n, "sha": sha, "grams": _lists(grams, np.int64, pa.int64()), "starts": _lists(starts, np.int32, pa.int32())}
 
         return work
 
-    return map_batches(joined, "doc_id long, k long, grams array<long>, n_words long, sha string, words binary", make)
+    made = map_batches(docs, "doc_id long, words binary, n_words long, sha string, grams array<long>, starts array<int>", make)
+    return made.withColumn("rid", F.monotonically_increasing_id())  # fixed once the table is stored
 
 
-def _passages(words: list[bytes], grams: list[int], width: int):
-    wanted = set(grams)
-    for g, a, b in zip(*(x.tolist() for x in anchors(words, width)), strict=True):
-        if g in wanted:
-            yield g, a, b" ".join(words[a : b + width])
+def _pieces(open_: DataFrame, width: int) -> DataFrame:
+    """Two kinds of rows. Places: (rid, at, key, pid) of each passage with a shared gram. Passages: (key, pid, passage, n)
+    of what a batch holds, each different one once."""
 
-
-def _distinct_passages(open_: DataFrame, width: int) -> DataFrame:
     def make():
         def work(batch):
-            seen: Counter = Counter()
-            for words, grams in zip(batch.column("words").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-                seen.update((g, p) for g, _, p in _passages(words.split(), grams, width))
-            return {"gram": [g for g, _ in seen], "passage": [p for _, p in seen], "n": list(seen.values())}
+            rid, at, key, pid, seen = [], [], [], [], {}
+            for r, joined, grams, starts, n, shared in zip(*(batch.column(c).to_pylist() for c in ("rid", "words", "grams", "starts", "n_words", "shared")), strict=True):
+                wanted, windows = set(shared), n - width + 1
+                lengths = np.fromiter(map(len, joined.split(b" ")), np.int64, n)
+                ends = np.cumsum(lengths + 1) - 1
+                begins = (ends - lengths).tolist()
+                ends = ends.tolist()
+                for g, a, b in zip(grams, starts, [*starts[1:], windows], strict=True):
+                    if g in wanted:
+                        passage = joined[begins[a] : ends[b + width - 2]]
+                        p = _pid(passage)
+                        rid.append(r), at.append(a), key.append(g), pid.append(p)
+                        seen[g, passage] = seen.get((g, passage), 0) + 1
+            rest, none = list(seen), [None] * len(seen)
+            return {"rid": rid + none, "at": at + none, "key": key + [g for g, _ in rest], "pid": pid + [_pid(p) for _, p in rest], "passage": [None] * len(rid) + [p for _, p in rest], "n": [None] * len(rid) + list(seen.values())}
 
         return work
 
-    return map_batches(open_.select("words", "grams"), "gram long, passage binary, n long", make).groupBy("gram", "passage").agg(F.sum("n").alias("n"))
+    return map_batches(open_, "rid long, at int, key long, pid long, passage binary, n long", make)
+
 
+def _cut(crowded: DataFrame, size: int, width: int) -> DataFrame:
+    """Passages of (key, pid, gp, passage, n) cut where the place of their gram in the window goes to another multiple of
+    size. All windows of a part share width + 1 - size words, whose hash is its key. gp is the place of the gram in the
+    passage (-1: not yet known); `at` is where the part begins in the passage it is cut from."""
 
-def _places(open_: DataFrame, width: int) -> DataFrame:
     def make():
         def work(batch):
-            rows = [(d, k, a, g, _pid(p)) for d, k, w, gs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k", "words", "grams")), strict=True) for g, a, p in _passages(w.split(), gs, width)]
-            return dict(zip(("doc_id", "k", "at", "gram", "pid"), map(list, zip(*rows, strict=True)) if rows else [[]] * 5, strict=True))
+            rows = []
+            for key, pid, gp, passage, n in zip(*(batch.column(c).to_pylist() for c in ("key", "pid", "gp", "passage", "n")), strict=True):
+                words = passage.split(b" ")
+                gp = int(gram_hashes(words[:width]).argmin()) if gp < 0 else gp
+                windows, s = len(words) - width + 1, 0
+                while s < windows:
+                    part = (gp - s) // size
+                    last = min(gp - part * size, windows - 1)
+                    shared = words[gp - part * size : gp - part * size - size + 1 + width]
+                    sub = b" ".join(words[s : last + width])
+                    rows.append((key, pid, s, xxhash.xxh64_intdigest(b"%d %d " % (size, part) + b" ".join(shared), 8) - (1 << 63), _pid(sub), gp - s, sub, n))
+                    s = last + 1
+            return dict(zip(("key", "pid", "at", "sub_key", "sub_pid", "gp", "passage", "n"), map(list, zip(*rows, strict=True)) if rows else [[] for _ in range(8)], strict=True))
 
         return work
 
-    return map_batches(open_.select("doc_id", "k", "words", "grams"), "doc_id long, k long, at int, gram long, pid long", make)
+    return map_batches(crowded, "key long, pid long, at int, sub_key long, sub_pid long, gp int, passage binary, n long", make)
 
 
-def _search(width: int, shard_words: int):
-    """For mapInArrow over passages sorted by gram: offsets of repeated windows. A shard ends where a gram does."""
-    schema = pa.schema([("gram", pa.int64()), ("pid", pa.int64()), ("starts", pa.list_(pa.int32()))])
+def _search(width: int, shard_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over passages sorted by key: intervals of repeated windows. A shard ends where a key does."""
+    schema = pa.schema([("key", pa.int64()), ("pid", pa.int64()), ("firsts", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32()))])
 
-    def search(shard: list[tuple[int, bytes, list[bytes], int]]) -> pa.RecordBatch:
-        found = repeated_starts([(w, n) for _, _, w, n in shard], width) if shard else []
-        rows = [(g, _pid(p), s) for (g, p, _, _), s in zip(shard, found, strict=True) if s]
+    def search(shard: list[tuple[int, int, list[bytes], int]]) -> pa.RecordBatch:
+        if len({x[:2] for x in shard}) < len(shard):
+            raise ValueError("two different passages of one key have the same hash")
+        passages = [words for _, _, words, _ in shard]
+        found = FMIndex(passages, [n > 1 for *_, n in shard]).intervals(passages, width) if shard else []
+        rows = [(k, p, [a for a, _ in x], [b for _, b in x]) for (k, p, _, _), x in zip(shard, found, strict=True) if x]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     def run(batches):
-        shard, gram, words = [], None, 0
+        shard, key, words = [], None, 0
         for batch in batches:
-            for g, p, n in zip(*(batch.column(c).to_pylist() for c in ("gram", "passage", "n")), strict=True):
-                if g != gram and words >= shard_words:
+            for k, p, passage, n in zip(*(batch.column(c).to_pylist() for c in ("key", "pid", "passage", "n")), strict=True):
+                if k != key and words >= shard_words:
                     yield search(shard)
                     shard, words = [], 0
-                gram, w = g, p.split()
-                shard.append((g, p, w, n))
-                words += len(w)
+                key = k
+                shard.append((k, p, passage.split(b" "), n))
+                words += len(shard[-1][2])
         yield search(shard)
 
     return run
 
 
-def _hot_grams(passages: DataFrame, shared: DataFrame, hot: int) -> DataFrame:
-    """Grams of over hot passages. A gram has no more passages than occurrences, so just those of over hot are counted."""
-    busy = shared.where(F.col("n") > hot).select("gram")
-    return join_keyed(passages, busy, "gram", F.xxhash64("passage")).groupBy("gram").count().where(F.col("count") > hot).select("gram")
-
-
-def _hot_windows(passages: DataFrame, width: int) -> DataFrame:
-    """Windows of passages, each by a 128-bit digest."""
-
-    def make():
-        def work(batch):
-            gram, pid, at, a, b, count = ([] for _ in range(6))
-            for g, p, n in zip(*(batch.column(c).to_pylist() for c in ("gram", "passage", "n")), strict=True):
-                w = p.split()
-                for i in range(len(w) - width + 1):
-                    d = xxhash.xxh3_128_intdigest(b" ".join(w[i : i + width]))
-                    gram.append(g), pid.append(_pid(p)), at.append(i), a.append((d >> 64) - (1 << 63)), b.append((d & (1 << 64) - 1) - (1 << 63)), count.append(n)
-            return {"gram": gram, "pid": pid, "at": at, "a": a, "b": b, "n": count}
-
-        return work
-
-    return map_batches(passages.select("gram", "passage", "n"), "gram long, pid long, at int, a long, b long, n long", make)
+def _marks(passages: DataFrame, width: int, shard_words: int, crowd: int) -> DataFrame:
+    """(key, pid, firsts, lasts): intervals of the starts of repeated windows for passages(key, pid, gp, passage, n)."""
+    size, calm, links = width - GRAM + 1, [], []
+    while True:
+        busy = stored(passages.groupBy("key").count().where(F.col("count") > crowd).select("key", F.lit(True).alias("busy")), "crowded-keys") if size > 1 else None
+        if busy is None or busy.isEmpty():
+            calm.append(passages)
+            break
+        size = (size + 1) // 2
+        split = join_keyed(passages, busy, "key", F.col("pid"), "left")
+        calm.append(split.where("busy is null").select(*passages.columns))
+        crowded = split.where("busy").select(*passages.columns)
+        if not crowded.groupBy("key", "pid").count().where("count > 1").isEmpty():
+            raise ValueError("two different passages of one key have the same hash")
+        parts = stored(_cut(crowded, size, width), "parts", "zstd")
+        links.append(parts.select("key", "pid", "at", "sub_key", "sub_pid"))
+        passages = stored(parts.groupBy(F.col("sub_key").alias("key"), F.col("sub_pid").alias("pid"), "gp", "passage").agg(F.sum("n").alias("n")), "cut-passages", "zstd")
+    every = calm[0]
+    for more in calm[1:]:
+        every = every.union(more)
+    dealt = every.select("key", "pid", "passage", "n").repartition("key").sortWithinPartitions("key")
+    marks = stored(dealt.mapInArrow(_search(width, shard_words), MARKS), "marks")
+    if not links:
+        return marks
+    # Marks of parts become marks of what they were cut from, the shortest parts first.
+    for link in reversed(links):
+        below = marks.select(F.col("key").alias("sub_key"), F.col("pid").alias("sub_pid"), "firsts", "lasts")
+        moved = link.join(below, ["sub_key", "sub_pid"]).select("key", "pid", *(F.transform(c, lambda x: x + F.col("at")).alias(c) for c in ("firsts", "lasts")))
+        moved = moved.groupBy("key", "pid").agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("lasts")).alias("lasts"))
+        marks = marks.union(stored(moved, "moved-marks"))
+    return marks
 
 
 def _removed(found: DataFrame, width: int) -> DataFrame:
     def make():
         def work(batch):
-            n, gone, sha = [], [], []
-            for text, spans in zip(batch.column("words").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                words = text.split()
-                step = np.zeros(len(words) + 1, np.int64)
-                for s in spans or ():
-                    starts = np.array(s["starts"], np.int64) + s["at"]
-                    step[starts] += 1
-                    np.subtract.at(step, starts + width, 1)
+            gone, sha = [], []
+            for joined, n, spans in zip(*(batch.column(c).to_pylist() for c in ("words", "n_words", "spans")), strict=True):
+                step = np.zeros(n + 1, np.int64)
+                for s in spans:
+                    np.add.at(step, np.array(s["firsts"], np.int64) + s["at"], 1)
+                    np.subtract.at(step, np.array(s["lasts"], np.int64) + s["at"] + width, 1)
                 out = np.cumsum(step)[:-1] > 0
-                n.append(len(words)), gone.append(int(out.sum()))
-                sha.append(hashlib.sha256(b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x])).hexdigest())
-            return {"doc_id": batch.column("doc_id"), "n_words": n, "n_removed": gone, "kept_sha256": sha}
+                gone.append(int(out.sum()))
+                sha.append(hashlib.sha256(b" ".join([w for w, x in zip(joined.split(b" "), out.tolist(), strict=True) if not x])).hexdigest())
+            return {"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_removed": gone, "kept_sha256": sha}
 
         return work
 
     return map_batches(found, "doc_id long, n_words long, n_removed long, kept_sha256 string", make)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of docs.
 
     A word goes if a window of width consecutive words covers it whose words also start anywhere else, in this or another
     row. Null texts have no words; texts of fewer than width words keep all. Rows that repeat each other count as two
-    places. A null doc_id is fine; other columns are ignored; an empty table gives an empty result.
+    places, each row on its own account, so ties need no rule. A null doc_id is fine; other columns are ignored; an empty
+    table gives an empty result. A text is held whole in one task, with an integer or two a word; what is shuffled of it
+    are its passages, of at most 2 * width words each. Two passages of one hash stop the job; they are never mixed up.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    shared = stored(_gram_counts(docs, width).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1"), "shared-grams")
-    lists = stored(_document_grams(docs, width).join(shared.select("gram"), "gram").groupBy("k").agg(F.collect_set("gram").alias("grams")), "document-grams")
-    state = stored(_settled(docs.withColumn("k", _key()).join(lists, "k", "left").select("doc_id", "k", "text", "grams"), width), "texts")
-    open_ = state.where("words is not null")
-    passages = stored(_distinct_passages(open_, width), "passages")
-    over = stored(_hot_grams(passages, shared, hot), "hot-grams")
-    any_hot = not over.isEmpty()
-    # Passages of a hot gram would all come to one task: they are taken out before grams are dealt.
-    rest = join_keyed(passages, over.withColumn("_over", F.lit(True)), "gram", F.xxhash64("passage"), "left").where("_over is null").drop("_over") if any_hot else passages
-    dealt = rest.repartition("gram").sortWithinPartitions("gram")
-    marks = stored(dealt.mapInArrow(_search(width, shard_words), "gram long, pid long, starts array<int>"), "found", 2048)
-    if any_hot:
-        windows = stored(_hot_windows(join_keyed(passages, over, "gram", F.xxhash64("passage")), width), "hot-windows")
-        twice = stored(windows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b"), "hot-repeats")
-        marks = marks.union(windows.join(twice, ["a", "b"]).groupBy("gram", "pid").agg(F.array_sort(F.collect_list("at")).alias("starts")))
-        marks = stored(marks, "marks")
-    spans = _places(open_, width).join(marks, ["gram", "pid"]).groupBy("doc_id", "k").agg(F.collect_list(F.struct("at", "starts")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("k").alias("k2"), "spans")
-    later = _removed(open_.join(spans, (F.col("k") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "words", "spans"), width)
-    return state.where("words is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")).union(later)
+    texts = stored(_texts(docs.select(F.col("doc_id").cast("long"), "text"), width), "texts", "zstd")
+    grams = texts.select("rid", F.explode("grams").alias("gram"))
+    shared = grams.groupBy("gram").count().where("count > 1").select("gram")
+    lists = grams.join(shared, "gram").groupBy("rid").agg(F.collect_set("gram").alias("shared"))
+    pieces = stored(_pieces(texts.drop("doc_id", "sha").join(lists, "rid"), width), "pieces", "zstd")
+    passages = pieces.where("passage is not null").groupBy("key", "pid", "passage").agg(F.sum("n").alias("n"))
+    passages = stored(passages.select("key", "pid", F.lit(-1).alias("gp"), "passage", "n"), "passages", "zstd")
+    marks = _marks(passages, width, shard_words, crowd)
+    places = pieces.where("rid is not null").select("rid", "at", "key", "pid")
+    spans = places.join(marks, ["key", "pid"]).groupBy("rid").agg(F.collect_list(F.struct("at", "firsts", "lasts")).alias("spans"))
+    spans = stored(spans, "spans")
+    later = _removed(texts.select("rid", "doc_id", "words", "n_words").join(spans, "rid"), width)
+    whole = texts.select("rid", "doc_id", "n_words", "sha").join(spans.select("rid"), "rid", "left_anti")
+    return whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")).union(later)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -291,20 +292,68 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs).count() == sum(r.copies for r in found) and mixing.mixing_plan(none).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_substrings(spark, docs, none, hot):
-    count = Counter(tuple(w[i : i + 35]) for _, t, *_ in ROWS for w in [SPLIT(t)] for i in range(len(w) - 34))
-    expected = []
-    for d, t, *_ in ROWS:
+def brute_repeats(rows, width=35):
+    count = Counter(tuple(w[i : i + width]) for _, t, *_ in rows for w in [SPLIT(t)] for i in range(len(w) - width + 1))
+    out = []
+    for d, t, *_ in rows:
         w = SPLIT(t)
-        gone = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
-        expected.append((d, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
-    assert key(substrings.remove_repeats(docs, hot=hot, shard_words=500).collect()) == key(expected)
-    if hot == 1:
+        gone = {j for i in range(len(w) - width + 1) if count[tuple(w[i : i + width])] > 1 for j in range(i, i + width)}
+        out.append((d, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [1000, 1])
+def test_substrings(spark, docs, none, crowd):
+    assert key(substrings.remove_repeats(docs, crowd=crowd, shard_words=500).collect()) == key(brute_repeats(ROWS))
+    if crowd == 1:
         same_as_sql(substrings.remove_repeats(docs), substrings.ORACLE, documents=docs)
         assert substrings.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [200, 1])
+def test_substrings_of_a_crowded_gram(spark, crowd):
+    """One gram in thousands of different passages, some of which share windows with others on one side of it only."""
+    least = min((" ".join(g) for g in (R.sample(WORDS, 4) for _ in range(4000))), key=lambda g: int(substrings.gram_hashes(g.encode().split())[0]))
+    fresh = iter(range(10**6))
+    own = lambda n: [f"n{next(fresh)}" for _ in range(n)]
+    lefts, rights = [own(40) for _ in range(20)], [own(40) for _ in range(20)]
+    rows = []
+    for i in range(5000 if crowd > 1 else 300):
+        left = own(40) if i % 3 == 0 else own(R.randrange(30)) + R.choice(lefts)[R.randrange(40) :]
+        right = own(40) if i % 3 == 1 else R.choice(rights)[: R.randrange(40)] + own(R.randrange(30))
+        rows.append((i, " ".join([*left, least, *right])))
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), crowd=crowd)
+    assert key(found.collect()) == key(brute_repeats(rows))
+
+
+def test_substrings_of_very_many_equal_rows(spark):
+    rows = [(1, " ".join(R.choice(WORDS) for _ in range(400)))] * 3000 + [(2, None)]
+    assert key(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).distinct().collect()) == key(set(brute_repeats(rows)))
+
+
+def test_matching_statistics():
+    """Intervals of the index against counting windows, with passages that occur once and more than once."""
+    for _ in range(40):
+        vocabulary = [b"w%d" % i for i in range(R.choice((2, 5, 40)))]
+        base = [R.choice(vocabulary) for _ in range(80)]
+        passages = [list(p) for p in {tuple(w if R.random() > 0.05 else R.choice(vocabulary) for w in base[a : a + R.randrange(8, 30)]) for a in (R.randrange(30) for _ in range(R.randrange(1, 14)))}]
+        many = [R.random() < 0.3 for _ in passages]
+        count = Counter()
+        for p, m in zip(passages, many, strict=True):
+            count.update({tuple(p[i : i + 8]): 0 for i in range(len(p) - 7)})
+            for i in range(len(p) - 7):
+                count[tuple(p[i : i + 8])] += 1 + m
+        index = substrings.FMIndex(passages, many)
+        for p, found in zip(passages, index.intervals(passages, 8), strict=True):
+            assert [i for i in range(len(p) - 7) if count[tuple(p[i : i + 8])] > 1] == sorted({x for a, b in found for x in range(a, b + 1)})
+        p = passages[0]
+        text = index.symbols(p)
+        for end in range(len(p)):
+            got = int(index.matched_from(text, np.array([end]), np.array([0]))[0])
+            hits = lambda a: sum((1 + m) * sum(q[i : i + end + 1 - a] == p[a : end + 1] for i in range(len(q) - end + a)) for q, m in zip(passages, many, strict=True))
+            assert got == min((a for a in range(end + 1) if hits(a) > 1), default=end + 1)
+
+
 def test_toxicity(spark):
     assert len(toxicity.Matcher({"idiot": 2.0, "trash": 1.0}).hits("You 1d1ot, IDIOTS! trash can idiotic trаsh!")) == 3
     bad = [(i, near(BASE, 50) + (" you idiot" if i % 3 else " zlgvorp" + R.choice("abc")), int(True)) for i in range(60)]
