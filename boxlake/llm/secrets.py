@@ -1,24 +1,26 @@
 """Secret scans by a trigram inverted index, with DataFrame functions only.
 
-Each rule's regex gives a Boolean query of trigrams that any match must hold. The index lists the rows that hold each of
-these trigrams; postings are intersected a row, and rows that meet a rule's query are verified with its regex. A rule
-without mandatory trigrams (a bare run of hex digits) is run over every text.
+Each rule's regex gives a Boolean query of trigrams that any match must hold. The index has, per trigram that some rule
+asks for and per shard, the list of the texts that hold it (by a hash). A rule's query is answered from these lists alone,
+by intersections and unions; only then are the texts found fetched and verified with the rule's regex. A rule without
+mandatory trigrams (a bare run of hex digits) is run over every text.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii, stored
+from .common import documents, join_keyed, lower_ascii, stored
 
 #: Strings that a part of a regex may stand for before it counts as anything.
 MOST_STRINGS = 64
+#: Texts a shard of the index has, about: the longest list of a trigram.
+SHARD_ROWS = 16_384
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,9 @@ def _any(queries: list[Query]) -> Query:
     if any(q == ("and", ()) for q in queries):
         return ("and", ())
     flat = tuple(dict.fromkeys(queries))
+    plain = {q: trigrams(q) for q in flat if q[0] != "or" and all(x[0] == "tri" for x in q[1] if q[0] == "and")}
+    # A choice that asks for all that another asks for, and more, adds nothing.
+    flat = tuple(q for q in flat if not any(p != q and plain[p] <= plain[q] for p in plain if q in plain))
     return flat[0] if len(flat) == 1 else ("or", flat)
 
 
@@ -108,59 +113,79 @@ def trigrams(query: Query) -> set[str]:
     return {query[1]} if query[0] == "tri" else set().union(*map(trigrams, query[1]))
 
 
-def _holds(query: Query, flag: dict[str, Column]) -> Column:
+def _answer(query: Query, lists: Column) -> Column:
+    """Texts of a shard that meet the query, from its map of trigram to list."""
     if query[0] == "tri":
-        return flag[query[1]]
-    return reduce(lambda a, b: a & b if query[0] == "and" else a | b, [_holds(q, flag) for q in query[1]])
+        return F.coalesce(lists[query[1]], F.array().cast("array<long>"))
+    parts = [_answer(q, lists) for q in query[1]]
+    if query[0] == "or":
+        return F.array_distinct(F.flatten(F.array(*parts)))
+    return F.aggregate(F.array(*parts[1:]), parts[0], F.array_intersect)
 
 
-def build_index(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """Postings (trigram, doc_id, h) of the trigrams asked for; h tells texts of one doc_id apart."""
-    folded = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), lower_ascii(F.col("text")).alias("t"))
+def build_index(docs: DataFrame, grams: list[str], shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Postings (trigram, shard, texts) for the trigrams asked for; texts are listed by xxhash64. Stored, for any number of queries.
+
+    Texts of one hash share their postings, which can only make more of them candidates.
+    """
+    shards = max(1, -(-docs.count() // shard_rows))
+    folded = docs.select(F.xxhash64("text").alias("h"), lower_ascii(F.coalesce("text", F.lit(""))).alias("t"))
     held = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("t"), g))
-    return folded.select("doc_id", "h", F.explode(held).alias("trigram"))
+    rows = folded.select("h", F.explode(held).alias("trigram")).withColumn("shard", F.pmod("h", F.lit(shards)))
+    return stored(rows.groupBy("trigram", "shard").agg(F.collect_set("h").alias("texts")), "postings")
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """(doc_id, h, rules): rows whose postings meet the query of a rule, with the kinds of those rules."""
-    grams = sorted(set().union(*map(trigrams, queries.values())))
-    name = {g: f"g{i}" for i, g in enumerate(grams)}
-    rows = index.groupBy("doc_id", "h").agg(*(F.max(F.col("trigram") == g).alias(n) for g, n in name.items()))
-    flag = {g: F.col(n) for g, n in name.items()}
-    rules = F.filter(F.array(*(F.when(_holds(q, flag), F.lit(k)) for k, q in queries.items())), lambda x: x.isNotNull())
-    return rows.select("doc_id", "h", rules.alias("rules")).where(F.size("rules") > 0)
+    """(h, rules): texts whose postings meet the query of a rule, with the kinds of those rules."""
+    grams = set().union(*map(trigrams, queries.values()))
+    shards = index.where(F.col("trigram").isin(*sorted(grams))).groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "texts"))).alias("lists"))
+    found = F.array(*(F.struct(F.lit(k).alias("kind"), _answer(q, F.col("lists")).alias("texts")) for k, q in queries.items()))
+    each = shards.select(F.explode(found).alias("f")).select("f.kind", F.explode("f.texts").alias("h"))
+    return each.groupBy("h").agg(F.collect_set("kind").alias("rules"))
 
 
 def spans(text: str, rule: Rule, order: int) -> Column:
     """array of (s, k, e): code points of the rule's matches in the column, found by the lengths of what lies between them.
 
-    The regex goes over a text three times, however many matches it has: what lies between them, the matches and the group
-    are zipped once. What follows the last match has no match beside it and is filtered out.
+    The regex goes over a text three times, however many matches it has. An array can't be added to in place, so places
+    are summed in blocks of the root of the number of matches: n matches cost the root of n copies each, not n. What
+    follows the last match has no match beside it and is left out.
     """
     rx = rule.regex.replace("\\", "\\\\").replace("'", "\\'")
-    sql = f"""
-      filter(aggregate(arrays_zip(split({text}, '{rx}', -1), regexp_extract_all({text}, '{rx}', 0), regexp_extract_all({text}, '{rx}', {rule.group})),
-        named_struct('at', 0, 'out', cast(array() as array<struct<s:int,k:int,e:int,n:int>>)),
-        (acc, x) -> named_struct('at', acc.at + length(x.`0`) + length(x.`1`), 'out', array_append(acc.out,
-          named_struct('s', acc.at + length(x.`0`), 'k', {order}, 'e', acc.at + length(x.`0`) + length(x.`1`), 'n', length(x.`2`)))),
-        acc -> acc.out), x -> x.n >= {rule.least})"""
-    return F.when(F.col(text).rlike(rule.regex), F.expr(sql))
+    let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    nothing = "cast(array() as array<struct<s:int,k:int,e:int>>)"
+    match = f"named_struct('s', acc.at + length(x.`0`), 'k', {order}, 'e', acc.at + length(x.`0`) + length(x.`1`))"
+    block = f"""aggregate(slice(z, b * w + 1, w), named_struct('at', 0, 'out', {nothing}), (acc, x) -> named_struct('at', acc.at + length(x.`0`) + length(x.`1`),
+        'out', if(length(x.`2`) >= {rule.least}, array_append(acc.out, {match}), acc.out)))"""
+    starts = "aggregate(blocks, named_struct('at', 0, 'out', cast(array() as array<int>)), (acc, x) -> named_struct('at', acc.at + x.at, 'out', array_append(acc.out, acc.at)), acc -> acc.out)"
+    moved = f"flatten(zip_with(blocks, {starts}, (y, at) -> transform(y.out, x -> named_struct('s', x.s + at, 'k', x.k, 'e', x.e + at))))"
+    zipped = f"arrays_zip(split({text}, '{rx}', -1), regexp_extract_all({text}, '{rx}', 0), regexp_extract_all({text}, '{rx}', {rule.group}))"
+    sql = let(zipped, "z", let("cast(ceil(sqrt(size(z))) as int)", "w", let(f"transform(sequence(0, (size(z) - 1) div w), b -> {block})", "blocks", moved)))
+    return F.when(F.col(text).rlike(rule.regex), F.expr(sql)).otherwise(F.expr(nothing))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = BASE) -> DataFrame:
     """doc_id, n_<kind> of the base rules, base_sha256 and spans of every row of docs.
 
     Spans read kind:start:end by start, then kind as listed; code points, end exclusive. A null text counts as empty. A
-    null doc_id is a value; rows that repeat each other each give their row. Other columns of docs are ignored.
+    null doc_id is a value; rows that repeat each other each give their row; other columns of docs are ignored; an empty
+    table gives an empty result. Very long texts with very many matches take little more than linear time. Matches of one
+    rule never overlap, and two kinds that start at one place come in the order of the rules.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex)) != ("and", ())}
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    index = stored(build_index(rows, sorted(set().union(*map(trigrams, queries.values())))), "postings")
-    found = stored(candidates(index, queries), "candidates").select(F.col("doc_id").alias("_id"), "h", "rules")
-    joined = rows.withColumn("_h", F.xxhash64("doc_id", "text")).join(found, (F.col("_h") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    none = F.lit(None).cast("array<struct<s:int,k:int,e:int,n:int>>")
-    of = [F.when(F.array_contains("rules", r.kind), spans("text", r, i)).otherwise(none) if r.kind in queries else spans("text", r, i) for i, r in enumerate(rules)]
-    found = joined.select("doc_id", F.sort_array(F.flatten(F.filter(F.array(*of), lambda x: x.isNotNull()))).alias("all"))
+    grams = sorted(set().union(*map(trigrams, queries.values())))
+    every = [spans("text", r, i) for i, r in enumerate(rules) if r.kind not in queries] or [F.array().cast("array<struct<s:int,k:int,e:int>>")]
+    own = rows.select("doc_id", F.sha2("text", 256).alias("sha"), F.flatten(F.array(*every)).alias("own"))
+    if grams:
+        found = stored(candidates(build_index(rows, grams), queries), "candidates")
+        fetched = join_keyed(rows.select("text", F.xxhash64("text").alias("h")), found, "h", F.rand(1))
+        verified = F.flatten(F.array(*(F.when(F.array_contains("rules", r.kind), spans("text", r, i)).otherwise(F.array()) for i, r in enumerate(rules) if r.kind in queries)))
+        verified = fetched.select(F.sha2("text", 256).alias("sha"), verified.alias("more")).where(F.size("more") > 0)
+        own = own.join(stored(verified.dropDuplicates(["sha"]), "verified"), "sha", "left")
+    else:
+        own = own.withColumn("more", F.array())
+    found = own.select("doc_id", F.sort_array(F.concat("own", F.coalesce("more", F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")))).alias("all"))
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     text_of = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.element_at(kinds, x["k"] + 1), F.lit(":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",")
     number = lambda i: F.size(F.filter("all", lambda x: x["k"] == i)).cast("long")

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -199,6 +201,28 @@ def test_secrets(spark):
     assert found.spans[found.doc_id == 6].iloc[0] == "assign:2:20" and secrets.trigram_query("[0-9a-f]{32,}") == ("and", ())
 
 
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    n = 200_000
+    text = "".join(f"token=abcdefg{i % 10} é " for i in range(n))
+    began = time.perf_counter()
+    row = secrets.scan(spark.createDataFrame([(1, text), (1, text), (2, "x")], "doc_id long, text string")).where("doc_id = 1").distinct().collect()
+    assert time.perf_counter() - began < 90
+    starts = [0, *itertools.accumulate(len(f"token=abcdefg{i % 10} é ") for i in range(n - 1))]
+    assert len(row) == 1 and row[0].n_assign == n and row[0].spans == ",".join(f"assign:{a}:{a + 14}" for a in starts)
+
+
+def test_secret_candidates_come_from_the_postings(spark, none):
+    queries = {r.kind: q for r in secrets.RULES if (q := secrets.trigram_query(r.regex)) != ("and", ())}
+    grams = sorted(set().union(*map(secrets.trigrams, queries.values())))
+    texts = ["my TOKEN", "tok oke ken", "to ke n", "akia", "kia", None, "xoxb-", "secretary pass", *(f"plain {i}" for i in range(50))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("h", F.xxhash64("text"))
+    index = secrets.build_index(docs, grams, shard_rows=4)
+    held = lambda q, t: q[1] in t if q[0] == "tri" else (all if q[0] == "and" else any)(held(x, t) for x in q[1])
+    found = {r.text: sorted(r.rules) for r in docs.join(secrets.candidates(index, queries), "h").collect()}
+    assert found == {t: k for t in texts if t and (k := sorted(k for k, q in queries.items() if held(q, t.lower())))}
+    assert secrets.scan(none).count() == 0 and secrets.scan(none).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+
+
 def test_quality_rules(spark, docs, none):
     found = quality_rules.quality_rules(docs, pieces.model_path())
     mine = key(found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())
