@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
@@ -188,7 +189,10 @@ def model_path() -> str:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int, with the end id) and decoded of every row; null texts count as empty."""
+    """doc_id, ids (array of int, with the end id) and decoded of every row; null texts count as empty.
+
+    Repeated rows and null doc_ids each give their row; other columns are ignored; an empty table gives an empty result.
+    """
 
     def make():
         def work(batch):
@@ -201,30 +205,35 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, ids array<int>, decoded string", make)
 
 
-def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row.
+def encoding_digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, and ids (array of int) if asked.
 
     Ids end with the end id. Null and empty texts have that id only and decode to nothing. Repeated rows and null
-    doc_ids each give their row; other columns are ignored. Digests are made where the ids are, which then needn't move.
+    doc_ids each give their row; other columns are ignored; an empty table gives an empty result. Texts are encoded
+    whole, one at a time. Digests are made where the ids are, which then needn't move; a text that equals the one before
+    it (copies of a mix follow each other) is not encoded again.
     """
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def make():
         def work(batch):
-            c, rows = codec(path), []
+            c, rows, last = codec(path), [], None
             end = str(c.end_id)
             for text in batch.column("text").to_pylist():
-                parts = c.segments(text or "")
-                decoded = "".join([p[2] for p in parts])
-                # The dummy prefix goes again, as decode() does it.
-                decoded = decoded[1:] if parts and decoded[:1] == " " else decoded
-                ids = " ".join([p[1] for p in parts] + [end])
-                rows.append((sum(len(p[0]) for p in parts) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            return {"doc_id": batch.column("doc_id"), "n_tokens": list(n), "ids_sha256": list(a), "decoded_sha256": list(b)}
+                if not rows or text != last:
+                    parts, last = c.segments(text or ""), text
+                    decoded = "".join([p[2] for p in parts])
+                    # The dummy prefix goes again, as decode() does it.
+                    decoded = decoded[1:] if parts and decoded[:1] == " " else decoded
+                    said = " ".join([p[1] for p in parts] + [end])
+                    row = [sum(len(p[0]) for p in parts) + 1, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
+                    row += [[*chain.from_iterable([p[0] for p in parts]), c.end_id]] * keep_ids
+                rows.append(row)
+            return {"doc_id": batch.column("doc_id")} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
         return work
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, make)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,22 @@
 """SimHash near-duplicates: segment-popcount embedding, grid range-join, exact check, components.
 
 A fingerprint is embedded as the bit counts of its 2-bit segments. Counts are kept in unary, so the Manhattan distance
-of two embeddings is the bit count of their xor; it never exceeds the Hamming distance. The grid has one cell for each
-choice of `blocks - limit` of the embedding's blocks: within distance `limit`, at most `limit` blocks differ, so every
-linked pair shares a cell of some choice. Pairs of a cell are cut by the Manhattan bound, then verified bit by bit.
+of two embeddings is the bit count of their xor; it never exceeds the Hamming distance. A range probe in all 32
+dimensions at once would visit tens of thousands of neighbour cells, so the grid is laid over projections: the segments
+are split into blocks, and there is a cell for each choice of `blocks - limit` of them. Within distance `limit` at most
+`limit` blocks differ, so every linked pair shares a cell of some choice, and no neighbour need be probed. Members of a
+cell are put in the order of their total counts; each is compared with those whose total is at most `limit` less, first
+by Manhattan distance, then bit by bit.
+
+More blocks mean more rows a fingerprint and fewer pairs: their number goes by that of the fingerprints (blocks_for),
+which changes the cost, never the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +27,11 @@ from pyspark.sql import functions as F
 from .common import as_bytes, join_keyed, map_batches, stored
 from .components import components
 
-SHINGLE, LIMIT, BLOCKS, SEED = 4, 4, 8, 42
+SHINGLE, LIMIT, SEED = 4, 4, 42
+#: 2-bit segments of a fingerprint; numbers of blocks to choose from; pairs a fingerprint that blocks_for allows, about.
+SEGMENTS, BLOCKS, PAIRS = 32, (8, 10, 12, 16), 1_000
+#: Rows that a task makes cells of.
+CELL_ROWS = 2_000_000
 #: Fingerprints of a cell that are compared in one piece; larger cells are compared as pairs of pieces.
 PIECE = 4096
 #: Shingles whose bits are counted at once.
@@ -41,9 +52,11 @@ def shingle_hashes(text: bytes, shingle: int) -> list[int]:
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    if not text.strip():
-        return 0
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle)) if text.strip() else 0
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits set in over half of hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), STEP):
         part = np.array(hashes[i : i + STEP], "<u8")
@@ -70,11 +83,21 @@ def embedding(fp: Column) -> Column:
     return ((fp.bitwiseOR(F.shiftrightunsigned(fp, 1))).bitwiseAND(low)).bitwiseOR((fp.bitwiseAND(F.shiftleft(fp, 1))).bitwiseAND(high))
 
 
-def cells(fps: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(fingerprints: int, limit: int = LIMIT) -> int:
+    """The least number of blocks at which a fingerprint meets up to PAIRS others in its cells, were all bits independent.
+
+    Two segments agree in 3 of 8 cases. At 8 blocks (70 cells of 16 segments) a fingerprint meets 1 in 100,000 others, at
+    12 (495 cells of 21) 1 in 2.5 million: 10,000 and 400 of a billion.
+    """
+    meets = lambda b: comb(b, limit) * (3 / 8) ** (SEGMENTS * (b - limit) / b)
+    return next((b for b in BLOCKS if b > limit and fingerprints * meets(b) <= PAIRS), BLOCKS[-1])
+
+
+def cells(fps: DataFrame, limit: int, blocks: int) -> DataFrame:
     """(cell, fp): every fingerprint in each of its C(blocks, limit) grid cells."""
-    width, keys = 64 // blocks, []
+    bounds, keys = [SEGMENTS * i // blocks for i in range(blocks + 1)], []
     for n, chosen in enumerate(combinations(range(blocks), blocks - limit)):
-        mask = sum(((1 << width) - 1) << (width * b) for b in chosen)
+        mask = sum(((1 << 2 * (bounds[b + 1] - bounds[b])) - 1) << 2 * bounds[b] for b in chosen)
         mask -= (mask >> 63) << 64
         keys.append(F.xxhash64(F.lit(n), F.col("e").bitwiseAND(F.lit(mask).cast("long"))))
     return fps.select("fp", embedding(F.col("fp")).alias("e")).select(F.explode(F.array(*keys)).alias("cell"), "fp")
@@ -87,10 +110,15 @@ def _unary(x: np.ndarray) -> np.ndarray:
 
 def links(x: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """A spanning forest of the graph that joins members of x within limit bits: at most len(x) - 1 links, not all pairs."""
+    total = np.bitwise_count(x.view(np.uint64)).astype(np.int16)
+    order = np.argsort(total, kind="stable")
+    x, total = x[order], total[order]
     bits = x.view(np.uint64)
     unary, root, out = _unary(bits), np.arange(len(x)), []
+    from_ = np.searchsorted(total, total - limit)  # totals differ by the Manhattan distance at most
     for i in range(1, len(x)):
-        near = np.flatnonzero(np.bitwise_count(unary[:i] ^ unary[i]) <= limit)  # Manhattan distance, a lower bound
+        a = int(from_[i])
+        near = a + np.flatnonzero(np.bitwise_count(unary[a:i] ^ unary[i]) <= limit)  # Manhattan distance, a lower bound
         near = near[np.bitwise_count(bits[near] ^ bits[i]) <= limit]
         while len(near):
             j = int(near[0])
@@ -139,9 +167,12 @@ def _runs(piece: int, limit: int):
     return run
 
 
-def near_links(fps: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS, piece: int = PIECE) -> DataFrame:
+def near_links(fps: DataFrame, limit: int = LIMIT, blocks: int | None = None, piece: int = PIECE) -> DataFrame:
     """Links (u, v) that connect exactly those of the distinct fingerprints fps(fp) that pairs within limit connect."""
-    keyed = cells(fps, limit, blocks)
+    count = fps.count()
+    blocks = blocks or blocks_for(count, limit)
+    # A small table of fingerprints would come as a task or two, which then made all rows of the grid.
+    keyed = cells(fps.repartition(max(1, -(-count * comb(blocks, limit) // CELL_ROWS))), limit, blocks)
     parted = keyed.repartition("cell").sortWithinPartitions("cell")
     found = stored(parted.mapInArrow(_runs(piece, limit), EDGES), "links")
     edges, hot = found.where("hot is null").select("u", "v"), found.where("hot is not null").select(F.col("hot").alias("cell"))
@@ -156,12 +187,14 @@ def near_links(fps: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS, piece:
     return edges.union(stored(again, "hot-links").select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT, blocks: int = BLOCKS, piece: int = PIECE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT, blocks: int | None = None, piece: int = PIECE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable over links) of every row of docs.
 
     Equal fingerprints count once, so copies in any number cost one row of the join. Null texts count as empty;
     a text without words has fingerprint 0 and links like any other. Rows with a null doc_id take part; if a component
-    has no other, its component_id is null. Repeated rows each give their row. Other columns of docs are ignored.
+    has no other, its component_id is null. Repeated rows each give their row. A bit set in just half of the shingles is
+    0. Other columns of docs are ignored; an empty table gives an empty result. A text is read whole, by one task, with
+    one hash a word at once.
     """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")

@@ -1,7 +1,10 @@
-"""Near-duplicates by word shingles: MinHash bands give candidates, an exact Jaccard check decides, components group.
+"""Near-duplicates of a Jaccard similarity of 0.8: candidates by SimHash and MinHash, an exact check, components.
 
-Texts that share a band form candidate groups. Each group's shingle sets are then compared in full, whether or not two
-of them share a band, so a pair is lost only if no chain of shared bands joins it. Sets are compared by 64-bit hashes.
+Operator 1 finds texts whose fingerprints are a few bits apart; of 64 bits, texts of similarity 0.8 differ in 10 at the
+mean, and a grid that reaches so far would meet much of the corpus. So its groups (of five-word fingerprints) are joined
+by those of MinHash bands. Texts that share a SimHash component or a band form candidate groups. Each group's shingle
+sets are then compared in full, so that neither way of finding candidates decides, and a pair is lost only if no chain
+of candidates joins it. Sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, join_keyed, keep_rows, map_batches, stored, text_sha256
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import LIMIT, majority, near_links, shingle_hashes
 
 #: Words of a shingle; least Jaccard similarity, as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
@@ -93,22 +96,34 @@ def _compared(least: tuple[int, int]):
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_sha256 (of the text, A-Z lowered), node (hash of the set of shingles), n (its size), bands."""
+    """doc_id, text_sha256 (of the text, A-Z lowered), node (hash of the set of shingles), n (its size), fp, bands.
+
+    fp is the SimHash of the set: every shingle counts once, so that it depends on the node only.
+    """
 
     def make():
         def work(batch):
             sets = [shingle_set(t, shingle) for t in as_bytes(batch, "text")]
             node = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            return {"doc_id": batch.column("doc_id"), "text_sha256": batch.column("text_sha256"), "node": node, "n": list(map(len, sets)), "bands": list(map(band_keys, sets))}
+            fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            return {"doc_id": batch.column("doc_id"), "text_sha256": batch.column("text_sha256"), "node": node, "n": list(map(len, sets)), "fp": pa.array(fp), "bands": list(map(band_keys, sets))}
 
         return work
 
-    return map_batches(docs, "doc_id long, text_sha256 string, node long, n long, bands array<long>", make)
+    return map_batches(docs, "doc_id long, text_sha256 string, node long, n long, fp long, bands array<long>", make)
+
+
+def candidate_cells(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(node, cell): nodes that share a cell are candidates; cells are MinHash bands and SimHash components."""
+    bands = nodes.select("node", F.explode("bands").alias("cell"))
+    linked = components(near_links(stored(nodes.select("fp").distinct(), "prints"), limit)).select(F.col("node").alias("fp"), "root")
+    prints = nodes.select("node", "fp", F.xxhash64("fp").alias("h")).join(linked.withColumn("h", F.xxhash64("fp")), ["h", "fp"], "left")
+    return bands.union(prints.select("node", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("cell")))
 
 
 def links(nodes: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, int], piece: int, weight: int) -> DataFrame:
-    """Links (u, v) of nodes(node, n, bands, text_sha256) whose sets reach least; texts(text, text_sha256) has each one's text."""
-    cells = nodes.select("node", F.explode("bands").alias("cell")).withColumn("h", F.xxhash64("cell"))
+    """Links (u, v) of nodes(node, n, fp, bands, text_sha256) whose sets reach least; texts(text, text_sha256) has each one's text."""
+    cells = stored(candidate_cells(nodes), "candidate-cells").withColumn("h", F.xxhash64("cell"))
     first = cells.groupBy("cell").agg(F.min("node").alias("m"), F.count("*").alias("c")).where("c > 1").withColumn("h", F.xxhash64("cell"))
     star = cells.join(first, ["cell", "h"]).where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
     groups = stored(components(star).join(nodes.select("node", "n", "text_sha256"), "node"), "candidates")
@@ -138,12 +153,13 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LE
     Texts are joined if their sets of shingles have a Jaccard similarity of least or more; A-Z count as a-z. Of the texts
     that such pairs join, over any number of steps, the one with the least doc_id is kept (of equal ones that of the
     least hash); a null doc_id is larger than any other. Null texts count as empty, and texts without words as equal.
-    Rows that repeat doc_id and text share their verdict. Nothing is collected.
+    Rows that repeat doc_id and text share their verdict; other columns are ignored; an empty table gives an empty result.
+    Texts are read whole; a set has a hash a shingle, in one task. Nothing is collected.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text", text_sha256().alias("text_sha256"))
     made = stored(signatures(texts, shingle), "signatures")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")
-    nodes = stored(made.groupBy("node").agg(F.min(rank).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("node", "n", "bands", "rep", F.col("rep.text_sha256").alias("text_sha256")), "nodes")
+    nodes = stored(made.groupBy("node").agg(F.min(rank).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "n", "fp", "bands", "rep", F.col("rep.text_sha256").alias("text_sha256")), "nodes")
     linked = components(links(nodes, texts.select("text", "text_sha256"), shingle, least, piece, weight))
     label = nodes.select("node", "rep").join(linked, "node", "left").select("rep", F.coalesce("root", "node").alias("root"))
     best = label.groupBy("root").agg(F.min("rep").alias("rep")).select("rep.doc_id", "rep.text_sha256", F.lit(True).alias("kept"))
