@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import math
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -16,8 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, map_batches
-from .pieces import LONGEST, MEMO, SPACE, codec, model_path
+from .common import BATCH_ROWS, as_bytes, documents, map_batches
+from .pieces import MEMO, model_path
 
 SYMBOLS, BLANK, WINDOW = b"#*$%&|<>", b" \t\n\r\x0b\x0c", 8
 NON_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS))
@@ -67,44 +68,70 @@ def rank_paths() -> tuple[str, ...]:
 
 
 class Fertility:
-    """Tokens of single words for the piece vocabulary at path and byte-level ones (rank files; None: rank_paths())."""
+    """Tokens of single words for the piece vocabulary at path and byte-level ones (rank files; None: rank_paths()).
+
+    learn() encodes the words of a batch that are not yet known, all at once; measure() then only looks up and sums.
+    """
 
     def __init__(self, path: str, ranks: tuple[str, ...] | None = None) -> None:
-        ranks = rank_paths() if ranks is None else ranks
-        self.codec, self.others = codec(path), []
-        self.known: dict[bytes, tuple[list[int], tuple[int, ...]]] = {}
-        self.older = self.known
-        for p in ranks:
+        import sentencepiece
+
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+        self.others = []
+        for p in rank_paths() if ranks is None else ranks:
             import public_tokenizers
             import tiktoken
 
             with open(p, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.others.append(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary)
-        self.is_byte = {i for i, k in enumerate(self.codec.kinds) if k == self.codec.bytes}
-
-    def word(self, w: bytes) -> tuple[list[int], tuple[int, ...]]:
-        """ids of the piece vocabulary, numbers of tokens of the others."""
-        found = self.older.get(w)
-        if found is None:
-            text = w.decode(errors="replace")
-            found = self.codec.ids_of(SPACE + text.replace(" ", SPACE)), tuple(len(e(" " + text)) for e in self.others)
-        if len(w) <= LONGEST:
-            if len(self.known) >= MEMO:
-                self.known, self.older = {}, self.known
-            self.known[w] = found
-        return found
+            begins = np.zeros(max(table.values()) + 1, bool)
+            begins[[i for t, i in table.items() if t.startswith(b" ")]] = True
+            self.others.append((tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary, begins))
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.flat, self.at = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.counts = np.empty((len(self.others), 0), np.int64)
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        if len(self.index) > MEMO or len(self.flat) > 8 * MEMO:
+            self.forget()
+        new = list(set().union(*texts).difference(self.index))
+        if not new:
+            return
+        said = [w.decode(errors="replace") for w in new]
+        ids = self.pieces.encode(said)
+        plain = [i for i, w in enumerate(said) if w.isascii() or w == "".join(w.split())]  # no blank of any kind in it
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        self.counts = np.concatenate([self.counts, [self.token_counts(said, plain, *o) for o in self.others]], axis=1) if self.others else np.empty((0, len(self.at) - 1), np.int64)
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+
+    @staticmethod
+    def token_counts(words: list[str], plain: list[int], encode: Callable[[str], list[int]], begins: np.ndarray) -> np.ndarray:
+        """Tokens of each word with a space before it. Plain words are encoded in one go: a token that starts with a space starts a word."""
+        out = np.empty(len(words), np.int64)
+        for i in set(range(len(words))).difference(plain) if len(plain) < len(words) else ():
+            out[i] = len(encode(" " + words[i]))
+        if plain:
+            first = np.flatnonzero(begins[np.array(tokens := encode(" " + " ".join([words[i] for i in plain])))])
+            out[plain] = np.diff(np.r_[first, len(tokens)])
+        return out
 
     def measure(self, words: list[bytes], chars: int) -> tuple[float, float, float, int]:
-        """Least characters per token, share of byte tokens, entropy of the tokens, number of tokens."""
-        found = [self.known.get(w) or self.word(w) for w in words]
-        tokens = Counter(chain.from_iterable([f[0] for f in found]))
-        total = tokens.total()
-        if not total:
+        """Least characters per token, share of byte tokens, entropy of the tokens, number of tokens; for words learnt."""
+        if not words:
             return 0.0, 0.0, 0.0, 0
-        counts = [total, *map(sum, zip(*[f[1] for f in found], strict=True))]
-        entropy = math.log2(total) - math.fsum(c * math.log2(c) for c in tokens.values()) / total
-        return min(chars / n for n in counts), sum(tokens[i] for i in self.is_byte.intersection(tokens)) / total, max(entropy, 0.0), total
+        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        start = self.at[which]
+        count = self.at[which + 1] - start
+        total = int(count.sum())
+        tokens = self.flat[np.repeat(start - np.cumsum(count) + count, count) + np.arange(total)]
+        often = np.unique(tokens, return_counts=True)[1]
+        entropy = math.log2(total) - float(often @ np.log2(often)) / total
+        return chars / max(total, *self.counts[:, which].sum(axis=1).tolist()), int(self.is_byte[tokens].sum()) / total, max(entropy, 0.0), total
 
 
 @lru_cache(2)
@@ -113,8 +140,13 @@ def fertility_of(path: str, ranks: tuple[str, ...]) -> Fertility:
     return Fertility(path, ranks)
 
 
-def assess(text: bytes, fertility: Fertility, bands: dict[str, tuple[float, ...]]) -> tuple:
-    words = text.split()
+def assess(texts: list[bytes], fertility: Fertility, bands: dict[str, tuple[float, ...]]) -> list[tuple]:
+    split = [t.split() for t in texts]
+    fertility.learn(split)
+    return [_assess(t, words, fertility, bands) for t, words in zip(texts, split, strict=True)]
+
+
+def _assess(text: bytes, words: list[bytes], fertility: Fertility, bands: dict[str, tuple[float, ...]]) -> tuple:
     n, repeated = len(words), repeat_words(words)
     chars = len(text.decode(errors="replace")) - (len(text) - len(text.translate(None, BLANK)))
     failed = n < 20 or 100 * repeated > 30 * n
@@ -139,7 +171,7 @@ def quality_rules(docs: DataFrame, path: str, ranks: tuple[str, ...] | None = No
         fertility = fertility_of(path, ranks)
 
         def work(batch):
-            rows = [assess(t, fertility, bands) for t in as_bytes(batch, "text")]
+            rows = assess(as_bytes(batch, "text"), fertility, bands)
             return {"doc_id": batch.column("doc_id")} | dict(zip(names[1:], map(list, zip(*rows, strict=True)) if rows else [[] for _ in names[1:]], strict=True))
 
         return work
@@ -155,12 +187,12 @@ def keep_good(docs: DataFrame, path: str, ranks: tuple[str, ...] | None = None,
         raise ValueError("docs needs a column text")
 
     ranks = rank_paths() if ranks is None else ranks
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
-
     def run(batches):
         fertility = fertility_of(path, ranks)
         for batch in batches:
-            yield batch.filter(pa.array([assess(t, fertility, bands)[-1] for t in as_bytes(batch, "text")], pa.bool_()))
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
+                yield part.filter(pa.array([row[-1] for row in assess(as_bytes(part, "text"), fertility, bands)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

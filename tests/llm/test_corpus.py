@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import time
 from collections import Counter
@@ -236,7 +237,7 @@ def test_quality_rules(spark, docs, none):
     assert mine == key(expected)
     prose = b"The river runs past an old mill where two brothers once ground corn for every farm in the valley; today its wheel stands still, and only herons come to fish below the broken weir at dusk."
     fertility = quality_rules.Fertility(pieces.model_path())
-    assert quality_rules.assess(prose, fertility, quality_rules.BANDS)[-1] and not quality_rules.assess("\u0378\u0379 ".encode() * 30, fertility, quality_rules.BANDS)[-1]
+    assert [row[-1] for row in quality_rules.assess([prose, "\u0378\u0379 ".encode() * 30], fertility, quality_rules.BANDS)] == [True, False]
     assert not found.where("kept and base_failed").count() and quality_rules.quality_rules(none, pieces.model_path()).count() == 0
     assert quality_rules.keep_good(docs, pieces.model_path()).columns == docs.columns
 
@@ -268,10 +269,39 @@ def test_quality_rules_takes_the_least_of_the_vocabularies(spark):
     ("Η επιτροπή συνεδρίασε στο παλιό δημαρχείο για να συζητήσει πώς θα πληρωθεί η νέα γέφυρα και ποιοι δρόμοι θα πρέπει να κλείσουν όσο χτίζεται πάνω από το ποτάμι", "greek", True),
 ))
 def test_bands_reject_junk_and_keep_prose(text, script, kept):
-    row = quality_rules.assess(text.encode(), quality_rules.fertility_of(pieces.model_path(), quality_rules.rank_paths()), quality_rules.BANDS)
+    (row,) = quality_rules.assess([text.encode()], quality_rules.fertility_of(pieces.model_path(), quality_rules.rank_paths()), quality_rules.BANDS)
     assert row[5] == script and (kept is None or row[-1] == kept and not row[-2])
 
 
+def test_fertility_measures_and_verdict(spark, docs):
+    """The three measures and the verdict of every row, word by word with the libraries."""
+    import sentencepiece
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    encoders = []
+    for p in quality_rules.rank_paths():
+        with open(p, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encoders.append(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary)
+    letters = "aeiothns.,'éüß日本😀019AB\x00\xa0\u3000▁#"
+    odd = [" ".join("".join(R.choice(letters) for _ in range(R.randrange(1, 9))) for _ in range(R.randrange(90))) for _ in range(60)]
+    rows = spark.createDataFrame([(d, t) for d, t, *_ in ROWS] + [(100 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    for r in quality_rules.quality_rules(rows, pieces.model_path()).join(rows.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id").collect():
+        words = (r.text or "").encode().split()
+        said = [w.decode() for w in words]
+        tokens = Counter(i for w in said for i in sp.encode(w))
+        total = sum(tokens.values())
+        most = max([total, *(sum(len(e(" " + w)) for w in said) for e in encoders)])
+        entropy = -sum(c / total * math.log2(c / total) for c in tokens.values())
+        share = sum(c for i, c in tokens.items() if sp.is_byte(i)) / max(total, 1)
+        per_token = sum(map(len, said)) / max(most, 1)
+        assert (r.chars_per_token, r.byte_share, r.token_entropy) == pytest.approx((per_token, share, entropy), abs=1e-9)
+        low, high, most_bytes, low_entropy, least = quality_rules.BANDS[r.script]
+        assert r.kept == (not r.base_failed and low <= per_token <= high and share <= most_bytes and (total < least or entropy >= low_entropy))
+
+
 def test_pieces(spark, docs, none):
     import sentencepiece
 
