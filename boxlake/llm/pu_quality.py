@@ -1,7 +1,8 @@
 """Quality classifier by positive-unlabelled learning: trusted positives, unlabelled web text, an estimated class prior.
 
-A text is described by shares and counts over its whole length, each cut into bands at fixed quantiles of the unlabelled
+A text is described by shares and counts over its whole length, each cut into bands at fixed quantiles of all training
 texts; a linear model over the bands minimises the non-negative unbiased risk (Kiryo et al. 2017) with logistic loss.
+Quantiles and the class prior are taken over every training row by Spark; only the fits use bounded samples.
 """
 
 from __future__ import annotations
@@ -10,14 +11,16 @@ import math
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches
-from .toxicity import fit_logistic, training_rows
+from .common import documents, map_batches, stored
+from .toxicity import fit_logistic
 
-#: Rows of each kind used to fit at most (chosen by hash); bands of a feature; steps of the fit.
-POSITIVES, UNLABELLED, BINS, STEPS, RATE, DECAY = 6_000, 12_000, 8, 400, 0.05, 1e-3
+#: Rows of each kind that a fit uses at most (chosen by hash); steps of the fit; folds of the prior's scores.
+POSITIVES, UNLABELLED, STEPS, RATE, DECAY, FOLDS, SEED = 6_000, 12_000, 400, 0.05, 1e-3, 5, 5
+#: Quantiles at which a feature is cut. What tells junk is mostly far out; few cuts keep the fit steady on few positives.
+CUTS = (0.02, 0.1, 0.5, 0.9, 0.98)
 FEATURES = ("log_words", "word_length", "upper", "digits", "marks", "symbols", "bars", "distinct_words", "top_word", "same_as_last", "dup_lines", "line_length", "ends_marked", "non_ascii", "word_entropy", "distinct_pairs", "long_words", "capital_words")
 
 
@@ -49,12 +52,6 @@ class Bands:
         self.edges = [np.array(e) for e in edges]
         self.width = sum(len(e) + 1 for e in edges)
 
-    @classmethod
-    def of(cls, x: np.ndarray, bins: int = BINS) -> Bands:
-        # Values far out are often what tells junk: the last hundredths get bands of their own.
-        at = np.r_[0.005, 0.02, np.linspace(0, 1, bins + 1)[1:-1], 0.98, 0.995]
-        return cls([np.unique(np.quantile(c, at)).tolist() for c in x.T])
-
     def __call__(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.width))
         start = 0
@@ -68,17 +65,14 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives in u: the least ratio of the shares of u and of p above a threshold of a p-against-u score.
+def share_ratio(positive: np.ndarray, all_: np.ndarray, total: tuple[int, int]) -> float:
+    """Share of positives among all, from how many of each score at least a threshold, for several thresholds.
 
-    The score is fitted on one half and the ratio taken on the other; a threshold counts if three tenths of p are above it.
+    Above a threshold that no negative reaches, the share of all rows over the share of positives is the prior; elsewhere
+    it is more. So the least ratio is taken, over thresholds that three tenths of the positives reach.
     """
-    fit = fit_logistic(np.r_[p[::2], u[::2]], np.r_[np.ones(len(p[::2])), np.zeros(len(u[::2]))], ridge=5.0)
-    sp, su = p[1::2] @ fit[:-1], u[1::2] @ fit[:-1]
-    best = 1.0
-    for t in np.unique(np.quantile(sp, np.linspace(0.02, 0.7, 35))):
-        if (a := (sp >= t).mean()) >= 0.3:
-            best = min(best, (su >= t).mean() / a)
+    a, b = positive / max(total[0], 1), all_ / max(total[1], 1)
+    best = min((y / x for x, y in zip(a.tolist(), b.tolist(), strict=True) if x >= 0.3), default=1.0)
     return float(min(max(best, 0.02), 0.98))
 
 
@@ -102,52 +96,97 @@ def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = STEPS, rate:
     return w
 
 
-def _described(rows: DataFrame) -> np.ndarray:
-    """Features of a bounded number of rows, in an order that the partitions do not set."""
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """The non-negative risk that fit_pu() lowers, without its decay."""
+    fp, fu = np.c_[p, np.ones(len(p))] @ w, np.c_[u, np.ones(len(u))] @ w
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    return float(prior * np.logaddexp(0, -fp).mean() + max(0.0, negative))
+
+
+def held_out_rows(modulus: int, held_out: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held_out, F.lit(False))
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id and x (FEATURES) of every row of docs, stored: texts are read once, for learning and scoring.
+
+    Null texts count as empty. Repeated rows and null doc_ids each give their row; other columns are ignored.
+    """
 
     def make():
         return lambda batch: {"doc_id": batch.column("doc_id"), "x": [describe(t or "") for t in batch.column("text").to_pylist()]}
 
-    table = map_batches(rows.select("doc_id", "text"), "doc_id long, x array<double>", make).toPandas().sort_values("doc_id", kind="stable")
-    return np.array(table["x"].tolist(), float).reshape(-1, len(FEATURES))
+    return stored(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, x array<double>", make), "described")
+
+
+def _sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """x and fold of at most most rows, chosen by hash; in an order that the partitions do not set."""
+    found = rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "x").limit(most).select("x", "fold").collect()
+    return np.array([r["x"] for r in found], float).reshape(-1, len(FEATURES)), np.array([r["fold"] for r in found], int)
+
 
+def _prior(rows: DataFrame, bands: Bands, p: np.ndarray, p_fold: np.ndarray, u: np.ndarray, u_fold: np.ndarray) -> float:
+    """The class prior over all of rows(x, fold, trusted), each scored by a p-against-u model that its fold took no part in."""
+    models = []
+    for k in range(FOLDS):
+        a, b = p[p_fold != k], u[u_fold != k]
+        models.append(fit_logistic(np.r_[a, b], np.r_[np.ones(len(a)), np.zeros(len(b))], ridge=5.0) if len(a) and len(b) else np.zeros(bands.width + 1))
+    weights = np.array(models)
 
-def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict[str, list]:
-    """The model: edges of the bands, coefficients, the prior. Only labels 1 are used. Without any, every score is the prior's 0.5."""
-    trusted = _described(training_rows(docs, labels.where("quality = 1"), "quality", modulus, held_out, positives))
-    web = docs.select(F.col("doc_id").cast("long"), "text").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != held_out)
-    ids = web.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(unlabelled)
-    web = _described(web.join(F.broadcast(ids), "doc_id"))
-    if not len(trusted) or not len(web):
+    def make():
+        def work(batch):
+            x = np.array(batch.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
+            return {"trusted": batch.column("trusted"), "s": np.einsum("ij,ij->i", bands(x), weights[batch.column("fold").to_numpy(), :-1]).tolist()}
+
+        return work
+
+    scores = stored(map_batches(rows.select("x", "fold", "trusted"), "trusted boolean, s double", make, 4096), "prior-scores")
+    at = sorted(set(scores.where("trusted").agg(F.percentile_approx("s", [float(q) for q in np.linspace(0.02, 0.7, 35)], 10_000)).first()[0] or []))
+    reach = [F.sum(((F.col("s") >= t) & c).cast("long")) for t in at for c in (F.col("trusted"), F.lit(True))]
+    found = scores.agg(F.sum(F.col("trusted").cast("long")), F.count("*"), *reach).first()
+    return share_ratio(np.array(found[2::2], float), np.array(found[3::2], float), (found[0] or 0, found[1]))
+
+
+def learn(table: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict[str, list]:
+    """The model for table = described(docs): edges of the bands, coefficients, the prior.
+
+    Only labels 1 are used, those of rows that are not held out (a doc_id with several labels counts as 1 if any is). Without any, every score is 0.5.
+    What reaches the driver: quantiles, counts, and the features of at most positives + unlabelled rows.
+    """
+    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).where("label = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("trusted")).distinct()
+    rows = table.where(~held_out_rows(modulus, held_out)).join(known, "doc_id", "left")
+    rows = stored(rows.select("doc_id", "x", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(FOLDS)).alias("fold")), "training-rows")
+    edges = rows.agg(*(F.percentile_approx(F.col("x")[i], list(CUTS), 10_000) for i in range(len(FEATURES)))).first()
+    (px, p_fold), (ux, u_fold) = _sample(rows.where("trusted"), positives), _sample(rows, unlabelled)
+    if not len(px):
         return {"edges": [[] for _ in FEATURES], "weights": [0.0] * (len(FEATURES) + 1), "prior": [0.5]}
-    bands = Bands.of(web)
-    p, u = bands(trusted), bands(web)
-    prior = estimate_prior(p, u)
+    bands = Bands([sorted(set(e)) for e in edges])
+    p, u = bands(px), bands(ux)
+    prior = _prior(rows, bands, p, p_fold, u, u_fold)
     return {"edges": [e.tolist() for e in bands.edges], "weights": fit_pu(p, u, prior).tolist(), "prior": [prior]}
 
 
-def quality_scores(docs: DataFrame, model: dict[str, list], modulus: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs; no shuffle.
+def quality_scores(table: DataFrame, model: dict[str, list], modulus: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of table = described(docs); no shuffle.
 
-    Null and empty texts are described by zeros and scored like any other. A null doc_id is not held out. Repeated rows
-    give a row each; other columns of docs are ignored.
+    Empty texts are described by zeros and scored like any other. A null doc_id is not held out. Repeated rows give a row
+    each; an empty table gives an empty result; a score that ties with the threshold is predicted 1.
     """
 
     def make():
         bands, w = Bands(model["edges"]), np.array(model["weights"])
 
         def work(batch):
-            x = np.array([describe(t or "") for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+            x = np.array(batch.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
             score = _sigmoid(bands(x) @ w[:-1] + w[-1])
             return {"doc_id": batch.column("doc_id"), "score": score.tolist(), "predicted": (score >= threshold).astype(int).tolist()}
 
         return work
 
-    scored = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, score double, predicted int", make)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held_out, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+    scored = map_batches(table.select("doc_id", "x"), "doc_id long, score double, predicted int", make, 4096)
+    return scored.select("doc_id", held_out_rows(modulus, held_out).alias("held_out"), "score", "predicted")
 
 
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return quality_scores(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    table = described(documents(spark, sf_dir))
+    return quality_scores(table, learn(table, spark.read.parquet(f"{sf_dir}/labels.parquet")))

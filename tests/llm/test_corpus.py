@@ -421,15 +421,53 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), *toxicity.learn(docs, labels.limit(0))).count() == 0
 
 
+def junk():
+    return " ".join(R.choice("@#$%&") * 3 + R.choice(WORDS).upper() for _ in range(80))
+
+
 def test_pu_quality(spark):
-    rows = [(i, near(BASE, 60) if i % 5 else " ".join(R.choice("@#$%&") * 3 + R.choice(WORDS).upper() for _ in range(80)), i % 5 and 1) for i in range(400)] + [(400, None, None), (401, "", None)]
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    rows = [(i, near(BASE, 60) if i % 5 else junk(), i % 5 and 1) for i in range(400)] + [(400, None, None), (401, "", None)]
+    table = pu_quality.described(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"))
     labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows if y is not None], "doc_id long, quality int")
-    model = pu_quality.learn(docs, labels)
-    assert 0.6 < model["prior"][0] < 0.95
-    found = pu_quality.quality_scores(docs, model).join(labels, "doc_id").where("held_out").collect()
+    model = pu_quality.learn(table, labels)
+    assert 0.7 < model["prior"][0] < 0.9
+    found = pu_quality.quality_scores(table, model).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in found) >= 0.95 * len(found)
-    assert pu_quality.quality_scores(docs.limit(0), pu_quality.learn(docs.limit(0), labels)).count() == 0
+    assert pu_quality.learn(table.repartition(7), labels.repartition(3)) == model
+    assert pu_quality.quality_scores(table.limit(0), pu_quality.learn(table.limit(0), labels)).count() == 0
+
+
+def test_pu_quality_edges(spark):
+    """Null ids, repeated rows, clashing columns, a long text, no labels; and only positive labels of open rows count."""
+    rows = [(None, BASE, 1, 9), (None, None, 1, 9), (7, BASE, 1, 9), (7, BASE, 1, 9), (8, " ".join([BASE] * 3000), 1, 9)] + [(i, near(BASE, 9) if i % 3 else junk(), 1, 9) for i in range(10, 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x int, label int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10, 130) if i % 3] + [(None, 1, 1), (11, 0, 1)], "doc_id long, quality int, toxic int")
+    table = pu_quality.described(docs)
+    model = pu_quality.learn(table, labels)
+    found = pu_quality.quality_scores(table, model)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"] and found.count() == len(rows)
+    assert all(0 <= r.score <= 1 for r in found.collect()) and {r.held_out for r in found.where("doc_id is null").collect()} == {False}
+    closed = labels.where(pu_quality.held_out_rows(4, 2))
+    assert pu_quality.learn(table, labels.exceptAll(closed).union(labels.where("doc_id is not null").withColumn("quality", F.lit(0)))) == model
+    assert pu_quality.learn(table, labels.limit(0))["prior"] == [0.5]
+    assert {r.score for r in pu_quality.quality_scores(table, pu_quality.learn(table, labels.limit(0))).collect()} == {0.5}
+
+
+def test_pu_risk_by_hand():
+    """The risk as a sum over rows, its descent, and the bands, each against loops."""
+    rng = np.random.default_rng(3)
+    p, u, w, prior = rng.random((7, 3)), rng.random((9, 3)), rng.random(4), 0.4
+    loss = lambda x, y: math.log(1 + math.exp(-y * (sum(a * b for a, b in zip(x, w, strict=False)) + w[-1])))
+    up = prior * sum(loss(x, 1) for x in p) / len(p)
+    down = sum(loss(x, -1) for x in u) / len(u) - prior * sum(loss(x, -1) for x in p) / len(p)
+    assert pu_quality.risk(w, p, u, prior) == pytest.approx(up + max(0, down))
+    fitted = pu_quality.fit_pu(p, u, prior)
+    assert pu_quality.risk(fitted, p, u, prior) < pu_quality.risk(np.zeros(4), p, u, prior)
+    bands = pu_quality.Bands([[1.0, 2.0], []])
+    for x in ((0.5, 3.0), (1.0, 0.0), (1.5, 0.0), (2.5, 0.0)):
+        place = sum(x[0] > e for e in (1.0, 2.0))
+        assert bands(np.array([x])).tolist() == [[float(i == place) for i in range(3)] + [1.0]]
+    assert pu_quality.share_ratio(np.array([90.0, 50.0, 20.0]), np.array([800.0, 400.0, 100.0]), (100, 1000)) == pytest.approx(0.8)
 
 
 @pytest.mark.parametrize("bits", [64, 5])
