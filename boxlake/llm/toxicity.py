@@ -1,13 +1,16 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick in folded text, against the length of the text.
 
-Folding takes case, homoglyphs and digit substitutions away one character for one, so places stay. An entry matches a
-whole word or, as a stem, how a word begins; matches inside an exception phrase do not count. Weights, further stems and
-the figures that turn matches into a probability are learned from labelled rows.
+First a text is made plain: compatibility forms (full-width and mathematical letters), accents and zero-width characters
+go, stretched letters shrink, parted ones join. Then folding takes case, homoglyphs and digit substitutions away one
+character for one, so places stay. An entry matches a whole word or, as a stem, how a word begins; matches inside an
+exception phrase do not count. Weights, further stems and the figures that turn matches into a probability are learned
+from labelled rows; those figures from texts that took no part in the weights they are matched with.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 
@@ -30,7 +33,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "garbage can", "garbage col
 #: Characters that look like a letter, by letter (fixed values).
 HOMOGLYPHS = {"a": "аɑα@4", "b": "вß8", "c": "сϲ¢", "d": "ԁ", "e": "еєε3€", "g": "ɡ9", "h": "һ", "i": "іιı1!|l", "j": "ј", "k": "кκ", "m": "м", "n": "ո", "o": "оοσ0", "p": "рρ", "q": "ԛ", "s": "ѕ5$", "t": "т7", "u": "υս", "v": "ν", "w": "ԝ", "x": "хχ", "y": "у", "z": "2"}
 #: Labelled rows used at most (chosen by hash).
-TRAIN_ROWS, SEED = 20_000, 9
+TRAIN_ROWS, SEED, FOLDS = 20_000, 9, 5
 #: A further stem: its lengths, in which share of the toxic texts it must be (and in how many), its least log odds; the most weight.
 STEMS, SHARE, LEAST, ODDS, MOST_WEIGHT = range(3, 9), 0.015, 5, 3.0, 8.0
 
@@ -47,46 +50,76 @@ def _table() -> dict[int, str]:
 FOLD = _table()
 
 
+#: Combining marks, zero-width and direction characters, soft hyphens, variation selectors.
+_UNSEEN = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufe20-\ufe2f\ufeff\u00ad]+")
+_STRETCHED = re.compile(r"([^\W\d_])\1\1+")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_PARTED = re.compile(r"(?<![^\W_])(?:[^\W_][-._*·]){2,}[^\W_](?![^\W_])")
+
+
+def plain(text: str) -> str:
+    """text without accents and unseen characters, compatibility forms replaced; aaa is a, a-b-c is abc."""
+    if not text.isascii():
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
+    text = _STRETCHED.sub(r"\1", text)
+    return _PARTED.sub(lambda m: m[0][::2], text)
+
+
 def fold(text: str) -> str:
     """As long as text. l, like 1, | and !, becomes i: words are folded before they are compared."""
     return text.translate(FOLD)
 
 
 class Matcher:
-    """weights: by word, or by stem with a * behind it."""
+    """weights: by word, or by stem with a * behind it. Words and exceptions are sought in the plain text, stems, which are
+    learned as they are spelt, in the text with its accents."""
 
     def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> None:
-        self.automaton = ahocorasick.Automaton()
-        entries: dict[str, list[tuple[bool, float | None]]] = {}
-        for word, w in [*weights.items(), *((e, None) for e in exceptions)]:
-            entries.setdefault(fold(word.rstrip("*")), []).append((word.endswith("*"), w))
-        for word, found in entries.items():
-            self.automaton.add_word(word, (len(word), found))
-        self.automaton.make_automaton()
+        words: dict[str, list[float | None]] = {}
+        for word, w in [*((k, v) for k, v in weights.items() if not k.endswith("*")), *((e, None) for e in exceptions)]:
+            for said in {fold(word), fold(_DOUBLE.sub(r"\1", word)) if w is not None else fold(word)}:
+                words.setdefault(said, []).append(w)
+        stems: dict[str, list[float | None]] = {}
+        for stem, w in weights.items():
+            if stem.endswith("*"):
+                stems.setdefault(fold(stem[:-1]), []).append(w)
+        self.words, self.stems = (self._built(x) for x in (words, stems))
+
+    @staticmethod
+    def _built(entries: dict[str, list[float | None]]) -> ahocorasick.Automaton | None:
+        automaton = ahocorasick.Automaton()
+        for said, found in entries.items():
+            automaton.add_word(said, (len(said), found))
+        automaton.make_automaton()
+        return automaton if entries else None
 
     def hits(self, text: str) -> list[float]:
         """Weights of the matches in text. A plural s is allowed; else a whole word may not go on into letters or digits."""
+        out: list[float] = []
+        if self.stems is not None:
+            for end, (length, weights) in self.stems.iter(fold(text)):
+                if end < length or not text[end - length].isalnum():
+                    out += weights
+        if self.words is None:
+            return out
         found: list[tuple[int, int, float]] = []
         safe: list[tuple[int, int]] = []
-        folded = fold(text)
-        n = len(folded)
-        for end, (length, entries) in self.automaton.iter(folded):
+        text = plain(text)
+        folded, n = fold(text), len(text)
+        for end, (length, weights) in self.words.iter(folded):
             a, b = end - length + 1, end + 1
             # Edges are judged on the text as given: "trash!" ends in a mark though "!" folds to a letter.
             if a and text[a - 1].isalnum():
                 continue
             whole = b + (b < n and folded[b] == "s")
-            whole = whole if whole == n or not text[whole].isalnum() else 0
-            for stem, weight in entries:
-                if not stem and not whole:
-                    continue
+            if whole < n and text[whole].isalnum():
+                continue
+            for weight in weights:
                 if weight is None:
                     safe.append((a, whole))
                 else:
                     found.append((a, b, weight))
-        if safe:
-            found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in safe)]
-        return [w for _, _, w in found]
+        return out + [w for a, b, w in found if not any(x <= a and b <= y for x, y in safe)]
 
 
 def choose_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
@@ -126,67 +159,92 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int) -> DataFrame:
-    """text and label of at most `most` labelled rows that are not held out, chosen by hash; labels of that many rows are broadcast."""
+    """doc_id, text and label of at most `most` labelled documents that are not held out, chosen by hash.
+
+    Labels of that many rows are broadcast. A doc_id with several labels has the largest; one with several texts counts
+    with one of them (that of the least hash), so that the bound holds for rows too.
+    """
     open_ = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where("label is not null and doc_id is not null")
     open_ = open_.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = open_.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def weigh(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """Weights of the lexicon and of chosen stems from (toxic, clean) counts of texts; a word of the lexicon is counted as =word."""
+    weights = dict(LEXICON)
+    if toxic and clean:
+        for w in LEXICON:
+            if found := counts.get("=" + fold(w)):
+                weights[w] = min(MOST_WEIGHT, max(0.0, math.log((found[0] + 0.5) / (toxic + 1)) - math.log((found[1] + 0.5) / (clean + 1))))
+        weights |= choose_stems({k: v for k, v in counts.items() if k and k[0] != "="}, toxic, clean)
+    return weights
 
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, most: int = TRAIN_ROWS) -> tuple[dict[str, float], list[float]]:
     """Weights of the lexicon and the coefficients of features(). With one class only, or no labels, those known beforehand.
 
-    Both come from at most `most` labelled texts, equal ones once: counts of texts leave Spark only for words of the
-    lexicon and for stems in SHARE of the toxic texts, which are few; then three figures a text.
+    Both come from at most `most` labelled texts, equal ones once. The texts are dealt to FOLDS folds; those of a fold are
+    matched by weights that the other folds give, and the coefficients are fitted to that. Counts of texts leave Spark
+    only for words of the lexicon and for stems in SHARE of the toxic texts, which are few; then three figures a text.
     """
-    rows = stored(training_rows(docs, labels, "toxic", modulus, held_out, most).dropDuplicates(["text", "label"]), "labelled")
+    rows = training_rows(docs, labels, "toxic", modulus, held_out, most).dropDuplicates(["text", "label"])
+    rows = stored(rows.select("text", "label", F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
 
     def make_counts():
         def work(batch):
             counts: Counter = Counter()
-            for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                words = {w.strip(".,;:?\"'()") for w in fold(t).split()}
-                counts.update((f"={w}", y) for w in words & known)
-                counts.update((s, y) for s in {w[:k] for w in words if w[:3].isalpha() for k in STEMS if len(w) >= k})
-                counts["", y] += 1
-            return {"entry": [w for w, _ in counts], "label": [y for _, y in counts], "n": list(counts.values())}
+            for t, y, k in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
+                words, simple = ({w.strip(".,;:?\"'()") for w in fold(x).split()} for x in (t, plain(t)))
+                counts.update((f"={w}", y, k) for w in simple & known)
+                counts.update((s, y, k) for s in {w[:n] for w in words if w[:3].isalpha() for n in STEMS if len(w) >= n})
+                counts["", y, k] += 1
+            return {"entry": [w for w, _, _ in counts], "label": [y for _, y, _ in counts], "fold": [k for _, _, k in counts], "n": list(counts.values())}
 
         return work
 
     known = {fold(w): w for w in LEXICON}.keys()
-    counts = map_batches(rows.select("text", "label"), "entry string, label int, n long", make_counts)
-    counts = counts.groupBy("entry").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
-    counts = stored(counts.where((F.col("toxic") >= LEAST) | (F.length("entry") == 0) | F.col("entry").startswith("=")), "entry-counts")
-    weights, default = dict(LEXICON), [1.5, 0.5, 1.0, -4.0]
+    counts = map_batches(rows, "entry string, label int, fold int, n long", make_counts)
+    of = lambda y, k: F.sum(F.when((F.col("label") == y) & (F.col("fold") == k), F.col("n")).otherwise(0))
+    counts = counts.groupBy("entry").agg(*(F.array(*(of(y, k) for k in range(FOLDS))).alias(name) for name, y in (("toxic", 1), ("clean", 0))))
+    counts = counts.withColumn("t", F.aggregate("toxic", F.lit(0).cast("long"), lambda a, x: a + x))
+    counts = stored(counts.where((F.col("t") >= LEAST) | (F.length("entry") == 0) | F.col("entry").startswith("=")), "entry-counts")
+    default = [1.5, 0.5, 1.0, -4.0]
     total = counts.where(F.length("entry") == 0).first()
-    if total is None or not total["toxic"] or not total["clean"]:
-        return weights, default
-    t, n = total["toxic"], total["clean"]
-    few = {r["entry"]: (r["toxic"], r["clean"]) for r in counts.where((F.col("toxic") >= max(LEAST, SHARE * t)) | F.col("entry").startswith("=")).collect()}
-    for w in LEXICON:
-        if found := few.get("=" + fold(w)):
-            weights[w] = min(MOST_WEIGHT, max(0.0, math.log((found[0] + 0.5) / (t + 1)) - math.log((found[1] + 0.5) / (n + 1))))
-    weights |= choose_stems({k: v for k, v in few.items() if k and k[0] != "="}, t, n)
+    if total is None or not sum(total["toxic"]) or not sum(total["clean"]):
+        return dict(LEXICON), default
+    least = max(LEAST, SHARE * sum(total["toxic"]) / 2)
+    few = {r["entry"]: (np.array(r["toxic"]), np.array(r["clean"])) for r in counts.where((F.col("t") >= least) | F.col("entry").startswith("=")).collect()}
+    few[""] = np.array(total["toxic"]), np.array(total["clean"])
+
+    def weights_without(k: int | None) -> dict[str, float]:
+        of = lambda a: int(a.sum() - (a[k] if k is not None else 0))
+        left = {w: (of(a), of(b)) for w, (a, b) in few.items()}
+        return weigh({w: c for w, c in left.items() if w}, *left[""])
+
+    others = [weights_without(k) for k in range(FOLDS)]
 
     def make_features():
-        matcher = Matcher(weights)
+        matchers = [Matcher(w) for w in others]
 
         def work(batch):
-            f = [features(x, matcher) for x in batch.column("text").to_pylist()]
+            f = [features(x, matchers[k]) for x, k in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             return {c: [v[i] for v in f] for i, c in enumerate("abc")} | {"label": batch.column("label")}
 
         return work
 
-    table = map_batches(rows.select("text", "label"), "a double, b double, c double, label int", make_features).toPandas().to_numpy()
+    table = map_batches(rows, "a double, b double, c double, label int", make_features).toPandas().to_numpy()
     table = table[np.lexsort(table.T[::-1])]  # partitions set no order; at most `most` rows of four figures, sorted here
-    return weights, [float(v) for v in fit_logistic(table[:, :3], table[:, 3])]
+    return weights_without(None), [float(v) for v in fit_logistic(table[:, :3], table[:, 3])]
 
 
 def toxicity(docs: DataFrame, weights: dict[str, float], coefficients: list[float], modulus: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted and n_hits of every row of docs.
 
     Null and empty texts match nothing and get the score of that. A null doc_id is not held out. Repeated rows give a row
-    each; other columns of docs are ignored.
+    each; other columns of docs are ignored; an empty table gives an empty result; a score that ties with 0.5 is predicted
+    1. A text is matched whole, whatever its length.
     """
 
     def make():

@@ -408,19 +408,65 @@ def test_matching_statistics():
             assert got == min((a for a in range(end + 1) if hits(a) > 1), default=end + 1)
 
 
+@pytest.mark.parametrize("text", ("idiot", "1d1ot", "IDIOTS!", "ïdíot", "i\u200bdiot", "id\u00adiot", "ｉｄｉｏｔ", "𝐢𝐝𝐢𝐨𝐭", "i-d-i-o-t", "i.d.i.o.t,", "idiooooot", "іdiоt", "idio\u0301t", "(idiot)"))
+def test_disguised_words_match(text):
+    assert toxicity.Matcher({"idiot": 2.0}).hits(f"so {text} he") == [2.0]
+
+
+@pytest.mark.parametrize("text", ("idiotic", "xidiot", "id iot", "i-d-i-o", "9idiot", "", "trash cans", "a guinea pig"))
+def test_other_words_do_not_match(text):
+    assert toxicity.Matcher({"idiot": 2.0, "trash": 1.0, "pig": 1.0}).hits(text) == []
+
+
+def test_matcher_against_every_place():
+    """Whole words, stems and exceptions against a scan of all places of plain texts."""
+    weights, safe = {"ab": 1.0, "abc": 2.0, "ca": 4.0, "b*": 8.0, "cab*": 16.0}, ("ab c", "ca b")
+    matcher = toxicity.Matcher(weights, safe)
+    free = lambda t, i: not 0 <= i < len(t) or not t[i].isalnum()
+    ends = lambda t, i: free(t, i) or t[i] == "s" and free(t, i + 1)
+    for _ in range(3000):
+        t = "".join(R.choice("abcs .") for _ in range(R.randrange(14)))
+        if toxicity.plain(t) != t:
+            continue
+        spans = [(i, i + len(e) + (t[i + len(e) : i + len(e) + 1] == "s")) for e in safe for i in range(len(t)) if t.startswith(e, i) and free(t, i - 1) and ends(t, i + len(e))]
+        expected = [w for k, w in weights.items() for i in range(len(t)) if t.startswith(k.rstrip("*"), i) and free(t, i - 1)
+                    and (k.endswith("*") or ends(t, i + len(k)) and not any(a <= i and i + len(k) <= b for a, b in spans))]
+        # An s is part of the place that is judged if it ends the word.
+        assert sorted(matcher.hits(t)) == sorted(expected), t
+
+
+def toxic_rows():
+    bad = [(i, near(BASE, 50) + (" you idiot" if i % 3 else " zlgvorp" + R.choice("abc")), 1) for i in range(60)]
+    return bad + [(i, near(BASE, 50), 0) for i in range(60, 200)] + [(200, None, None), (201, "", 0)]
+
+
 def test_toxicity(spark):
-    assert len(toxicity.Matcher({"idiot": 2.0, "trash": 1.0}).hits("You 1d1ot, IDIOTS! trash can idiotic trаsh!")) == 3
-    bad = [(i, near(BASE, 50) + (" you idiot" if i % 3 else " zlgvorp" + R.choice("abc")), int(True)) for i in range(60)]
-    good = [(i, near(BASE, 50), 0) for i in range(60, 200)] + [(200, None, None), (201, "", 0)]
-    docs = spark.createDataFrame([(i, t) for i, t, _ in bad + good], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, y) for i, _, y in bad + good], "doc_id long, toxic int")
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     weights, b = toxicity.learn(docs, labels)
-    rows = toxicity.toxicity(docs, weights, b).join(labels, "doc_id").where("toxic is not null").collect()
-    held = [r for r in rows if r.held_out]
-    assert sum(r.predicted == r.toxic for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in rows)
+    found = toxicity.toxicity(docs, weights, b).join(labels, "doc_id").where("toxic is not null").collect()
+    held = [r for r in found if r.held_out]
+    assert sum(r.predicted == r.toxic for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in found)
+    assert toxicity.learn(docs.repartition(7), labels.repartition(3)) == (weights, b)
     assert toxicity.toxicity(docs.limit(0), *toxicity.learn(docs, labels.limit(0))).count() == 0
 
 
+def test_toxicity_edges(spark):
+    """Null ids, repeated rows, an id with two texts, clashing columns, a long text; labels of held-out rows change nothing."""
+    rows = toxic_rows()
+    more = [(None, "you idiot"), (None, None), (7, rows[7][1]), (7, rows[7][1]), (7, "another text"), (300, " ".join([BASE] * 3000) + " idiot")]
+    docs = spark.createDataFrame([(i, t, "clash", 0) for i, t in [r[:2] for r in rows] + more], "doc_id long, text string, label string, fold int")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows] + [(None, 1, 0), (9, 0, 0)], "doc_id long, toxic int, quality int")
+    model = toxicity.learn(docs, labels)
+    found = toxicity.toxicity(docs, *model)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted", "n_hits"] and found.count() == len(rows) + len(more)
+    assert {r.held_out for r in found.where("doc_id is null").collect()} == {False}
+    open_ = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    assert toxicity.learn(docs, open_) == model
+    assert toxicity.training_rows(docs, labels, "toxic", 5, 0, 50).count() <= 50
+
+
 def junk():
     return " ".join(R.choice("@#$%&") * 3 + R.choice(WORDS).upper() for _ in range(80))
 
