@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD, documents, join_keyed, stored
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 20
-#: Hex digits of the SHA-256 of seed and doc_id that make a draw; 52 bits are exact in a double.
+#: Hex digits of the SHA-256 of seed, doc_id and text that make a draw; 52 bits are exact in a double.
 DIGITS = 13
 #: A key for every source, null included, that joins as text.
 _KEY = "coalesce(concat('s', source), 'null')"
@@ -22,7 +22,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """source, source_size, weight, target of sizes(source, source_size), one row a source.
 
     Targets are min(most * size, level * weight) with the one level at which they sum to the sum of sizes; that is where
-    capping and resharing by weight ends. Sources are put in the order of most * size / weight: going up, each is capped
+    capping and resharing by weight ends. A source is one row of a few dozen bytes, and all go through one task: a million
+    sources, web domains for one, are some 50 MB there. Sources are put in the order of most * size / weight: going up, each is capped
     while the level of those left is above its ratio, and the level before each is largest at the first uncapped one.
     """
     n = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -37,29 +38,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return t.select("source", "source_size", "weight", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target and copies (long): floor(rate) and one more with probability rate - floor(rate).
-
-    size counts words (null text: 0). The draw hashes seed and doc_id, so reruns agree; rows that repeat a doc_id share
-    it, a null doc_id draws like any value. A source of size 0 has target 0 and no copies. Null is a source, the last.
-    docs may have further columns; those named like a result are replaced.
-    """
-    own = docs.drop("size", "source_size", "target", "copies").withColumn("_source", F.expr(_KEY))
+def _planned(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """row (all columns of docs), size, source_size, target and copies; whatever docs call their columns, nothing clashes."""
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(F.struct(*every).alias("row"), F.col("source"), F.expr(_KEY).alias("key"), size_of(F.col("text")).alias("size"))
     sized = docs.select("source", size_of(F.col("text")).alias("size"))
     sums = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
-    targets = stored(source_targets(sums, weights, most).select(F.expr(_KEY).alias("_source"), "source_size", "target"), "source-targets")
-    rows = join_keyed(own, targets, "_source", F.col("doc_id")).withColumn("size", size_of(F.col("text")))
+    targets = stored(source_targets(sums, weights, most).select(F.expr(_KEY).alias("key"), "source_size", "target"), "source-targets")
+    rows = join_keyed(own.drop("source"), targets, "key", F.xxhash64("row.doc_id", "size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
-    draw = F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
+    said = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("row.text", F.lit("")))
+    draw = F.conv(F.substring(F.sha2(said, 256), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
     copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
-    return rows.withColumn("copies", copies.cast("long")).drop("_source")
+    return rows.select("row", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """docs with size, source_size, target and copies (long): floor(rate) and one more with probability rate - floor(rate).
+
+    size counts words (null text: 0). The draw hashes seed, doc_id and text, so reruns agree; only rows that repeat both
+    share it. A null doc_id draws like any value, a null text like an empty one. A source of size 0 has target 0 and no
+    copies. Null is a source, the last. docs may have further columns; those named like a result give way to it. An empty
+    table gives an empty result. Texts of any length are counted in place.
+    """
+    result = ("size", "source_size", "target", "copies")
+    return _planned(docs, weights, most, seed).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in result), *result)
 
 
-def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The mix itself: every row of docs as many times as its plan says, with the columns of docs."""
-    plan = mixing_plan(docs, **parameters).where("copies > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """The mix itself: every row of docs, just as it is, as many times as its plan says."""
+    plan = _planned(docs, weights, most, seed).where("copies > 0")
+    return plan.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +77,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in DuckDB.
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, coalesce('s' || source, 'null') AS k, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, text, coalesce('s' || source, 'null') AS k, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
 s AS (SELECT k, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY k),
 o AS (SELECT *, CAST({list(WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS DOUBLE) AS weight, {MOST} * CAST(source_size AS DOUBLE) AS cap FROM s),
 l AS (SELECT *, greatest(sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER w, 0), 0) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
   FROM o WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT k, source_size, least(cap, max(level) OVER () * weight) AS target FROM l),
 j AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  CAST(CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, {DIGITS}) AS BIGINT) AS DOUBLE) / CAST({16**DIGITS} AS DOUBLE) AS draw FROM d JOIN t USING (k))
+  CAST(CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, {DIGITS}) AS BIGINT) AS DOUBLE) / CAST({16**DIGITS} AS DOUBLE) AS draw FROM d JOIN t USING (k))
 SELECT doc_id, size, source_size, target, CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) * size AS taken FROM j
 """

@@ -179,7 +179,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = BASE) ->
     own = rows.select("doc_id", F.sha2("text", 256).alias("sha"), F.flatten(F.array(*every)).alias("own"))
     if grams:
         found = stored(candidates(build_index(rows, grams), queries), "candidates")
-        fetched = join_keyed(rows.select("text", F.xxhash64("text").alias("h")), found, "h", F.rand(1))
+        fetched = join_keyed(rows.withColumn("h", F.xxhash64("text")), found, "h", F.xxhash64(F.lit(3), "doc_id"))
         verified = F.flatten(F.array(*(F.when(F.array_contains("rules", r.kind), spans("text", r, i)).otherwise(F.array()) for i, r in enumerate(rules) if r.kind in queries)))
         verified = fetched.select(F.sha2("text", 256).alias("sha"), verified.alias("more")).where(F.size("more") > 0)
         own = own.join(stored(verified.dropDuplicates(["sha"]), "verified"), "sha", "left")

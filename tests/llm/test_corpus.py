@@ -346,6 +346,20 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs).count() == sum(r.copies for r in found) and mixing.mixing_plan(none).count() == 0
 
 
+def test_mix_keeps_the_columns_of_its_caller(spark):
+    rows = [(i, f"a b c {i}", None if i % 3 else "s", 99, "keep", i, b"x", 0.5, -1) for i in range(30)] + [(None, f"null {i}", "s", 98, "null", i, b"y", 0.5, -1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, copies string, `_source` int, `a.b` binary, row double, key int")
+    mixed = mixing.mix(docs, weights=(3, 1))
+    assert mixed.schema == docs.schema and set(map(tuple, mixed.collect())) <= set(rows)
+    plan = mixing.mixing_plan(docs, weights=(3, 1))
+    taken = Counter(r.text for r in mixed.collect())
+    assert {r.text: r.copies for r in plan.collect() if r.copies} == taken
+    # Rows without a doc_id draw each on its own: neither all nor none of them get the further copy.
+    rate = {r.target / r.source_size for r in plan.where("source = 's'").select("target", "source_size").distinct().collect()}.pop()
+    share = sum(r.copies for r in plan.where("doc_id is null").collect()) / 200
+    assert rate % 1 and abs(share - rate) < 0.15
+
+
 def brute_repeats(rows, width=35):
     count = Counter(tuple(w[i : i + width]) for _, t, *_ in rows for w in [SPLIT(t)] for i in range(len(w) - width + 1))
     out = []
