@@ -70,6 +70,16 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, codec: str = "snappy") -> DataFrame:
+    """As stored(), in as many buckets by key as a shuffle has partitions: joins by key then leave these rows in place."""
+    spark = df.sparkSession
+    buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.option("compression", codec).option("path", new_path(spark, name)).bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # of the catalogue only: the files have a path of their own
+    return out
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]], rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with a function built once a task; it turns up to rows rows into columns (lists or Arrow arrays) of schema."""
     target = pa_schema(df.sparkSession, schema)

@@ -8,8 +8,9 @@ dealt by longer keys: the gram with 16, 24, 28, 30, at last 31 of the words arou
 
 A shard's index is a wavelet matrix over the Burrows-Wheeler transform of its distinct passages, with a bit a suffix for
 passages that occur more than once; the text itself is not kept. Passages are streamed against it: backward search from
-an end gives how far back the words still occur twice or more (the matching statistic of that end). Ends are chosen so
-that a passage repeated as a whole costs one search, and a search that breaks off rules out all windows over the break.
+an end gives how far back the words still occur twice or more (the matching statistic of that end). The last end comes
+first, so that a passage repeated as a whole costs one search; a search that breaks off rules out all windows over the
+break; ends that are still open are then searched at once.
 What matches over `width` words or more is reported as intervals of window starts.
 """
 
@@ -25,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, as_bytes, documents, join_keyed, map_batches, stored
+from .common import WORD, as_bytes, bucketed, documents, join_keyed, map_batches, stored
 
 WIDTH, GRAM = 35, 4
 #: Words of the passages that one index holds, about, and different passages of a key beyond which it is drawn longer.
-SHARD_WORDS, CROWD = 100_000, 1_000
+SHARD_WORDS, CROWD = 250_000, 2_000
+#: Grams are frequent from this part of all their occurrences on.
+MOST = 20_000
 MARKS = "key long, pid long, firsts array<int>, lasts array<int>"
 
 
@@ -154,42 +157,27 @@ class FMIndex:
         text = np.concatenate([self.symbols(p) for p in passages])
         base = np.cumsum(lengths) - lengths
         left, right = base.copy(), base + lengths - width  # windows yet to be decided, by start
-        found: list[list[tuple[int, int]]] = [[] for _ in passages]
-
-        def report(who: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-            for i, x, y in zip(who.tolist(), (a - base[who]).tolist(), (b - base[who]).tolist(), strict=True):
-                found[i].append((x, y))
-
         # From the last end as far back as it goes: settles passages that repeat as a whole.
-        who = np.arange(len(passages))
         back = self.matched_from(text, right + width - 1, left)
-        hit = back <= right
-        report(who[hit], back[hit], right[hit])
+        whole = np.flatnonzero(back <= right)
+        who, first, last = [whole], [back[whole]], [right[whole]]
         right = np.minimum(right, back - 1)
-        broke = back - 1  # the word at which the last search from the right broke off
-        who = who[left <= right]
-        while len(who):
-            # The leftmost window: where its search breaks off, all windows that hold that word and the end are ruled out.
-            a = left[who]
-            back = self.matched_from(text, a + width - 1, a)
-            miss = back > a
-            left[who[miss]] = back[miss]
-            who_hit = who[~miss]
-            if len(who_hit):
-                a = left[who_hit]
-                # It repeats. The longest stretch that may repeat with it ends before the break; else it is one window.
-                end = np.minimum(right[who_hit] + width - 1, np.maximum(broke[who_hit] - 1, a + width - 1))
-                longer = end > a + width - 1
-                last = a.copy()
-                if longer.any():
-                    back = self.matched_from(text, end[longer], a[longer])
-                    good = back <= a[longer]
-                    at = np.flatnonzero(longer)
-                    last[at[good]] = end[at[good]] - width + 1
-                    broke[who_hit[at[~good]]] = back[~good] - 1
-                report(who_hit, a, last)
-                left[who_hit] = last + 1
-            who = who[left[who] <= right[who]]
+        # The leftmost window: where its search breaks off, all windows that hold that word and the end are ruled out.
+        rest = np.flatnonzero(left <= right)
+        left[rest] = np.maximum(left[rest], self.matched_from(text, left[rest] + width - 1, left[rest]))
+        # What is left is searched window by window.
+        rest = rest[left[rest] <= right[rest]]
+        count = right[rest] - left[rest] + 1
+        owner = np.repeat(rest, count)
+        start = np.repeat(left[rest] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        hit = self.matched_from(text, start + width - 1, start) <= start
+        owner, start = owner[hit], start[hit]
+        new = np.flatnonzero(np.r_[True, (start[1:] != start[:-1] + 1) | (owner[1:] != owner[:-1])][: len(start)])
+        who.append(owner[new]), first.append(start[new]), last.append(start[np.r_[new[1:], len(start)] - 1] if len(new) else start)
+        found: list[list[tuple[int, int]]] = [[] for _ in passages]
+        who = np.concatenate(who)
+        for i, x, y in zip(who.tolist(), (np.concatenate(first) - base[who]).tolist(), (np.concatenate(last) - base[who]).tolist(), strict=True):
+            found[i].append((x, y))
         return [sorted(x) for x in found]
 
 
@@ -221,6 +209,15 @@ def _texts(docs: DataFrame, width: int) -> DataFrame:
     return made.withColumn("rid", F.monotonically_increasing_id())  # fixed once the table is stored
 
 
+def _shared_of(grams: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows of grams(rid, gram) whose gram is in shared(gram, count). Grams with more than a MOST-th of all rows are fewer
+    than MOST by their definition: they are broadcast, so that no task of the join gets all rows of one."""
+    total = shared.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    heavy = F.broadcast(shared.where(F.col("count") > total // MOST).select("gram"))
+    light = shared.where(F.col("count") <= total // MOST).select("gram")
+    return grams.join(heavy, "gram").union(grams.join(heavy, "gram", "left_anti").join(light, "gram"))
+
+
 def _pieces(open_: DataFrame, width: int) -> DataFrame:
     """Two kinds of rows. Places: (rid, at, key, pid) of each passage with a shared gram. Passages: (key, pid, passage, n)
     of what a batch holds, each different one once."""
@@ -362,10 +359,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, shard_words: int = SHARD
     table gives an empty result. A text is held whole in one task, with an integer or two a word; what is shuffled of it
     are its passages, of at most 2 * width words each. Two passages of one hash stop the job; they are never mixed up.
     """
-    texts = stored(_texts(docs.select(F.col("doc_id").cast("long"), "text"), width), "texts", "zstd")
+    texts = bucketed(_texts(docs.select(F.col("doc_id").cast("long"), "text"), width), "texts", "rid", "zstd")
     grams = texts.select("rid", F.explode("grams").alias("gram"))
-    shared = grams.groupBy("gram").count().where("count > 1").select("gram")
-    lists = grams.join(shared, "gram").groupBy("rid").agg(F.collect_set("gram").alias("shared"))
+    shared = stored(grams.groupBy("gram").count().where("count > 1"), "shared-grams")
+    lists = stored(_shared_of(grams, shared).groupBy("rid").agg(F.collect_set("gram").alias("shared")), "text-grams")
     pieces = stored(_pieces(texts.drop("doc_id", "sha").join(lists, "rid"), width), "pieces", "zstd")
     passages = pieces.where("passage is not null").groupBy("key", "pid", "passage").agg(F.sum("n").alias("n"))
     passages = stored(passages.select("key", "pid", F.lit(-1).alias("gp"), "passage", "n"), "passages", "zstd")
