@@ -5,14 +5,17 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import random
 from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import DatasetError, SettingsError
+from .functions import text as t
 from .operators import annotations, audit, inference, integrity, pictures, preparation, runs, splits, submission
 from .sources import readers, sinks
 
@@ -21,6 +24,7 @@ def validate(spark: SparkSession, root: str, queries: str) -> dict:
     """Strict reading of the records, and which of their files are missing (the first 20 in order)."""
     rows = readers.strict(readers.record_errors(readers.queries(spark, queries)))
     paths = rows.select("pos", F.posexplode(F.array(*(F.col("fields")[n] for n in readers.REQUIRED[:3]))).alias("at", "path"))
+    paths = paths.withColumn("path", t.inner_path(F.col("path")))
     missing = annotations.with_existence(paths, readers.listing(spark, root), "path", "exists").where("not exists")
     counts = rows.agg(F.count("*").alias("query_count"), F.count_distinct(F.col("fields")["visible"]).alias("image_count")).first()
     return counts.asDict() | {"missing_count": missing.count(), "missing_preview": [r.path for r in missing.orderBy("pos", "at").limit(20).collect()]}
@@ -32,13 +36,20 @@ def grounder(config: dict[str, Any]) -> Callable[[], Any]:
     if not name:
         raise SettingsError("a configuration names its grounder as module:callable")
     options = config.get("grounder_options", {})
-    return lambda: getattr(importlib.import_module(module), name)(**options)
+    seed = int(config.get("seed", inference.DEFAULTS["seed"]))
+
+    def make() -> Any:
+        random.seed(seed)
+        np.random.seed(seed % (1 << 32))
+        return getattr(importlib.import_module(module), name)(**options)
+
+    return make
 
 
 def _loaded(spark: SparkSession, config: dict[str, Any]) -> tuple[DataFrame, DataFrame]:
-    """Strict records with their order, and the images' contents."""
+    """Strict records with their order, and where the images are."""
     rows = readers.strict(readers.record_errors(readers.queries(spark, config["queries_path"])))
-    return rows, readers.listing(spark, config["dataset_root"], content=True)
+    return rows, readers.listing(spark, config["dataset_root"])
 
 
 def _started(spark: SparkSession, config: dict[str, Any], mode: str) -> dict[str, Any]:
@@ -151,6 +162,8 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("verify")
     a.add_argument("archives", nargs="+")
     a.add_argument("--skip-crc", action="store_true")
+    a.add_argument("--pin", action="append", default=[], metavar="ARCHIVE=SHA256")
+    a.add_argument("--output")
     return p
 
 
@@ -174,8 +187,9 @@ def main(args: list[str] | None = None) -> int:
     elif o.command == "sample":
         found = sample(spark, config)
     elif o.command == "verify":
-        found = verify(spark, o.archives, not o.skip_crc)
-        bad = any(r["bad_member"] for r in found)
+        pinned = dict(p.rsplit("=", 1) for p in o.pin)
+        found = verify(spark, o.archives, not o.skip_crc, output=o.output)
+        bad = any(r["bad_member"] or r["sha256"] != pinned.get(r["archive"], r["sha256"]).upper() for r in found)
     elif o.command == "extract":
         found = extract(spark, {a: v["target"] for a, v in config["archives"].items()}, config["output_dir"])
     elif o.command == "prepare":

@@ -20,8 +20,12 @@ def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def from_array(values: Column) -> Column:
-    """A box of an array of numbers or numeric strings; null unless it has four, null members where one isn't numeric."""
-    return F.when(F.size(values) == 4, box(*(F.get(values, i).try_cast("double") for i in range(4))))
+    """A box of an array of numbers or numeric strings; null unless it has four, null members where one isn't numeric.
+
+    true and false, as JSON has them, count as 1 and 0.
+    """
+    number = lambda v: F.coalesce(v.try_cast("double"), F.when(v.cast("string") == "true", 1.0).when(v.cast("string") == "false", 0.0))
+    return F.when(F.size(values) == 4, box(*(number(F.get(values, i)) for i in range(4))))
 
 
 def to_array(b: Column) -> Column:

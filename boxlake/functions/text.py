@@ -101,3 +101,17 @@ def image_key(namespace: Column, dataset: Column, image_id: Column) -> Column:
 def scalar_or_list(raw: Column) -> Column:
     """array<bigint> of JSON text that is a number or a list of numbers."""
     return F.when(F.ltrim(raw).startswith("["), F.from_json(raw, "array<bigint>")).otherwise(F.array(raw.try_cast("bigint")))
+
+
+def inner_path(c: Column) -> Column:
+    """A relative path with . and .. resolved, null if it is absolute, leads out of its root or names the root itself.
+
+    Links are not followed: what a name stands for on a disk is not a property of the name.
+    """
+    nothing = F.array().cast("array<string>")
+    step = lambda done, part: (
+        F.when(done.isNull(), done).when(part.isin("", "."), done).when(part != "..", F.array_append(done, part))
+        .when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1))
+    )
+    parts = F.aggregate(F.split(posix(c), "/"), nothing, step)
+    return F.when(~posix(c).startswith("/") & (F.size(parts) > 0), F.array_join(parts, "/"))

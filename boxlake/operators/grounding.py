@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import Any, Protocol
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +18,17 @@ OUT = "query_id string, raw_output string, boxes array<array<double>>, labels ar
 SIZED = OUT + ", width int, height int"
 
 
+def opened(location: str) -> bytes:
+    """Bytes of a file by its URI, as a listing gives it."""
+    if location.startswith("file://"):
+        return Path(location.removeprefix("file://")).read_bytes()
+    from pyarrow import fs
+
+    disk, path = fs.FileSystem.from_uri(quote(location, safe=":/@?=&%"))
+    with disk.open_input_stream(path) as f:
+        return f.read()
+
+
 class Grounder(Protocol):
     def predict(self, *, image: bytes, query: str) -> dict[str, Any]:
         """raw_output, boxes (pixel xyxy) and labels; OutputError or BoxError for an output that cannot be used."""
@@ -34,18 +47,20 @@ class FixedGrounder:
 
 
 def run(rows: DataFrame, make: Callable[[], Grounder], sizes: bool = False) -> DataFrame:
-    """OUT of rows(query_id, query, content), or SIZED with the image's size. make() is called once a task, where a model is loaded.
+    """OUT of rows(query_id, query, content or location), or SIZED with the image's size. make() is called once a task, where
+    a model is loaded. Of rows with a location the image is read there, so that no batch holds more than names and one image.
 
     Unusable outputs give an error in their row; any other failure (an unreadable image whose size is asked for, too) fails the job, and what was not committed is redone.
     """
 
-    schema = SIZED if sizes else OUT
+    schema, image = SIZED if sizes else OUT, "location" if "location" in rows.columns else "content"
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for part in parts:
             out = []
-            for query_id, query, content in zip(part["query_id"], part["query"], part["content"], strict=True):
+            for query_id, query, content in zip(part["query_id"], part["query"], part[image], strict=True):
+                content = opened(content) if image == "location" else content
                 began = time.perf_counter()
                 try:
                     found, error = model.predict(image=content, query=query), None
@@ -55,4 +70,4 @@ def run(rows: DataFrame, make: Callable[[], Grounder], sizes: bool = False) -> D
                 out.append((query_id, found.get("raw_output"), found.get("boxes"), found.get("labels"), error, took, *(size(content) if sizes else ())))
             yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
-    return rows.select("query_id", "query", "content").mapInPandas(work, schema)
+    return rows.select("query_id", "query", image).mapInPandas(work, schema)

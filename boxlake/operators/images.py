@@ -15,11 +15,40 @@ INFO = "path string, format string, width int, height int, channels int, dtype s
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
+#: Left, top, and steps of the seven passes of an interlaced PNG (fixed values).
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
+    """The bytes of lines (a filter type, then its bytes); step is the distance of the byte that a filter calls left."""
+    kinds, height = rows[:, 0], len(rows)
+    if kinds.max(initial=0) > 4:
+        raise ValueError("unknown PNG filter")
+    raw = rows[:, 1:].reshape(height, -1, step).astype(np.int16)
+    width = raw.shape[1]
+    done = np.zeros((height + 1, width + 1, step), np.int16)  # with a line above and a pixel to the left, all zero
+    if not np.isin(kinds, (3, 4)).any():
+        for y, kind in enumerate(kinds.tolist()):
+            line = raw[y]
+            line = (line + done[y, 1:]) & 255 if kind == 2 else np.cumsum(line, axis=0, dtype=np.int64) & 255 if kind == 1 else line
+            done[y + 1, 1:] = line
+        return done[1:, 1:].astype(np.uint8).reshape(height, -1)
+    # A byte needs those to its left and above it: all pixels of a diagonal can be had at once.
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x, kind = d - y, kinds[y][:, None]
+        a, b, c = done[y + 1, x], done[y, x + 1], done[y, x]
+        pa, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        nearest = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        done[y + 1, x + 1] = (raw[y, x] + np.select([kind == 1, kind == 2, kind == 3, kind == 4], [a, b, (a + b) // 2, nearest], 0)) & 255
+    return done[1:, 1:].astype(np.uint8).reshape(height, -1)
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """height x width x channels of a PNG that is not interlaced, 8 or 16 bits a sample; palettes give their colours."""
+    """height x width x channels of a PNG of any depth, interlaced or not; palettes give their colours, small greys are scaled to 8 bits."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG")
-    at, body, palette, head = 8, b"", b"", None
+    at, parts, palette, head = 8, [], b"", None
     while at + 8 <= len(data):
         (n,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
         part = data[at + 8 : at + 8 + n]
@@ -28,38 +57,30 @@ def decode_png(data: bytes) -> np.ndarray:
         elif kind == b"PLTE":
             palette = part
         elif kind == b"IDAT":
-            body += part
+            parts.append(part)
         at += 12 + n
-    if head is None or head[6] or head[3] not in _CHANNELS or head[2] not in (8, 16):
+    if head is None or head[3] not in _CHANNELS or head[2] not in (1, 2, 4, 8, 16) or head[6] > 1:
         raise ValueError("unsupported PNG")
-    width, height, depth, colour = head[:4]
-    channels, size = _CHANNELS[colour], depth // 8
-    step = channels * size
-    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * step)
-    out, above = np.zeros((height, width * step), np.uint8), np.zeros(width * step, np.int64)
-    for y in range(height):
-        kind, line = int(rows[y, 0]), rows[y, 1:].astype(np.int64)
-        if kind == 2:
-            line = (line + above) & 255
-        elif kind == 1:
-            line = np.cumsum(line.reshape(width, step), axis=0).reshape(-1) & 255
-        elif kind in (3, 4):
-            for x in range(width * step):
-                a = line[x - step] if x >= step else 0
-                if kind == 3:
-                    add = (a + above[x]) // 2
-                else:
-                    b, c = above[x], above[x - step] if x >= step else 0
-                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    add = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                line[x] = (line[x] + add) & 255
-        elif kind:
-            raise ValueError("unknown PNG filter")
-        out[y], above = line, line
+    width, height, depth, colour, _, _, interlaced = head
+    channels = _CHANNELS[colour]
+    body, at = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8), 0
+    out = np.zeros((height, width, channels), np.uint16 if depth == 16 else np.uint8)
+    for left, top, right, down in PASSES if interlaced else ((0, 0, 1, 1),):
+        w, h = -(-(width - left) // right), -(-(height - top) // down)
+        if w <= 0 or h <= 0:
+            continue
+        line = -(-w * channels * depth // 8)
+        lines = _unfiltered(body[at : at + h * (line + 1)].reshape(h, line + 1), max(1, channels * depth // 8))
+        at += h * (line + 1)
+        if depth < 8:
+            bits = np.unpackbits(lines, axis=1).reshape(h, -1, depth)
+            lines = (bits @ (1 << np.arange(depth)[::-1]))[:, : w * channels].astype(np.uint8)
+        elif depth == 16:
+            lines = lines.view(">u2")
+        out[top::down, left::right] = lines.reshape(h, w, channels)
     if colour == 3:
-        return np.frombuffer(palette, np.uint8).reshape(-1, 3)[out]
-    pixels = out.view(">u2") if size == 2 else out
-    return pixels.reshape(height, width, channels).astype(np.uint16 if size == 2 else np.uint8)
+        return np.frombuffer(palette, np.uint8).reshape(-1, 3)[out[:, :, 0]]
+    return out * np.uint8(255 // ((1 << depth) - 1)) if depth < 8 else out
 
 
 def encode_png(pixels: np.ndarray) -> bytes:

@@ -19,14 +19,15 @@ from ..sources import readers, sinks
 from . import grounding, integrity, outputs, runs, stats
 
 LOG = "predictions_debug.jsonl"
-#: Options of a run and what they are where a configuration says nothing.
-DEFAULTS = {"device": "cpu", "seed": 20260729, "max_new_tokens": 256, "num_beams": 1, "selection_strategy": "first", "fallback_mode": "error"}
+#: Options of a run and what they are where a configuration says nothing (the seed and the number of tokens: fixed values).
+DEFAULTS = {"grounder": "", "prompt": "", "device": "cpu", "dtype": "float16", "seed": 20260729, "max_new_tokens": 256, "num_beams": 1, "selection_strategy": "first", "fallback_mode": "error"}
 
 
 def fingerprint(spark: SparkSession, config: dict[str, Any]) -> dict[str, Any]:
-    """What must not change between a run and its resumption: the queries, the model's files, and every option that
-    changes an output. The model's folder is read by Spark; without a model_path the model counts as none."""
-    found: dict[str, Any] = {"schema_version": 1, "queries_path": config["queries_path"], "queries_sha256": integrity.file_sha256(config["queries_path"]), "model_path": config.get("model_path")}
+    """What must not change between a run and its resumption: the queries, the model's files, what makes the model and with
+    which options, and every setting that changes an output. The model's folder is read by Spark; without a model_path the
+    model counts as none."""
+    found: dict[str, Any] = {"schema_version": 2, "grounder_options": config.get("grounder_options", {}), "queries_path": config["queries_path"], "queries_sha256": integrity.file_sha256(config["queries_path"]), "model_path": config.get("model_path")}
     if config.get("model_path"):
         files = readers.listing(spark, config["model_path"], content=True)
         found["model_artifacts_sha256"] = integrity.folder_digest(files).first().artifact_sha256
@@ -34,16 +35,19 @@ def fingerprint(spark: SparkSession, config: dict[str, Any]) -> dict[str, Any]:
 
 
 def record_environment(folder: str, config: dict[str, Any], stamp: dict[str, Any]) -> None:
-    """environment.json and resolved_config.json in folder."""
+    """environment.json and resolved_config.yaml in folder."""
     versions = {"python": platform.python_version(), "pyspark": pyspark.__version__}
     sinks.summary(versions | {k: v for k, v in stamp.items() if k.endswith("sha256") or k.endswith("_path")}, f"{folder}/environment.json")
-    sinks.summary(config, f"{folder}/resolved_config.json")
+    sinks.settings(config, f"{folder}/resolved_config.yaml")
 
 
 def _log_rows(todo: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder], mode: str, strategy: str) -> DataFrame:
-    """Log lines of todo(query_id, query, visible). A missing or unreadable image fails the job."""
-    paths = files.select(F.col("path").alias("visible"), "content")
-    rows = todo.join(paths, "visible", "left").withColumn("content", F.coalesce("content", F.raise_error(F.concat(F.lit("missing image: "), F.col("visible"))).cast("binary")))
+    """Log lines of todo(query_id, query, visible). A missing or unreadable image fails the job.
+
+    Only names are joined; a task opens its images itself, one at a time.
+    """
+    paths = files.select(F.col("path").alias("_path"), "location")
+    rows = todo.join(paths, t.inner_path(F.col("visible")) == F.col("_path"), "left").withColumn("location", F.coalesce("location", F.raise_error(F.concat(F.lit("missing image: "), F.col("visible"))).cast("string")))
     found = grounding.run(rows, make, sizes=True).withColumnRenamed("error", "_refused")
     found = outputs.predictions(found, mode, strategy).join(todo.select("query_id", "query", "visible"), "query_id")
     # What the model says of an output it refused tells more than that there were no candidates.
@@ -85,7 +89,7 @@ def _write_predictions(done: DataFrame, target: Path) -> None:
 
 
 def run(rows: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder], folder: str, limit: int | None = None, mode: str = "error", strategy: str = "first", resume: bool = False, stamp: dict[str, Any] | None = None) -> dict[str, Any]:
-    """Runs rows of readers.strict() over images files(path, content) and returns the summary, written to folder as well.
+    """Runs rows of readers.strict() over images files(path, location) and returns the summary, written to folder as well.
 
     resume keeps the sound predictions of folder's log and does the others; stamp is the fingerprint that guards it. The
     log grows by committed tasks, so a lost executor leaves no half lines, and a failed job leaves none of its own.
@@ -100,12 +104,14 @@ def run(rows: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder
     parse = lambda: runs.parse_checkpoint(readers.lines(spark, str(log)), selected)
     known = runs.reused(parse()) if resume and log.exists() else None
     todo = selected if known is None else runs.remaining(selected, known)
-    new = todo.count()
+    new, selected_count = todo.count(), selected.count()
     if new or not log.exists() or not resume:
+        print(f"{selected_count - new} of {selected_count} queries done before, {new} to do", flush=True)
         _log_rows(todo, files, make, mode, strategy).write.mode("append" if resume else "overwrite").option("ignoreNullFields", False).json(str(log))
+        print(f"{selected_count} of {selected_count} queries done", flush=True)
     parsed = parse()
     done = runs.reused(parsed)
-    found = summarise(parsed, selected.count(), total, new)
+    found = summarise(parsed, selected_count, total, new)
     _write_predictions(done.join(selected.select("query_id", "pos"), "query_id"), Path(folder, "predictions.json"))
     last = parsed.where("prediction_ok").groupBy("query_id").agg(F.max_by(F.struct("fallback_used", "error", "box"), "line_no").alias("r")).select("query_id", "r.*")
     sinks.failures(last, f"{folder}/failure_cases.csv")

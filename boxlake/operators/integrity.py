@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,26 @@ def content_sha256(content: Column) -> Column:
 
 
 def folder_digest(files: DataFrame) -> DataFrame:
-    """One row: digest of files(path, size, content), folded in order of their path's parts. The listing is one folder's."""
-    entry = F.struct(F.split("path", "/").alias("parts"), F.concat("path", F.lit("\0"), F.col("size").cast("string"), F.lit("\0"), content_sha256(F.col("content")), F.lit("\n")).alias("line"))
-    return files.agg(F.upper(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["line"]), ""), 256)).alias("artifact_sha256"), F.count("*").alias("file_count"))
+    """One row: digest of files(path, size, content), folded in order of their path's parts.
+
+    Contents are hashed where they are read. A digest over lines has an order, so one task folds them: they are sorted
+    there, on disk if need be, and streamed through it, a line of about a hundred bytes a file; nothing is gathered.
+    """
+    line = F.concat("path", F.lit("\0"), F.col("size").cast("string"), F.lit("\0"), content_sha256(F.col("content")), F.lit("\n"))
+    lines = files.select(F.split("path", "/").alias("parts"), line.alias("line")).repartition(1).sortWithinPartitions("parts").select("line")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n = hashlib.sha256(), 0
+        for batch in batches:
+            for said in batch.column(0).to_pylist():
+                digest.update(said.encode())
+            n += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"artifact_sha256": [digest.hexdigest().upper()], "file_count": pa.array([n], pa.int64())})
+
+    found = lines.mapInArrow(fold, "artifact_sha256 string, file_count long")
+    # Of no files Spark makes no task, or an empty one.
+    none = hashlib.sha256().hexdigest().upper()
+    return found.agg(F.coalesce(F.max_by("artifact_sha256", "file_count"), F.lit(none)).alias("artifact_sha256"), F.coalesce(F.max("file_count"), F.lit(0).cast("long")).alias("file_count"))
 
 
 def verify_archives(entries: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def record_errors(rows: DataFrame) -> DataFrame:
     missing = F.array_except(F.array(*map(F.lit, REQUIRED)), F.map_keys(f))
     raw = F.try_element_at(f, F.lit("bbox"))
     box = g.from_array(F.from_json(raw, "array<string>"))
-    bad_path = lambda n: (F.coalesce(f[n], F.lit("")) == "") | f[n].startswith("/") | F.exists(F.split(t.posix(f[n]), "/"), lambda p: p == "..")
+    bad_path = lambda n: t.inner_path(F.coalesce(f[n], F.lit(""))).isNull()
     error = F.when(t.is_blank(F.col("query_id")), "id").when(f.isNull(), "not_object").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ","))).when(t.is_blank(f["query"]), "query")
     error = error.when(raw.isNotNull() & (raw != "null") & (box.isNull() | g.normalized_error(box).isNotNull()), "bbox")
     for n in REQUIRED[:3]:
@@ -131,12 +131,12 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, root: str, glob: str | None = None, content: bool = False) -> DataFrame:
-    """(path relative to root, size[, content]) of the regular files below root."""
+    """(path relative to root, size[, content], location) of the regular files below root; location is a file's URI."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
     base = root.rstrip("/").removeprefix("file://")
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^\\Q" + base + "\\E/", "")
-    return rows.select(relative.alias("path"), F.col("length").alias("size"), *([F.col("content")] if content else []))
+    return rows.select(relative.alias("path"), F.col("length").alias("size"), *([F.col("content")] if content else []), F.regexp_replace("path", "^file:/+", "file:///").alias("location"))
 
 
 class ZipEntries(DataSource):

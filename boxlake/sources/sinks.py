@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 import zipfile
@@ -38,9 +39,27 @@ def summary(row: DataFrame | dict[str, Any], path: str) -> dict[str, Any]:
 
 
 def failures(rows: DataFrame, path: str) -> None:
-    """query_id, error and box of fallback rows as CSV with a header, behind a byte order mark in the first column's name."""
+    """query_id, error and box of fallback rows as one CSV file with a byte order mark and a header, in order of the ids.
+
+    Rows stream to the driver partition by partition, since it is one file by its nature.
+    """
     table = rows.where("fallback_used").select("query_id", "error", F.to_json(F.array("box.x1", "box.y1", "box.x2", "box.y2")).alias("fallback_bbox"))
-    table.withColumnRenamed("query_id", "\ufeffquery_id").write.mode("overwrite").option("header", True).csv(path)
+    with open(path, "w", encoding="utf-8-sig", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(table.columns)
+        for r in table.orderBy("query_id").toLocalIterator():
+            out.writerow(r)
+
+
+def settings(found: dict[str, Any], path: str) -> None:
+    """A configuration as YAML; as JSON, which YAML has in it, where no YAML library is."""
+    try:
+        import yaml
+
+        said = yaml.safe_dump(found, allow_unicode=True, sort_keys=False)
+    except ImportError:
+        said = json.dumps(found, ensure_ascii=False, indent=2) + "\n"
+    Path(path).write_text(said, encoding="utf-8")
 
 
 def unpack(entries: DataFrame, archive: str, target: str, overwrite: bool = False) -> int:

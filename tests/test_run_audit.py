@@ -3,9 +3,10 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from boxlake import cli
-from boxlake.errors import DatasetError, SettingsError
+from boxlake.errors import DatasetError, OutputError, SettingsError
 from boxlake.operators import audit, images, inference, pictures, preparation
 from boxlake.sources import readers
 
@@ -38,7 +39,7 @@ def dataset(tmp_path):
 
 def test_run_and_resume(spark, dataset):
     rows = readers.strict(readers.record_errors(readers.queries(spark, str(dataset / "q.json"))))
-    files = readers.listing(spark, str(dataset), content=True)
+    files = readers.listing(spark, str(dataset))
     out = dataset / "whole"
     whole = inference.run(rows, files, by_size(), str(out), mode="center")
     assert (whole["valid_bbox_count"], whole["fallback_count"], whole["candidate_count_max"], whole["multi_candidate_count"]) == (3, 1, 2, 1)
@@ -46,8 +47,8 @@ def test_run_and_resume(spark, dataset):
     boxes = json.loads((out / "predictions.json").read_text())
     assert list(boxes) == ["000001_001", "000001_002", "000002_001"] and boxes["000001_002"] == [0.25, 0.25, 0.75, 0.75]
     assert json.loads((out / "inference_summary.json").read_text()) == whole
-    failed = spark.read.option("header", True).csv(str(out / "failure_cases.csv")).collect()
-    assert len(failed) == 1 and failed[0].error == "no_candidates"
+    failed = (out / "failure_cases.csv").read_bytes().decode()
+    assert failed.splitlines() == ["\ufeffquery_id,error,fallback_bbox", '000001_002,no_candidates,"[0.25,0.25,0.75,0.75]"']
 
     part, stamp = dataset / "parts", {"seed": 1}
     first = inference.run(rows, files, by_size(), str(part), limit=1, mode="center", stamp=stamp)
@@ -144,3 +145,97 @@ def test_prepare_all(spark, tmp_path):
     assert preparation.Spec(**spec("a")).depth_prefix is None
     with pytest.raises(DatasetError):
         cli.verify(spark, [str(tmp_path / "images.zip")], True, {str(tmp_path / "images.zip"): "0" * 64})
+
+
+class StubBackend:
+    """Answers as a processor would; counts how often a model is loaded in this process."""
+
+    loads = 0
+
+    def __init__(self, path, **options):
+        StubBackend.loads += 1
+        self.options = options
+
+    def generate(self, *, image, prompt, num_beams=1):
+        return f"{prompt}|{len(image)}|{num_beams}"
+
+    def parse(self, raw, *, task, image_size):
+        query = raw.removeprefix(task).split("|")[0]
+        return {task: {"bboxes": [] if query == "nothing" else [[0, 0, image_size[0], True]], "labels": []}}
+
+
+def test_prompted_grounder(spark, dataset):
+    from boxlake.operators import adapter, grounding
+
+    make = lambda: adapter.PromptedGrounder("tests.test_run_audit:StubBackend", str(dataset), num_beams=3)
+    image = (dataset / "v/a.png").read_bytes()
+    model, before = make(), StubBackend.loads
+    assert model.predict(image=image, query="q") == {"raw_output": f"<CAPTION_TO_PHRASE_GROUNDING>q|{len(image)}|3", "boxes": [[0.0, 0.0, 10.0, 1.0]], "labels": [""]}
+    with pytest.raises(OutputError, match="no_candidates"):
+        model.predict(image=image, query="nothing")
+    from tests.test_run_audit import StubBackend as Loaded
+
+    assert Loaded.loads + StubBackend.loads - before in (1, 2)
+    with pytest.raises(SettingsError):
+        adapter.PromptedGrounder("x:y", str(dataset / "no such folder"))
+    for wrong in (None, {}, {adapter.TASK: []}, {adapter.TASK: {"bboxes": [[1, 2, 3]]}}, {adapter.TASK: {"bboxes": [[1, 2, 3, "x"]]}}):
+        with pytest.raises(OutputError):
+            adapter.candidates(wrong)
+    rows = spark.createDataFrame([("1", "q", str(dataset / "v/a.png")), ("2", "nothing", str(dataset / "v/b.png"))], "query_id string, query string, location string").withColumn("location", F.concat(F.lit("file://"), "location"))
+    found = {r.query_id: r for r in grounding.run(rows, make, sizes=True).collect()}
+    assert found["1"].boxes == [[0.0, 0.0, 10.0, 1.0]] and (found["1"].width, found["1"].height) == (10, 4) and found["2"].error == "no_candidates"
+
+
+def test_fingerprint_tells_models_apart(spark, dataset):
+    base = {"queries_path": str(dataset / "q.json"), "grounder": "a:b", "grounder_options": {"x": 1}}
+    stamps = [inference.fingerprint(spark, base | more) for more in ({}, {"grounder": "a:c"}, {"grounder_options": {"x": 2}}, {"prompt": "p"}, {"dtype": "float32"}, {"seed": 3})]
+    assert all(a != b for i, a in enumerate(stamps) for b in stamps[:i]) and stamps[0] == inference.fingerprint(spark, dict(base))
+
+
+def test_paths_and_booleans(spark):
+    from boxlake.functions import geometry as g
+    from boxlake.functions import text as t
+
+    names = {"a/../b.png": "b.png", "./a//b.png": "a/b.png", "a\\b.png": "a/b.png", "../b.png": None, "a/../../b.png": None, "/b.png": None, "a/..": None, "": None, "a/./b": "a/b"}
+    found = spark.createDataFrame([(n,) for n in names], "n string").select("n", t.inner_path(F.col("n")).alias("p")).collect()
+    assert {r.n: r.p for r in found} == names
+    box = spark.range(1).select(g.from_array(F.array(*map(F.lit, ("false", "0", "true", "1")))).alias("b")).first().b
+    assert tuple(box) == (0.0, 0.0, 1.0, 1.0)
+
+
+def png(pixels, depth, colour, kinds, interlaced=False):
+    """A PNG with the given filter of each line, made byte by byte."""
+    import struct
+    import zlib
+
+    height, width, channels = pixels.shape
+    step, body = max(1, channels * depth // 8), b""
+    for left, top, right, down in images.PASSES if interlaced else ((0, 0, 1, 1),):
+        part, above = pixels[top::down, left::right], None
+        if not part.size:
+            continue
+        for y in range(part.shape[0]):
+            bits = "".join(format(int(v), f"0{depth}b") for v in part[y].reshape(-1))
+            line = bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+            above, kind = above or bytes(len(line)), kinds[y % len(kinds)]
+            body += bytes([kind])
+            for i, v in enumerate(line):
+                a, b, c = line[i - step] if i >= step else 0, above[i], above[i - step] if i >= step else 0
+                p = a + b - c
+                near = min((a, b, c), key=lambda q: (abs(p - q), (a, b, c).index(q)))
+                body += bytes([(v - (0, a, b, (a + b) // 2, near)[kind]) % 256])
+            above = line
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    cut = zlib.compress(body)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlaced)) + chunk(b"IDAT", cut[:9]) + chunk(b"IDAT", cut[9:]) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("depth, colour, channels", [(8, 2, 3), (16, 0, 1), (16, 6, 4), (8, 4, 2), (1, 0, 1), (2, 0, 1), (4, 0, 1)])
+@pytest.mark.parametrize("interlaced", [False, True])
+def test_png_of_every_filter(depth, colour, channels, interlaced):
+    rng = np.random.default_rng(depth + colour)
+    for shape in ((11, 13), (1, 1), (3, 2)):
+        pixels = rng.integers(0, 1 << depth, (*shape, channels))
+        for kinds in ((0, 1, 2, 3, 4), (4,), (1, 2)):
+            out = images.decode_png(png(pixels, depth, colour, kinds, interlaced))
+            assert (out == pixels * (255 // ((1 << depth) - 1) if depth < 8 else 1)).all() and out.dtype == (np.uint16 if depth == 16 else np.uint8)
