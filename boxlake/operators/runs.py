@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SettingsError
@@ -59,3 +61,11 @@ def gate(folder: str, fingerprint: dict[str, Any] | None, resume: bool, log: str
     if text is not None:
         Path(folder).mkdir(parents=True, exist_ok=True)
         path.write_text(text + "\n")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share; without one named, only a local master has a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise SettingsError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(folder or tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -361,13 +361,10 @@ def anomaly_rule(spark, sf):
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def jsonl_roundtrip(spark, sf):
-    import tempfile
-    import uuid
-
+    from ..operators.runs import shared_path
     from ..sources import sinks
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{folder.rstrip('/')}/jsonl-{uuid.uuid4().hex}"
+    path = shared_path(spark, "jsonl")
     rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     sinks.jsonl(rows, path)
     return spark.read.schema(rows.schema).json(path)
