@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +19,34 @@ def mean(v: Column) -> Column:
     return F.coalesce(F.avg(v), F.lit(0.0))
 
 
-def nearest_rank(df: DataFrame, value: str, fractions: dict[str, float], keys: list[str]) -> DataFrame:
+def _with(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the further columns of more, which has one row a key; null keys meet."""
+    own = more.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in more.columns if c not in keys))
+    if not keys:
+        return rows.crossJoin(own)  # one row
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return rows.join(own, same).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+def nearest_rank(df: DataFrame, value: str, fractions: dict[str, float], keys: list[str], cells: int = 1024) -> DataFrame:
     """One row a key with the value at index half_even((n - 1) * fraction) of its sorted values, for each name in fractions.
 
-    The values of a key are not gathered: equal ones are counted first, and a running count over the distinct values finds
-    the index, so a key with very many rows costs as much memory as any. Nulls are left out; a key of nulls only gives none.
+    The values of a key are never in one place: equal ones are counted first, and the others dealt to cells of equal width
+    between the key's least and largest value. A running count over cells, of which a key has at most `cells` + 1, and one
+    over the distinct values of each cell find the index. Nulls are left out; a key of nulls only gives none.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    upto = counts.withColumn("_upto", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    upto = upto.withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    span = rows.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"), F.count("*").alias("_all"))
+    counts = _with(rows.groupBy(*keys, value).agg(F.count("*").alias("_n")), span, keys)
+    share = F.try_divide(F.col(value).cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    # Infinities and NaN leave no width to share out: such a key has one cell.
+    counts = counts.withColumn("_cell", F.coalesce(F.floor(F.nanvl(share, F.lit(0.0)) * cells), F.lit(0).cast("long")))
+    held = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_held"))
+    before = F.sum("_held").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(*keys, "_cell", F.coalesce(before, F.lit(0)).alias("_before"))
+    upto = _with(counts, held, [*keys, "_cell"])
+    own = F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    upto = upto.withColumn("_upto", F.col("_before") + own)
     at = lambda f: F.bround((F.col("_all") - 1) * F.lit(f), 0).cast("long") + 1
     return upto.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") >= at(f), F.col(value))).alias(n) for n, f in fractions.items()))
 

@@ -219,3 +219,23 @@ def test_images(spark):
     assert (d.dtype, d.channels, d.min_value, d.max_value) == ("uint16", 1, 1000, 1000) and (v.max_channel_difference, v.zero_ratio) == (0, 1.0) and rows["x.png"].error
     rule = lambda m, r: one(spark, images.anomalous(F.lit(m), F.lit(r.format), F.lit(r.dtype), F.lit(r.channels), F.lit(r.max_value), F.lit(r.min_value)))
     assert [rule("depth", d), rule("visible", v), rule("visible", d)] == [False, True, True]
+
+
+def test_nearest_rank_of_odd_values(spark):
+    """Infinities, one value only, null keys, ties and integers, in few cells and in many, against sorted lists."""
+    import random
+
+    from boxlake.operators import stats
+
+    draw = random.Random(5)
+    inf = float("inf")
+    groups = {"a": [draw.gauss(0, 1) for _ in range(301)], None: [3.0] * 4, "b": [inf, -inf, 1.0, 2.0, 2.0], "c": [draw.choice((0.0, 1e300, -1e300)) for _ in range(40)], "d": [7.0]}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("e", None), ("a", None)], "k string, v double")
+    fractions = {"low": 0.0, "mid": 0.5, "high": 0.95, "top": 1.0}
+    at = lambda vs, f: sorted(vs)[round((len(vs) - 1) * f)]
+    for cells in (3, 1024):
+        found = {r.k: tuple(r)[1:] for r in stats.nearest_rank(rows, "v", fractions, ["k"], cells).collect()}
+        assert found == {k: tuple(at(vs, f) for f in fractions.values()) for k, vs in groups.items()}
+    every = [v for vs in groups.values() for v in vs]
+    assert tuple(stats.nearest_rank(rows, "v", fractions, []).first()) == tuple(at(every, f) for f in fractions.values())
+    assert tuple(stats.nearest_rank(rows.where("false"), "v", fractions, []).first()) == (None,) * 4
