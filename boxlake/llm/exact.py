@@ -109,7 +109,8 @@ def exact_duplicates(docs: DataFrame, sizes: tuple[int, int, int] = CHUNK, bits:
 
     Texts are equal if identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest
     doc_id stays; a null doc_id is smaller than any other. Rows that repeat that doc_id as well are all marked kept:
-    they are one document given twice. Other columns of docs are ignored; an empty table gives an empty result.
+    they are one document given twice. Other columns of docs are ignored; an empty table gives an empty result. A very
+    long text is many chunks: it is read whole once, by one task, and what moves of it are chunks of at most 4 KB.
     """
     rows = verified_recipes(docs, sizes, bits)
     groups = rows.groupBy("recipe", "ordinals").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
@@ -121,11 +122,16 @@ def exact_duplicates(docs: DataFrame, sizes: tuple[int, int, int] = CHUNK, bits:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_duplicates() keeps; of rows that agree in doc_id and text, one."""
+    """The rows of docs that exact_duplicates() keeps; of rows that agree in doc_id and text, one.
+
+    No two equal texts are left: a doc_id that names several texts is judged a text at a time, rows without a doc_id like
+    any other. Null texts count as empty. All columns of docs come back as they are; an empty table stays one.
+    """
     return keep_rows(docs, exact_duplicates(docs).where("kept").select("doc_id", "text_sha256"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents; edge cases as at exact_duplicates()."""
     return exact_duplicates(documents(spark, sf_dir))
 
 

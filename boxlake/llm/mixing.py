@@ -72,6 +72,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; edge cases as at mixing_plan()."""
     return mixing_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

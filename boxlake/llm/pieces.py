@@ -237,4 +237,5 @@ def encoding_digests(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded texts of whole documents; edge cases as at encoding_digests()."""
     return encoding_digests(documents(spark, sf_dir), model_path())

@@ -188,5 +188,6 @@ def quality_scores(table: DataFrame, model: dict[str, list], modulus: int = 4, h
 
 
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of whole documents; edge cases as at learn() and quality_scores()."""
     table = described(documents(spark, sf_dir))
     return quality_scores(table, learn(table, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -161,8 +161,9 @@ def quality_rules(docs: DataFrame, path: str, ranks: tuple[str, ...] | None = No
     """Measures and verdict of every row of docs, in the columns of SCHEMA; no shuffle.
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated windows of 8 words. kept: not base_failed and
-    within the script's band. A null text has no words and fails. Repeated rows and null doc_ids each give their row;
-    other columns of docs are ignored. Texts are read whole, one at a time.
+    within the script's band, its ends included. A null or empty text has no words and fails. Repeated rows and null
+    doc_ids each give their row; other columns of docs are ignored; an empty table gives an empty result. A text is
+    measured whole, whatever its length, with a number a word and a token.
     """
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     ranks = rank_paths() if ranks is None else ranks
@@ -180,7 +181,10 @@ def quality_rules(docs: DataFrame, path: str, ranks: tuple[str, ...] | None = No
 
 
 def keep_good(docs: DataFrame, path: str, ranks: tuple[str, ...] | None = None, bands: dict[str, tuple[float, ...]] = BANDS) -> DataFrame:
-    """The rows of docs (with all their columns) that the rules keep; texts don't leave their task."""
+    """The rows of docs (with all their columns) that the rules keep; texts don't leave their task.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table stays one. No column name is reserved.
+    """
     import pyarrow as pa
 
     if "text" not in docs.columns:
@@ -198,4 +202,5 @@ def keep_good(docs: DataFrame, path: str, ranks: tuple[str, ...] | None = None,
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on whole documents; edge cases as at quality_rules()."""
     return quality_rules(documents(spark, sf_dir), model_path())

@@ -194,6 +194,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = BASE) ->
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans in whole documents; edge cases as at scan()."""
     return scan(documents(spark, sf_dir))
 
 

@@ -207,6 +207,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT,
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of whole documents; edge cases as at near_duplicates()."""
     from .common import documents
 
     return near_duplicates(documents(spark, sf_dir))

@@ -169,5 +169,8 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LE
 
 
 def drop_similar(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that similar() keeps; of rows that agree in doc_id and text, one."""
+    """The rows of docs that similar() keeps; of rows that agree in doc_id and text, one.
+
+    Null and empty texts are similar to each other. All columns of docs come back as they are; an empty table stays one.
+    """
     return keep_rows(docs, similar(docs, **parameters).where("kept").select("doc_id", "text_sha256"))

@@ -376,6 +376,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, shard_words: int = SHARD
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of whole documents; edge cases as at remove_repeats()."""
     return remove_repeats(documents(spark, sf_dir))
 
 

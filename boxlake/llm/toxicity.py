@@ -264,5 +264,6 @@ def toxicity(docs: DataFrame, weights: dict[str, float], coefficients: list[floa
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of whole documents; edge cases as at learn() and toxicity()."""
     docs = documents(spark, sf_dir)
     return toxicity(docs, *learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

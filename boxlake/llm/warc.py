@@ -87,7 +87,9 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE)
 
     Of equal payloads the record of the smallest page_id is a response, the others revisit it. Rows that repeat that
     page_id and payload are all responses, as are those with no page_id in their group. A null html is an empty payload,
-    a null url an empty one. The index is stored, so records are written once however often it is read.
+    a null url an empty one; other columns are ignored; an empty table gives an empty index and no archive. A payload of
+    any length is one record, held whole by the task that writes it. The index is stored, so records are written once
+    however often it is read.
     """
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     copies = first_copies(pages).select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to")
@@ -133,7 +135,10 @@ def _ranges(rows: list[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[
 
 
 def read_records(index: DataFrame, folder: str, gap: int = GAP, most: int = READ) -> DataFrame:
-    """The records (columns of RECORD) that the rows of index select; each archive is read in order, by joined ranges."""
+    """The records (columns of RECORD) that the rows of index select; each archive is read in order, by joined ranges.
+
+    An empty index gives an empty result. A record longer than `most` is read alone, whole.
+    """
     names = [f.split()[0] for f in RECORD.split(", ")]
     schema = pa_schema(index.sparkSession, RECORD)
 
@@ -156,6 +161,7 @@ def read_records(index: DataFrame, folder: str, gap: int = GAP, most: int = READ
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back; edge cases as at write_archives()."""
     folder = new_path(spark, "archives")
     index = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

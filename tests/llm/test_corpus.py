@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import os
 import random
 import time
 from collections import Counter
@@ -14,7 +15,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from boxlake.llm import exact, mixing, pieces, pu_quality, quality_rules, secrets, simhash, similar, substrings, toxicity, warc
-from boxlake.llm.common import new_path
+from boxlake.llm.common import clean_up, new_path, shared_dir, stored
+from boxlake.llm.components import components
 
 R = random.Random(7)
 WORDS = ["w%d" % i for i in range(400)]
@@ -45,6 +47,22 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_shared_folder(spark):
+    """What is stored lies below the folder named, is one application's, and can be cleaned up; a cluster needs a folder."""
+    table = stored(spark.range(5), "five")
+    path = table.inputFiles()[0].removeprefix("file:").removeprefix("//")
+    assert f"/{spark.sparkContext.applicationId}/five-" in path and path.startswith(shared_dir(spark).removeprefix("file://"))
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Cluster)
+    clean_up(spark)
+    assert not os.path.exists(path)
+
+
 def key(rows):
     return sorted(map(repr, (tuple(r) for r in rows)))
 
@@ -97,6 +115,31 @@ def test_simhash(spark, docs):
     assert key(found) == key((d, f"{f:016x}", least.get(comp[f])) for d, f in prints)
 
 
+def test_blocks_of_the_grid(spark):
+    """Every number of blocks gives the same components, and more fingerprints ask for more blocks."""
+    signed = lambda f: f - (f >> 63 << 64)
+    seeds = [R.getrandbits(64) for _ in range(30)]
+    prints = {s ^ sum(1 << b for b in R.sample(range(64), R.randrange(6))) for s in seeds for _ in range(8)}
+    fps = spark.createDataFrame([(signed(f),) for f in prints], "fp long")
+    comp, groups = brute_components(prints, 4), {}
+    for f in prints:
+        groups.setdefault(comp[f], set()).add(signed(f))
+    for blocks in (8, 10, 12):
+        found = {}
+        for r in components(simhash.near_links(fps, blocks=blocks)).collect():
+            found.setdefault(r.root, set()).add(r.node)
+        assert {frozenset(g) for g in found.values()} == {frozenset(g) for g in groups.values() if len(g) > 1}
+    counts = [simhash.blocks_for(n) for n in (10, 10**6, 10**9, 10**12)]
+    assert counts == sorted(counts) and counts[0] == 8 and counts[-1] == 16
+
+
+def test_simhash_edges(spark, none):
+    assert simhash.near_duplicates(none).count() == 0 and simhash.near_duplicates(none).columns == ["doc_id", "fingerprint", "component_id"]
+    rows = [(1, " ".join([BASE] * 2000), "x", 5), (2, " ".join([BASE] * 2000), "y", 6), (None, "only", "z", 7), (None, "only", "z", 7)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string, cell int")).collect()
+    assert key(found) == key((d, f"{brute_fingerprint(t):016x}", None if d is None else 1) for d, t, *_ in rows)
+
+
 def jaccard_components(texts, width=5, over=4, under=5):
     """Place of the first text of each one's component, by all pairs."""
     words = [(t or "").encode().lower().split() for t in texts]
@@ -183,6 +226,12 @@ def test_warc(spark):
     same_as_sql(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), warc.ORACLE, pages=pages)
     one = warc.read_records(index.where("page_id = 4"), folder).collect()
     assert [bytes(r.payload).decode() for r in one] == ["é😀"]
+    empty = warc.write_archives(pages.where("false"), new_path(spark, "archives"))
+    assert empty.count() == 0 and warc.read_records(empty, new_path(spark, "archives")).count() == 0
+    long = spark.createDataFrame([(1, "u", "é" * 3_000_000, "clash", 7), (2, None, "é" * 3_000_000, "clash", 7)], "page_id long, url string, html string, sha string, refers_to int")
+    folder = new_path(spark, "archives")
+    found = warc.read_records(warc.write_archives(long, folder, archive_bytes=10), folder, most=10).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+    assert key(found) == key([(1, 6_000_000, "response", None), (2, 6_000_000, "revisit", 1)])
     with pytest.raises(Exception, match="damaged"):
         warc.parse_record(__import__("gzip").compress(__import__("gzip").decompress(warc.make_record(1, "u", "abc", None)[0]).replace(b"abc", b"abd")))
 
