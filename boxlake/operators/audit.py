@@ -49,7 +49,8 @@ def referenced(flags: DataFrame) -> DataFrame:
 
 
 def scanned(paths: DataFrame, files: DataFrame) -> DataFrame:
-    """images.INFO, modality and anomalous of those paths that files(path, content) has; each image is read once a modality."""
+    """images.INFO, modality and anomalous of those paths that files(path, location) has; each image is read once a modality,
+    by the task that inspects it: what is joined are names."""
     parts = []
     for m in MODALITIES:
         wanted = files.join(paths.where(F.col("modality") == m).select("path"), "path", "left_semi")
@@ -67,7 +68,7 @@ def report(spark: SparkSession, root: str, queries: str) -> dict[str, Any]:
     flags = record_flags(readers.queries(spark, queries, lenient=True), root).persist()
     listing = readers.listing(spark, root)
     paths = referenced(flags).persist()
-    info = scanned(paths, readers.listing(spark, root, content=True)).persist()
+    info = scanned(paths, listing).persist()
     ids = lambda condition: [r.query_id for r in flags.where(condition).orderBy("pos").select("query_id").collect()]
     triples = flags.where(F.size("absent") == 0).select(*MODALITIES)
     missing = paths.join(listing, "path", "left_anti").select("path").distinct().orderBy("path")

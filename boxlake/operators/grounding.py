@@ -4,31 +4,19 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from typing import Any, Protocol
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..errors import BoxError, OutputError
+from .images import opened
 from .pictures import size
 
 OUT = "query_id string, raw_output string, boxes array<array<double>>, labels array<string>, error string, latency_ms double"
 SIZED = OUT + ", width int, height int"
 
 
-def opened(location: str) -> bytes:
-    """Bytes of a file by its URI, as a listing gives it."""
-    if location.startswith("file://"):
-        return Path(location.removeprefix("file://")).read_bytes()
-    from pyarrow import fs
-
-    disk, path = fs.FileSystem.from_uri(quote(location, safe=":/@?=&%"))
-    with disk.open_input_stream(path) as f:
-        return f.read()
-
-
 class Grounder(Protocol):
     def predict(self, *, image: bytes, query: str) -> dict[str, Any]:
         """raw_output, boxes (pixel xyxy) and labels; OutputError or BoxError for an output that cannot be used."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -119,16 +121,32 @@ def describe(path: str, data: bytes, infrared: bool) -> tuple:
         return path, *[None] * 9, str(e)
 
 
+def opened(location: str) -> bytes:
+    """Bytes of a file by its URI, as a listing gives it."""
+    if location.startswith("file://"):
+        return Path(location.removeprefix("file://")).read_bytes()
+    from pyarrow import fs
+
+    disk, path = fs.FileSystem.from_uri(quote(location, safe=":/@?=&%"))
+    with disk.open_input_stream(path) as f:
+        return f.read()
+
+
 def inspect(files: DataFrame, modality: str) -> DataFrame:
-    """INFO of files(path, content). Pixels of JPEGs are not decoded: their values are null."""
+    """INFO of files(path, content or location). Pixels of JPEGs are not decoded: their values are null.
+
+    Of files with a location each is read where it is inspected, one at a time, so that batches hold names only; contents
+    come in batches that Spark bounds by bytes (64 MB or one image, by default).
+    """
+    source = "location" if "location" in files.columns and "content" not in files.columns else "content"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in INFO.split(", ")]
         for part in parts:
-            found = pd.DataFrame([describe(p, c, modality == "infrared") for p, c in zip(part["path"], part["content"], strict=True)], columns=names)
+            found = pd.DataFrame([describe(p, opened(c) if source == "location" else c, modality == "infrared") for p, c in zip(part["path"], part[source], strict=True)], columns=names)
             yield found.astype({n: "Int32" for n in ("width", "height", "channels", "min_value", "max_value", "max_channel_difference")})
 
-    return files.select("path", "content").mapInPandas(run, INFO)
+    return files.select("path", source).mapInPandas(run, INFO)
 
 
 def anomalous(modality: Column, kind: Column, dtype: Column, channels: Column, top: Column, low: Column) -> Column:
