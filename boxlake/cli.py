@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .errors import DatasetError, SettingsError
 from .functions import text as t
-from .operators import annotations, audit, inference, integrity, pictures, preparation, runs, splits, submission
+from .operators import annotations, audit, inference, integrity, pictures, preparation, published, runs, splits, submission
 from .sources import readers, sinks
 
 
@@ -123,14 +123,18 @@ def prepare(spark: SparkSession, name: str, refs: str, instances: str, output: s
 
 
 def prepare_all(spark: SparkSession, config: dict[str, Any], n_previews: int = 3) -> dict:
-    """Every dataset of config with its files below data_root, and the union of those that core names."""
-    specs = [preparation.Spec(**d) for d in config["datasets"]]
-    return preparation.prepare(spark, config["data_root"], specs, config["output_dir"], tuple(config.get("core", ())), config.get("core_name", "core"), n_previews)
+    """Every dataset of config with its files below data_root, and the union of those that core names; where a
+    configuration names no datasets, the published ones."""
+    own = "datasets" in config
+    specs = [preparation.Spec(**d) for d in config["datasets"]] if own else list(published.DATASETS)
+    core = tuple(config.get("core", () if own else published.CORE))
+    return preparation.prepare(spark, config["data_root"], specs, config["output_dir"], core, config.get("core_name", "core" if own else published.CORE_NAME), n_previews)
 
 
 def everything(spark: SparkSession, config: dict[str, Any]) -> dict:
     """verify with checksums, extract, prepare with three previews. config: archives {path: {target, sha256}}, and prepare_all()'s."""
-    archives = config.get("archives", {})
+    at = lambda name: str(Path(config["data_root"], name))
+    archives = config.get("archives", {} if "datasets" in config else {at(a): {"target": at(folder)} for a, folder in published.ARCHIVES.items()})
     if archives:
         verify(spark, list(archives), True, {a: v["sha256"] for a, v in archives.items() if v.get("sha256")}, config["output_dir"])
         extract(spark, {a: v["target"] for a, v in archives.items()}, config["output_dir"])

@@ -75,6 +75,7 @@ def summarise(parsed: DataFrame, selected: int, total: int, new: int) -> dict[st
     return counts | {
         "records_in_dataset": total, "records_processed": selected, "records_processed_this_run": new, "records_reused_from_checkpoint": selected - new, "invalid_checkpoint_lines": parsed.where("invalid").count(),
         "is_full_dataset_run": selected == total, "system_error_count": 0, "source_suffix_counts": suffixes,
+        "gpu_peak_memory_bytes": 0,  # models run in tasks, whose memory is not measured
     }
 
 

@@ -239,3 +239,15 @@ def test_png_of_every_filter(depth, colour, channels, interlaced):
         for kinds in ((0, 1, 2, 3, 4), (4,), (1, 2)):
             out = images.decode_png(png(pixels, depth, colour, kinds, interlaced))
             assert (out == pixels * (255 // ((1 << depth) - 1) if depth < 8 else 1)).all() and out.dtype == (np.uint16 if depth == 16 else np.uint8)
+
+
+def test_published_datasets_are_the_default(spark, tmp_path):
+    from boxlake.operators import published
+
+    assert len({d.name for d in published.DATASETS}) == 5 and set(published.CORE) < {d.name for d in published.DATASETS}
+    assert all(len(d.refs_sha256) == 64 and int(d.refs_sha256, 16) for d in published.DATASETS)
+    path = tmp_path / published.DATASETS[0].refs
+    path.parent.mkdir(parents=True)
+    path.write_bytes(b"not what was published")
+    with pytest.raises(DatasetError):
+        cli.prepare_all(spark, {"data_root": str(tmp_path), "output_dir": str(tmp_path / "out")})
