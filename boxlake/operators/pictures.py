@@ -5,11 +5,15 @@ from __future__ import annotations
 import io
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import DatasetError
-from .images import decode_png, encode_png, jpeg_size
+from .images import decode_png, encode_png, jpeg_size, opened
 
 RED, GREEN = (255, 0, 0), (0, 200, 0)
 #: Line width of a comparison; a preview's is a share of the shorter side.
@@ -65,3 +69,23 @@ def preview(data: bytes, box: list[float], label: str = "") -> bytes:
     picture = encode_png(outlined(p, box, RED, max(2, round(min(p.shape[:2]) / PREVIEW_SHARE))))
     body = b"tEXtTitle\0" + label.encode("ascii", "replace")
     return picture[:33] + struct.pack(">I", len(body) - 4) + body + struct.pack(">I", zlib.crc32(body)) + picture[33:]
+
+
+def decoded(rows: DataFrame, listing: DataFrame) -> DataFrame:
+    """query_id, width, height and pixels (RGB, line by line) of manifest rows(query_id, image_relpath), in the manner of a
+    dataset's items: as an image lies, not turned.
+
+    Names are joined to listing(path, location), and a task opens its images one at a time; a record whose file is missing
+    fails the job. JPEGs need the imaging library.
+    """
+    files = listing.select(F.col("path").alias("image_relpath"), "location")
+    found = rows.select("query_id", "image_relpath").join(files, "image_relpath", "left")
+    found = found.withColumn("location", F.coalesce("location", F.raise_error(F.concat(F.lit("missing image: "), F.col("image_relpath"))).cast("string")))
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for query_id, location in zip(part["query_id"], part["location"], strict=True):
+                p = rgb(opened(location), upright=False)
+                yield pd.DataFrame({"query_id": [query_id], "width": [p.shape[1]], "height": [p.shape[0]], "pixels": [p.tobytes()]})
+
+    return found.select("query_id", "location").mapInPandas(work, "query_id string, width int, height int, pixels binary")

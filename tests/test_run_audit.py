@@ -251,3 +251,11 @@ def test_published_datasets_are_the_default(spark, tmp_path):
     path.write_bytes(b"not what was published")
     with pytest.raises(DatasetError):
         cli.prepare_all(spark, {"data_root": str(tmp_path), "output_dir": str(tmp_path / "out")})
+
+
+def test_items_of_a_manifest(spark, dataset):
+    rows = spark.createDataFrame([("1", "v/a.png"), ("2", "d/b.PNG"), ("3", "v/a.png")], "query_id string, image_relpath string")
+    found = {r.query_id: r for r in pictures.decoded(rows, readers.listing(spark, str(dataset))).collect()}
+    assert len(found) == 3 and (found["1"].width, found["1"].height, bytes(found["1"].pixels)) == (10, 4, b"\7" * 120) and bytes(found["2"].pixels) == b"\3" * 120
+    with pytest.raises(Exception, match="missing image"):
+        pictures.decoded(rows.withColumn("image_relpath", F.lit("v/none.png")), readers.listing(spark, str(dataset))).collect()
