@@ -2,7 +2,7 @@
 
 A fingerprint is embedded as the bit counts of its 2-bit segments. Counts are kept in unary, so the Manhattan distance
 of two embeddings is the bit count of their xor; it never exceeds the Hamming distance. A range probe in all 32
-dimensions at once would visit tens of thousands of neighbour cells, so the grid is laid over projections: the segments
+dimensions at once would visit some 200,000 neighbour cells, so the grid is laid over projections: the segments
 are split into blocks, and there is a cell for each choice of `blocks - limit` of them. Within distance `limit` at most
 `limit` blocks differ, so every linked pair shares a cell of some choice, and no neighbour need be probed. Members of a
 cell are put in the order of their total counts; each is compared with those whose total is at most `limit` less, first
