@@ -203,3 +203,60 @@ def empty_aggregates(spark, sf):
     """Means and rates of nothing are 0."""
     x = F.col("l_returnflag") == "X"
     return table(spark, sf, "lineitem").agg(F.count("*").alias("n"), stats.mean(F.when(x, F.col("l_quantity"))).alias("mean_of_none"), stats.rate(F.count_if(x), F.count_if(x)).alias("rate_of_none"), F.count_distinct(F.when(F.col("l_linenumber") > 3, F.col("l_orderkey"))).alias("n_long"))
+
+
+def _json_file(spark, rows: DataFrame, name: str) -> str:
+    """A file of one JSON value, the only row of rows; of nations, of which there are as many at every scale."""
+    path = runs.shared_path(spark, name)
+    rows.coalesce(1).write.text(path)
+    return path
+
+
+@query("""SELECT n_nationkey AS k, lpad(n_nationkey::VARCHAR, 6, '0') || '_001' AS query_id, 'v/' || n_name || '.png' AS visible, CASE n_nationkey % 5 WHEN 1 THEN 'missing depth' WHEN 2 THEN 'query' WHEN 3 THEN 'bbox' END AS error_code, CASE n_nationkey % 5 WHEN 4 THEN 0.75e0 ELSE -1 END AS x2 FROM nation""")
+def queries_file(spark, sf):
+    """A nested queries file, written and read: its records in order, what is wrong with them, and their boxes."""
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    box = F.when(k % 5 == 3, F.array(F.lit(0.5), F.lit(0.0), F.lit(0.25), F.lit(1.0))).when(k % 5 == 4, F.array(F.lit(0.5), F.lit(0.0), F.lit(0.75), F.lit(1.0)))
+    record = F.struct(F.concat(F.lit("v/"), name, F.lit(".png")).alias("visible"), F.concat(F.lit("i/"), name).alias("infrared"), F.when(k % 5 != 1, F.concat(F.lit("d/"), name)).alias("depth"), F.when(k % 5 == 2, " ").otherwise(name).alias("query"), box.alias("bbox"))
+    entry = F.struct(F.concat(F.lpad(k.cast("string"), 6, "0"), F.lit("_001")).alias("key"), record.alias("value"))
+    whole = table(spark, sf, "nation").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+    found = readers.record_errors(readers.queries(spark, _json_file(spark, whole, "queries")))
+    return found.select(F.col("pos").alias("k"), "query_id", F.col("fields")["visible"].alias("visible"), "error_code", F.coalesce(F.when(F.col("error_code").isNull(), F.col("box.x2")), F.lit(-1.0)).alias("x2"))
+
+
+@query("""SELECT 'ds:' || n_nationkey AS query_id, n_name AS query, CASE n_regionkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'holdout' END AS split, (n_nationkey % 2 + 1)::BIGINT AS target_count, round((10e0 + n_nationkey % 2 * 5 + 20) / 100, 9) AS x2
+ FROM nation WHERE n_nationkey % 7 <> 3 AND n_nationkey % 11 <> 5""")
+def annotation_files(spark, sf):
+    """References and instances as JSON files, written, read, joined and split; one kind without targets, one without its image."""
+    nation = table(spark, sf, "nation")
+    k, region = F.col("n_nationkey"), F.col("n_regionkey")
+    ann = F.when(k % 2 == 0, (k * 10).cast("string")).otherwise(F.concat(F.lit("["), k * 10, F.lit(","), k * 10 + 1, F.lit("]")))
+    split = F.when(region % 3 == 0, "train").when(region % 3 == 1, "val").otherwise("testA")
+    ref = F.struct(k.alias("ref_id"), k.alias("image_id"), ann.alias("ann_id"), split.alias("split"), (k % 7 == 3).alias("no_target"), F.array(F.struct(k.cast("string").alias("sent_id"), F.concat(F.lit(" "), "n_name").alias("sent"), F.lit("raw").alias("raw"))).alias("sentences"))
+    refs = readers.references(spark, _json_file(spark, nation.agg(F.to_json(F.array_sort(F.collect_list(ref))).alias("value")), "references"))
+    image = F.when(k % 11 != 5, F.struct(k.alias("id"), F.concat(F.lit("a\\"), "n_name").alias("file_name"), F.lit(100).alias("width"), F.lit(50).alias("height")))
+    one = lambda i: F.struct((k * 10 + i).alias("id"), k.alias("image_id"), F.array(F.lit(10.0 + 5 * i), F.lit(1.0), F.lit(20.0), F.lit(8.0)).alias("bbox"))
+    whole = nation.agg(F.to_json(F.struct(F.collect_list(image).alias("images"), F.flatten(F.collect_list(F.array(one(0), one(1)))).alias("annotations"))).alias("value"))
+    images_, boxes = readers.instances(spark, _json_file(spark, whole, "instances"))
+    rows = splits.isolated(annotations.manifest(annotations.resolve_refs(refs.drop("sentences"), images_, boxes), readers.sentences(refs), "ds"))
+    return rows.select("query_id", "query", "split", F.col("target_count").cast("long").alias("target_count"), tidy(F.col("bbox_xyxy_normalized")[2]).alias("x2"))
+
+
+@query("""SELECT split, count(*) AS n, CAST(sum(image_id) AS BIGINT) AS ids FROM (SELECT o_orderkey AS image_id, CASE o_orderpriority[1] WHEN '1' THEN 'train' WHEN '2' THEN 'validation' ELSE 'holdout' END AS split FROM orders WHERE o_orderpriority[1] <> '3') GROUP BY 1""")
+def split_manifest_files(spark, sf):
+    """Manifests of each split, written and read by their reader."""
+    first = F.substring("o_orderpriority", 1, 1)
+    rows = table(spark, sf, "orders").where(first != "3").select(F.col("o_orderkey").alias("image_id"), F.when(first == "1", "train").when(first == "2", "validation").otherwise("holdout").alias("split"))
+    folder = runs.shared_path(spark, "manifests")
+    sinks.split_manifests(rows, folder, "m")
+    every = [readers.manifest(spark, f"{folder}/m_{s}").select(F.lit(s).alias("split"), "image_id") for s in splits.SPLITS]
+    return reduce(DataFrame.unionByName, every).groupBy("split").agg(F.count("*").alias("n"), F.sum("image_id").alias("ids"))
+
+
+@query("""SELECT 'k=' || l_linenumber AS folder, '.json' AS suffix, true AS has_rows FROM lineitem GROUP BY l_linenumber""")
+def folder_listing(spark, sf):
+    """Regular files below a root, by folder and suffix."""
+    path = runs.shared_path(spark, "listing")
+    table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("k")).distinct().withColumn("v", F.col("k")).write.partitionBy("k").json(path)
+    files = readers.listing(spark, path, "*.json")
+    return files.groupBy(F.substring_index("path", "/", 1).alias("folder"), t.suffix(F.col("path")).alias("suffix")).agg((F.sum("size") > 0).alias("has_rows"))
