@@ -9,12 +9,12 @@ of candidates joins it. Sets are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, join_keyed, keep_rows, map_batches, stored, text_sha256
@@ -25,7 +25,7 @@ from .simhash import LIMIT, majority, near_links, shingle_hashes
 SHINGLE, LEAST = 5, (4, 5)
 #: Bands and rows of each: at similarity 0.8 all bands differ for one pair in 9,000, at 0.3 one pair in 46 shares a band.
 BANDS, ROWS = 30, 6
-#: Texts and shingles of a group that are compared in one piece; larger groups are compared as pairs of pieces.
+#: Texts and shingles of a group that are compared in one piece; see _large_links() for larger groups.
 PIECE, WEIGHT = 2048, 2_000_000
 STEP = 2048
 _random = np.random.default_rng(42)
@@ -76,7 +76,7 @@ def _compared(least: tuple[int, int]):
     """For mapInArrow over rows sorted by cell: links of the nodes within each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, nodes, sets = None, [], []
+        cell, nodes, sets, seen = None, [], [], set()
 
         def flush() -> pa.RecordBatch:
             found = similar_links(sets, least) if len(sets) > 1 else []
@@ -87,7 +87,10 @@ def _compared(least: tuple[int, int]):
             for n, (c, node) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("node").to_pylist(), strict=True)):
                 if c != cell:
                     yield flush()
-                    cell, nodes, sets = c, [], []
+                    cell, nodes, sets, seen = c, [], [], set()
+                if node in seen:  # as one of the whole group and as one of the others
+                    continue
+                seen.add(node)
                 nodes.append(node)
                 sets.append(values[n].values.to_numpy().view(np.uint64).copy())
         yield flush()
@@ -127,9 +130,7 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, in
     first = cells.groupBy("cell").agg(F.min("node").alias("m"), F.count("*").alias("c")).where("c > 1").withColumn("h", F.xxhash64("cell"))
     star = cells.join(first, ["cell", "h"]).where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
     groups = stored(components(star).join(nodes.select("node", "n", "text_sha256"), "node"), "candidates")
-    # A large group is cut into parts by hash; every pair of parts is compared in a task of its own.
-    parts = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") * 2 / piece), F.ceil(F.sum("n") * 2 / weight)).cast("long").alias("parts"), F.count("*").alias("c"), F.sum("n").alias("s"))
-    parts = parts.withColumn("parts", F.when((F.col("c") <= piece) & (F.col("s") <= weight), F.lit(1).cast("long")).otherwise(F.col("parts"))).select("root", "parts")
+    parts = groups.groupBy("root").agg(_parts(F.count("*"), F.sum("n"), piece, weight).alias("parts"))
     h = F.xxhash64("root")
     keyed = groups.withColumn("h", h).join(parts.withColumn("h", h), ["root", "h"]).select("node", "root", "parts", "text_sha256")
 
@@ -141,10 +142,48 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, in
         return work
 
     found = map_batches(join_keyed(texts, stored(keyed, "candidate-texts"), "text_sha256", F.xxhash64("text")).select("node", "root", "parts", "text"), "node long, root long, parts long, hashes array<long>", make)
-    own = found.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")))
-    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 or own <> other")
-    pairs = pairs.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "hashes")
-    return stored(pairs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compared(least), "u long, v long"), "similar")
+    sets = stored(found.dropDuplicates(["node"]), "candidate-sets")
+    compared = lambda rows: rows.select("cell", "node", "hashes").repartition("cell").sortWithinPartitions("cell").mapInArrow(_compared(least), "u long, v long")
+    small = compared(sets.where("parts = 1").withColumn("cell", F.col("root")))
+    large = sets.where("parts > 1")
+    return stored(small if large.isEmpty() else small.union(_large_links(large, least, piece, weight, compared)), "similar")
+
+
+def _parts(count: Column, total: Column, piece: int, weight: int) -> Column:
+    """Parts of a group, of up to half a piece each; 1 if the whole is no more than a piece."""
+    cut = F.greatest(F.ceil(count * 2 / piece), F.ceil(total * 2 / weight)).cast("long")
+    return F.when((count <= piece) & (total <= weight), F.lit(1).cast("long")).otherwise(cut)
+
+
+def _large_links(large: DataFrame, least: tuple[int, int], piece: int, weight: int, compared: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links of groups of over a piece. All that are similar to the group's least node are joined by that; two of them need
+    not be compared. The others are compared with the whole group, a part of theirs with a part of the group at a time."""
+    over, under = least
+
+    def make():
+        def work(batch):
+            near = []
+            hashes, centers = batch.column("hashes"), batch.column("center")
+            for i in range(batch.num_rows):
+                x, y = (c[i].values.to_numpy() for c in (hashes, centers))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(under * common >= over * (len(x) + len(y) - common))
+            return {c: batch.column(c) for c in ("node", "root", "parts", "hashes")} | {"near": near}
+
+        return work
+
+    h = F.xxhash64("root")
+    centers = large.where("node = root").select("root", F.col("hashes").alias("center")).withColumn("h", h)
+    marked = map_batches(large.withColumn("h", h).join(centers, ["root", "h"]).select("node", "root", "parts", "hashes", "center"), "node long, root long, parts long, hashes array<long>, near boolean", make)
+    marked = stored(marked, "marked-sets")
+    others = marked.where("not near").groupBy("root").agg(_parts(F.count("*") * 2, F.sum(F.size("hashes")) * 2, piece, weight).alias("others"))
+    rows = marked.withColumn("h", h).join(others.withColumn("h", h), ["root", "h"])
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n))
+    whole = rows.select("node", "root", "hashes", deal(7, "parts").alias("i"), to("others").alias("j"))
+    outside = rows.where("not near").select("node", "root", "hashes", to("parts").alias("i"), deal(8, "others").alias("j"))
+    pairs = compared(whole.union(outside).withColumn("cell", F.xxhash64("root", "i", "j")))
+    return marked.where("near and node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(pairs)
 
 
 def similar(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST, piece: int = PIECE, weight: int = WEIGHT) -> DataFrame:
