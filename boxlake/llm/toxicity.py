@@ -48,26 +48,51 @@ def _table() -> dict[int, str]:
 
 
 FOLD = _table()
+_FOLDED = np.arange(0x110000, dtype=np.uint32)
+_FOLDED[list(FOLD)] = [ord(x) for x in FOLD.values()]
 
 
 #: Combining marks, zero-width and direction characters, soft hyphens, variation selectors.
-_UNSEEN = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufe20-\ufe2f\ufeff\u00ad]+")
+_UNSEEN = np.zeros(0x110000, bool)
+for _a, _b in ((0x300, 0x36F), (0x483, 0x487), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0xFE00, 0xFE0F), (0xFE20, 0xFE2F), (0xFEFF, 0xFEFF), (0xAD, 0xAD)):
+    _UNSEEN[_a : _b + 1] = True
 _STRETCHED = re.compile(r"([^\W\d_])\1\1+")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
+_SEPARATORS, _LETTERS = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+_SEPARATORS[[ord(x) for x in "-._*·"]] = True
+_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xAA, 0x110000)]] = True  # or what may be one
 _PARTED = re.compile(r"(?<![^\W_])(?:[^\W_][-._*·]){2,}[^\W_](?![^\W_])")
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _text(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def plain(text: str) -> str:
     """text without accents and unseen characters, compatibility forms replaced; aaa is a, a-b-c is abc."""
-    if not text.isascii():
-        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
-    text = _STRETCHED.sub(r"\1", text)
-    return _PARTED.sub(lambda m: m[0][::2], text)
+    ascii_ = text.isascii()
+    c = _points(text if ascii_ else unicodedata.normalize("NFKD", text))
+    if not ascii_:
+        c = c[~_UNSEEN[c]]
+        text = _text(c)
+    # Most texts have neither three equal characters in a row nor two separators a letter apart; that is cheap to see.
+    three = c[2:][(c[2:] == c[1:-1]) & (c[1:-1] == c[:-2])]
+    if _LETTERS[three].any():
+        text = _STRETCHED.sub(r"\1", text)
+        c = _points(text)
+    apart = _SEPARATORS[c]
+    return _PARTED.sub(lambda m: m[0][::2], text) if (apart[2:] & apart[:-2]).any() else text
 
 
 def fold(text: str) -> str:
     """As long as text. l, like 1, | and !, becomes i: words are folded before they are compared."""
-    return text.translate(FOLD)
+    if text.isascii():
+        return text.translate(FOLD)  # fast for these only
+    return _text(_FOLDED[_points(text)])
 
 
 class Matcher:
