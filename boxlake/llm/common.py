@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that a function of a batch is given at once. Spark bounds the bytes of an Arrow batch (64 MB or one row, by
 #: default); this bounds the Python objects made of it.
 BATCH_ROWS = 256
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +65,22 @@ def clean_up(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most rows rows while a table is written; the session's own setting comes back afterwards."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
+def stored(df: DataFrame, name: str, codec: str = "snappy", batch_rows: int = BATCH_ROWS) -> DataFrame:
     """df, written as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    with _batches_of(df.sparkSession, batch_rows):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,7 +88,8 @@ def bucketed(df: DataFrame, name: str, key: str, codec: str = "snappy") -> DataF
     """As stored(), in as many buckets by key as a shuffle has partitions: joins by key then leave these rows in place."""
     spark = df.sparkSession
     buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.option("compression", codec).option("path", new_path(spark, name)).bucketBy(buckets, key).saveAsTable(table)
+    with _batches_of(spark, BATCH_ROWS):
+        df.repartition(buckets, key).write.option("compression", codec).option("path", new_path(spark, name)).bucketBy(buckets, key).saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # of the catalogue only: the files have a path of their own
     return out

@@ -140,7 +140,7 @@ def _prior(rows: DataFrame, bands: Bands, p: np.ndarray, p_fold: np.ndarray, u:
 
         return work
 
-    scores = stored(map_batches(rows.select("x", "fold", "trusted"), "trusted boolean, s double", make, 4096), "prior-scores")
+    scores = stored(map_batches(rows.select("x", "fold", "trusted"), "trusted boolean, s double", make, 4096), "prior-scores", batch_rows=4096)
     at = sorted(set(scores.where("trusted").agg(F.percentile_approx("s", [float(q) for q in np.linspace(0.02, 0.7, 35)], 10_000)).first()[0] or []))
     reach = [F.sum(((F.col("s") >= t) & c).cast("long")) for t in at for c in (F.col("trusted"), F.lit(True))]
     found = scores.agg(F.sum(F.col("trusted").cast("long")), F.count("*"), *reach).first()

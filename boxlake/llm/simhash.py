@@ -174,7 +174,7 @@ def near_links(fps: DataFrame, limit: int = LIMIT, blocks: int | None = None, pi
     # A small table of fingerprints would come as a task or two, which then made all rows of the grid.
     keyed = cells(fps.repartition(max(1, -(-count * comb(blocks, limit) // CELL_ROWS))), limit, blocks)
     parted = keyed.repartition("cell").sortWithinPartitions("cell")
-    found = stored(parted.mapInArrow(_runs(piece, limit), EDGES), "links")
+    found = stored(parted.mapInArrow(_runs(piece, limit), EDGES), "links", batch_rows=8192)
     edges, hot = found.where("hot is null").select("u", "v"), found.where("hot is not null").select(F.col("hot").alias("cell"))
     if hot.isEmpty():
         return edges
@@ -184,7 +184,7 @@ def near_links(fps: DataFrame, limit: int = LIMIT, blocks: int | None = None, pi
     pairs = one.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     pairs = pairs.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp").distinct()
     again = pairs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_runs(1 << 40, limit), EDGES)
-    return edges.union(stored(again, "hot-links").select("u", "v"))
+    return edges.union(stored(again, "hot-links", batch_rows=8192).select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT, blocks: int | None = None, piece: int = PIECE) -> DataFrame:

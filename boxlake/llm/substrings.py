@@ -319,7 +319,7 @@ def _marks(passages: DataFrame, width: int, shard_words: int, crowd: int) -> Dat
     for more in calm[1:]:
         every = every.union(more)
     dealt = every.select("key", "pid", "passage", "n").repartition("key").sortWithinPartitions("key")
-    marks = stored(dealt.mapInArrow(_search(width, shard_words), MARKS), "marks")
+    marks = stored(dealt.mapInArrow(_search(width, shard_words), MARKS), "marks", batch_rows=2048)
     if not links:
         return marks
     # Marks of parts become marks of what they were cut from, the shortest parts first.
