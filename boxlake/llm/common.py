@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,8 +97,19 @@ def bucketed(df: DataFrame, name: str, key: str, codec: str = "snappy") -> DataF
     return out
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]], rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow with a function built once a task; it turns up to rows rows into columns (lists or Arrow arrays) of schema."""
+def trim() -> None:
+    """Gives memory that is free within this Python worker back to the machine: workers outlive the stages that filled them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]], rows: int = BATCH_ROWS, after: Callable[[], object] | None = None) -> DataFrame:
+    """mapInArrow with a function built once a task; it turns up to rows rows into columns (lists or Arrow arrays) of schema.
+
+    after is called when a task's last batch is out, to drop what the worker need not keep.
+    """
     target = pa_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +118,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
             for start in range(0, batch.num_rows, rows):
                 out = work(batch.slice(start, rows))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c := out[f.name], pa.Array) else pa.array(c, f.type) for f in target], schema=target)
+        if after:
+            after()
 
     return df.mapInArrow(run, schema)
 

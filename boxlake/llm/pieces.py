@@ -15,7 +15,7 @@ import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches
+from .common import documents, map_batches, trim
 
 SPACE = "▁"
 #: Segments that a generation of the table of results may hold (there are two), and the longest segment it holds.
@@ -57,6 +57,12 @@ class PieceCodec:
         self.known: dict[str, tuple[list[int], str, str]] = {}
         self.older: dict[str, tuple[list[int], str, str]] = {}
 
+    def forget(self) -> None:
+        """Drops the results that are kept of segments and of pairs."""
+        self.known, self.older, self.n_pairs = {}, {}, 0
+        for _, _, table in self.automaton.values():
+            table.clear()
+
     def merged(self, text: str) -> list[str]:
         """Plain merging: the pair of best score, the leftmost of equals, until none is a piece. For short texts."""
         parts = list(text)
@@ -205,13 +211,14 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, ids array<int>, decoded string", make)
 
 
-def encoding_digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+def encoding_digests(docs: DataFrame, path: str, keep_ids: bool = False, forget: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, and ids (array of int) if asked.
 
     Ids end with the end id. Null and empty texts have that id only and decode to nothing. Repeated rows and null
     doc_ids each give their row; other columns are ignored; an empty table gives an empty result. Texts are encoded
     whole, one at a time. Digests are made where the ids are, which then needn't move; a text that equals the one before
-    it (copies of a mix follow each other) is not encoded again.
+    it (copies of a mix follow each other) is not encoded again. forget: results of segments go after each task, for jobs
+    whose other stages share the workers.
     """
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
@@ -233,7 +240,7 @@ def encoding_digests(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
 
         return work
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, make)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, make, after=(lambda: (codec(path).forget(), trim())) if forget else None)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, as_bytes, documents, map_batches
+from .common import BATCH_ROWS, as_bytes, documents, map_batches, trim
 from .pieces import MEMO, model_path
 
 SYMBOLS, BLANK, WINDOW = b"#*$%&|<>", b" \t\n\r\x0b\x0c", 8
@@ -181,7 +181,7 @@ def quality_rules(docs: DataFrame, path: str, ranks: tuple[str, ...] | None = No
 
 
 def keep_good(docs: DataFrame, path: str, ranks: tuple[str, ...] | None = None, bands: dict[str, tuple[float, ...]] = BANDS) -> DataFrame:
-    """The rows of docs (with all their columns) that the rules keep; texts don't leave their task.
+    """The rows of docs (with all their columns) that the rules keep; texts don't leave their task, which forgets its words.
 
     Null and empty texts go; repeated rows stay or go together; an empty table stays one. No column name is reserved.
     """
@@ -191,12 +191,15 @@ def keep_good(docs: DataFrame, path: str, ranks: tuple[str, ...] | None = None,
         raise ValueError("docs needs a column text")
 
     ranks = rank_paths() if ranks is None else ranks
+
     def run(batches):
         fertility = fertility_of(path, ranks)
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(start, BATCH_ROWS)
                 yield part.filter(pa.array([row[-1] for row in assess(as_bytes(part, "text"), fertility, bands)], pa.bool_()))
+        fertility.forget()
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 

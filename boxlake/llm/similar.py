@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, join_keyed, keep_rows, map_batches, stored, text_sha256
+from .common import as_bytes, join_keyed, keep_rows, map_batches, stored, text_sha256, trim
 from .components import components
 from .simhash import LIMIT, majority, near_links, shingle_hashes
 
@@ -91,6 +91,8 @@ def _compared(least: tuple[int, int]):
                 nodes.append(node)
                 sets.append(values[n].values.to_numpy().view(np.uint64).copy())
         yield flush()
+        cell, nodes, sets = None, [], []
+        trim()
 
     return run
 
@@ -110,7 +112,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
         return work
 
-    return map_batches(docs, "doc_id long, text_sha256 string, node long, n long, fp long, bands array<long>", make)
+    return map_batches(docs, "doc_id long, text_sha256 string, node long, n long, fp long, bands array<long>", make, after=trim)
 
 
 def candidate_cells(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -140,7 +142,7 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, in
 
         return work
 
-    found = map_batches(join_keyed(texts, stored(keyed, "candidate-texts"), "text_sha256", F.xxhash64("text")).select("node", "root", "parts", "text"), "node long, root long, parts long, hashes array<long>", make)
+    found = map_batches(join_keyed(texts, stored(keyed, "candidate-texts"), "text_sha256", F.xxhash64("text")).select("node", "root", "parts", "text"), "node long, root long, parts long, hashes array<long>", make, after=trim)
     own = found.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")))
     pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 or own <> other")
     pairs = pairs.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "hashes")
