@@ -36,7 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digests of ids and decoded text, a row for each row of the mix."""
-    return encoding_digests(docs, model_path(), keep_ids=True)
+    return encoding_digests(docs, model_path(), keep_ids=True, forget=True)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("encode", encode)]
