@@ -54,6 +54,7 @@ class PieceCodec:
         spans = any(SPACE in p.lstrip(SPACE) for p in self.score)
         line = "\n" if not any("\n" in p for p in self.score) else ""
         self.parts = re.compile(f"{line}|{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" if line else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall if not spans else lambda s: [s]
+        self.memo = MEMO
         self.known: dict[str, tuple[list[int], str, str]] = {}
         self.older: dict[str, tuple[list[int], str, str]] = {}
 
@@ -116,13 +117,13 @@ class PieceCodec:
         return out
 
     def segment(self, s: str) -> tuple[list[int], str, str]:
-        """ids, the ids as text, and the decoded text of a part of an escaped text. The last MEMO parts or more are kept."""
+        """ids, the ids as text, and the decoded text of a part of an escaped text. The last `memo` parts or more are kept."""
         found = self.older.get(s)
         if found is None:
             ids = self.ids_of(s)
             found = ids, " ".join(map(str, ids)), self.surface(ids)
         if len(s) <= LONGEST:
-            if len(self.known) >= MEMO:
+            if len(self.known) >= self.memo:
                 self.known, self.older = {}, self.known
             self.known[s] = found
         return found
@@ -211,18 +212,20 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, ids array<int>, decoded string", make)
 
 
-def encoding_digests(docs: DataFrame, path: str, keep_ids: bool = False, forget: bool = False) -> DataFrame:
+def encoding_digests(docs: DataFrame, path: str, keep_ids: bool = False, memo: int = MEMO, forget: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, and ids (array of int) if asked.
 
     Ids end with the end id. Null and empty texts have that id only and decode to nothing. Repeated rows and null
     doc_ids each give their row; other columns are ignored; an empty table gives an empty result. Texts are encoded
     whole, one at a time. Digests are made where the ids are, which then needn't move; a text that equals the one before
-    it (copies of a mix follow each other) is not encoded again. forget: results of segments go after each task, for jobs
-    whose other stages share the workers.
+    it (copies of a mix follow each other) is not encoded again. memo: segments whose results are kept at least; forget:
+    they go after each task, for jobs whose other stages share the workers.
     """
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def make():
+        codec(path).memo = memo
+
         def work(batch):
             c, rows, last = codec(path), [], None
             end = str(c.end_id)
