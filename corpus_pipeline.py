@@ -11,6 +11,8 @@ from boxlake.llm.pieces import encoding_digests, model_path
 from boxlake.llm.quality_rules import keep_good
 from boxlake.llm.similar import drop_similar
 
+#: Segments whose results a worker of the last stage keeps: fewer than where encoding is all it does.
+MEMO = 30_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -36,7 +38,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digests of ids and decoded text, a row for each row of the mix."""
-    return encoding_digests(docs, model_path(), keep_ids=True, forget=True)
+    return encoding_digests(docs, model_path(), keep_ids=True, memo=MEMO, forget=True)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("encode", encode)]
