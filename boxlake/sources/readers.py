@@ -16,10 +16,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..errors import DatasetError
 from ..functions import geometry as g
 from ..functions import text as t
+from . import json_values
 
 REQUIRED = ("visible", "infrared", "depth", "query")
 REFS = "ref_id bigint, image_id bigint, ann_id string, split string, no_target boolean, sentences array<struct<sent_id:string,sent:string,raw:string>>"
-INSTANCES = "images array<struct<id:bigint,file_name:string,width:int,height:int,depth_file_name:string>>, annotations array<struct<id:bigint,image_id:bigint,bbox:array<double>>>"
+IMAGE, ANNOTATION = "id bigint, file_name string, width int, height int, depth_file_name string", "id bigint, image_id bigint, bbox array<double>"
+#: What stands before a member's value that is an array.
+_MEMBER = r'^\s*\{?\s*"(images|annotations)"\s*:\s*$'
 MANIFEST = "schema_version int, dataset string, query_id string, image_key string, image_id bigint, ref_id bigint, ann_ids array<bigint>, target_count int, query string, source_split string, image_relpath string, image_exists boolean, depth_relpath string, depth_exists boolean, width int, height int, bbox_xywh_pixels array<double>, bbox_xyxy_normalized array<double>, split string"
 
 
@@ -27,14 +30,13 @@ def queries(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
     """(pos, query_id, fields map<string,string>, source_json) of a JSON object of records, in the file's order.
 
     Of a repeated id the last record counts, at the first's place. A byte order mark is taken off unless lenient. A file
-    that is no object raises DatasetError.
+    that is no object raises DatasetError. Many tasks read a large file; see json_values.elements().
     """
-    whole = spark.read.text(path, wholetext=True)
-    text = F.col("value") if lenient else F.regexp_replace("value", "^\ufeff", "")
-    parsed = whole.select(F.from_json(text, "map<string,string>").alias("m"))
-    if not parsed.where("m is not null").limit(1).count():
+    whole = json_values.elements(spark, path, "{", mark=not lenient)
+    parsed = whole.select("pos", F.map_entries(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "map<string,string>")).alias("e"))
+    if not parsed.where("e is null or size(e) <> 1").isEmpty():
         raise DatasetError(f"{path} is not a JSON object")
-    rows = parsed.select(F.posexplode("m").alias("pos", "query_id", "source_json"))
+    rows = parsed.select("pos", F.col("e")[0]["key"].alias("query_id"), F.col("e")[0]["value"].alias("source_json"))
     rows = rows.groupBy("query_id").agg(F.min("pos").alias("pos"), F.max_by("source_json", "pos").alias("source_json"))
     return rows.select("pos", "query_id", F.from_json("source_json", "map<string,string>").alias("fields"), "source_json")
 
@@ -61,12 +63,18 @@ def strict(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def _structs(elements: DataFrame, fields: str, path: str) -> DataFrame:
+    """elements(pos, text) with r, what they are as JSON; an element that is none raises DatasetError."""
+    rows = elements.select("*", F.from_json("text", f"struct<{_inline(fields)},_wrong:string>", {"columnNameOfCorruptRecord": "_wrong"}).alias("r"))
+    if not rows.where("r._wrong is not null").isEmpty():
+        raise DatasetError(f"{path} is not JSON")
+    return rows
+
+
 def references(spark: SparkSession, path: str) -> DataFrame:
-    """(ref_pos, ref_id, image_id, ann_ids, source_split, no_target, n_sentences, sentences) of a JSON array."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{_inline(REFS)}>>").alias("a"))
-    if not whole.where("a is not null").limit(1).count():
-        raise DatasetError(f"{path} is not a JSON array")
-    return _references(whole.select(F.posexplode("a").alias("ref_pos", "r")).select("ref_pos", "r.*"))
+    """(ref_pos, ref_id, image_id, ann_ids, source_split, no_target, n_sentences, sentences) of a JSON array, read by many tasks."""
+    rows = _structs(json_values.elements(spark, path, "["), REFS, path)
+    return _references(rows.select(F.col("pos").cast("int").alias("ref_pos"), "r.*"))
 
 
 def _inline(ddl: str) -> str:
@@ -106,11 +114,18 @@ def pickled_references(spark: SparkSession, path: str, sha256: str | None) -> Da
 
 
 def instances(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """images(image_id, file_name, width, height, depth_file_name) and annotations(ann_id, x, y, w, h); the last of an id counts."""
-    whole = spark.read.schema(INSTANCES).option("multiLine", True).json(path)
-    last = lambda rows: rows.groupBy("id").agg(F.max_by("r", "pos").alias("r"))
-    images = last(whole.select(F.posexplode("images").alias("pos", "r")).withColumn("id", F.col("r.id")))
-    boxes = last(whole.select(F.posexplode("annotations").alias("pos", "r")).withColumn("id", F.col("r.id")))
+    """images(image_id, file_name, width, height, depth_file_name) and annotations(ann_id, x, y, w, h); the last of an id counts.
+
+    Both are arrays of one JSON object, whose other members are not looked at; many tasks read a large file.
+    """
+    parts = json_values.elements(spark, path, "{", level=2)
+    named = parts.where((F.col("pos") == -1) & F.col("text").rlike(_MEMBER)).select("member", F.regexp_extract("text", _MEMBER, 1).alias("name")).collect()
+    found = []
+    for name, fields in (("images", IMAGE), ("annotations", ANNOTATION)):
+        members = [r["member"] for r in named if r["name"] == name]
+        rows = _structs(parts.where(F.col("member").isin(members[-1:]) & (F.col("pos") >= 0)), fields, path)
+        found.append(rows.groupBy(F.col("r.id").alias("id")).agg(F.max_by("r", "pos").alias("r")))
+    images, boxes = found
     return (
         images.select(F.col("id").alias("image_id"), "r.file_name", "r.width", "r.height", "r.depth_file_name"),
         boxes.select(F.col("id").alias("ann_id"), *(F.get(F.col("r.bbox"), i).alias(n) for i, n in enumerate("xywh"))),
