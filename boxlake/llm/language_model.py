@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, documents, map_batches, stored, trim
 
-#: Words that tasks know, at most. Words of the text are never empty: the empty one stands for the end.
-HEAD, END = 131_072, b""
+#: Words that tasks know, at most, and grades of counts a doubling, by which they are chosen. Words of the text are never empty: the empty one stands for the end.
+HEAD, GRADES, END = 131_072, 64, b""
 #: The most frequent words have a class of their own, then come classes by company, then that of the rare words.
 SINGLES, CLUSTERS = 15, 16
 CLASSES = SINGLES + CLUSTERS + 1
@@ -33,11 +33,12 @@ CLASSES = SINGLES + CLUSTERS + 1
 ANCHORS, BUCKETS, REACH = 256, 16, 3
 #: Rows of the table (their numbers take 16 bits); gradient steps, each over a slice of the training documents; their size, and the count that damps it.
 ROWS, STEPS, RATE, DAMP = 1 << 15, 4, 0.7, 3.0
-#: Fixed point of the probabilities and of the logarithms that are summed.
-PARTS, LOG_PARTS = 1 << 16, 1 << 40
+#: Fixed point of the probabilities in a task, of what it gives of their sums, and of the logarithms that are summed.
+PARTS, GIVEN_PARTS, LOG_PARTS = 1 << 16, 1 << 6, 1 << 40
 #: Tokens that are worked on at once (CHUNK * PARTS fits 32 bits), and entries that a task counts before it passes them on.
 CHUNK, PENDING = 16_384, 200_000
-_BLOCK = 1024
+#: Rows of a table that are sent at once; tasks a core, and groups of them, that sum into tables.
+_BLOCK, TASKS, GROUPS = 1024, 4, 32
 _NONE = -1e4
 
 
@@ -177,47 +178,52 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def _summed(rows: DataFrame, width: int, columns: tuple[str, ...], work: Callable) -> dict[str, np.ndarray]:
     """Tables that the tasks fill by work(ids, sizes, *tables), summed; their size is fixed, and so is what the driver gets.
 
-    A task gives blocks of its tables as 64-bit integers; blocks are added up by groups of tasks, then over the groups.
+    A task gives blocks of its tables, those rows that have anything, as 64-bit integers; blocks are added up by groups of
+    tasks, then over the groups.
     """
-    schema = "block int, group int, " + ", ".join(f"{c} binary" for c in columns)
+    schema = "block int, group int, used binary, " + ", ".join(f"{c} binary" for c in columns)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        group, tables = TaskContext.get().partitionId() % 32, None
+        group, tables = TaskContext.get().partitionId() % GROUPS, None
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column("ids")
                 tables = tables or work.tables()
                 work.add(np.asarray(ids.flatten()), np.asarray(ids.value_lengths()), *tables)
         if tables:
-            whole = [t.astype(np.int64) for t in tables]
-            for b in range(0, len(whole[0]), _BLOCK):
-                yield pa.RecordBatch.from_pydict({"block": pa.array([b // _BLOCK], pa.int32()), "group": pa.array([group], pa.int32())} | {c: pa.array([t[b : b + _BLOCK].tobytes()], pa.binary()) for c, t in zip(columns, whole, strict=True)})
+            for b in range(0, work.height, _BLOCK):
+                whole = work.given(*(t[b : b + _BLOCK] for t in tables))
+                used = np.flatnonzero(np.any([t.any(axis=1) for t in whole], axis=0))
+                if len(used):
+                    yield said(b // _BLOCK, group, used, [t[used] for t in whole])
         trim()
 
+    def said(block: int, group: int, used: np.ndarray, tables: list[np.ndarray]) -> pa.RecordBatch:
+        numbers = {"block": pa.array([block], pa.int32()), "group": pa.array([group], pa.int32())}
+        return pa.RecordBatch.from_pydict(numbers | {c: pa.array([t.astype(kind).tobytes()], pa.binary()) for c, t, kind in zip(("used", *columns), (used, *tables), (np.uint16, *[np.int64] * len(columns)), strict=True)})
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            for block, group, *parts in zip(*(batch.column(c).to_pylist() for c in ("block", "group", *columns)), strict=True):
-                parts = [np.frombuffer(p, np.int64) for p in parts]
-                held = sums.get((block, group))
-                if held is None:
-                    sums[block, group] = [p.copy() for p in parts]
-                else:
-                    for h, p in zip(held, parts, strict=True):
-                        h += p
-        for (block, group), parts in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "group": pa.array([group], pa.int32())} | {c: pa.array([p.tobytes()], pa.binary()) for c, p in zip(columns, parts, strict=True)})
-
-    made = rows.select("ids").mapInArrow(fill, schema).repartition("block", "group").mapInArrow(add, schema)
+            for block, group, used, *parts in zip(*(batch.column(c).to_pylist() for c in ("block", "group", "used", *columns)), strict=True):
+                held = sums.setdefault((block, group), [np.zeros((_BLOCK, width), np.int64) for _ in columns])
+                for h, p in zip(held, parts, strict=True):
+                    h[np.frombuffer(used, np.uint16)] += np.frombuffer(p, np.int64).reshape(-1, width)
+        for (block, group), held in sums.items():
+            used = np.flatnonzero(np.any([t.any(axis=1) for t in held], axis=0))
+            yield said(block, group, used, [t[used] for t in held])
+
+    # So many tasks fill tables, however many parts the rows have: what they give grows with the machines, not with the rows.
+    tasks = rows.sparkSession.sparkContext.defaultParallelism * TASKS
+    made = rows.select("ids").coalesce(tasks).mapInArrow(fill, schema).repartition("block", "group").mapInArrow(add, schema)
     made = made.withColumn("group", F.lit(0)).repartition("block").mapInArrow(add, schema)
-    out = {c: np.zeros((work.height, width), np.int64) for c in columns}
+    out = {c: np.zeros((-(-work.height // _BLOCK) * _BLOCK, width), np.int64) for c in columns}
     for r in made.collect():
         for c in columns:
-            part = np.frombuffer(r[c], np.int64).reshape(-1, width)
-            out[c][r["block"] * _BLOCK : r["block"] * _BLOCK + len(part)] = part
-    return out
+            out[c][r["block"] * _BLOCK + np.frombuffer(r["used"], np.uint16).astype(int)] = np.frombuffer(r[c], np.int64).reshape(-1, width)
+    return {c: t[: work.height] for c, t in out.items()}
 
 
 @dataclass
@@ -233,6 +239,9 @@ class _Company:
     def tables(self) -> list[np.ndarray]:
         return [np.zeros((self.height, BUCKETS), np.int32)]
 
+    def given(self, *tables: np.ndarray) -> list[np.ndarray]:
+        return list(tables)
+
     def add(self, ids: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> None:
         bucket, doc = self.buckets[ids], np.repeat(np.arange(len(sizes)), sizes)
         for k in range(1, REACH + 1):
@@ -253,6 +262,9 @@ class _Counts:
     def tables(self) -> list[np.ndarray]:
         return [np.zeros((ROWS, CLASSES), np.int64) for _ in range(2)]
 
+    def given(self, observed: np.ndarray, expected: np.ndarray) -> list[np.ndarray]:
+        return [observed, (expected + PARTS // GIVEN_PARTS // 2) // (PARTS // GIVEN_PARTS)]
+
     def add(self, ids: np.ndarray, sizes: np.ndarray, *tables: np.ndarray) -> None:
         self.model.gradient(ids, sizes, *tables)
 
@@ -287,10 +299,19 @@ class Statistics:
 
 
 def statistics(docs: DataFrame, most: int = HEAD) -> Statistics:
-    """Exact counts over all of docs(text); the head is the `most` most frequent words (of equal ones the least), and END."""
+    """Exact counts over all of docs(text). The head is END and all words above a count, the least of a scale at which they are
+    at most `most`: no words are sorted, and no task or driver gets more of them than that."""
     counts = stored(count_words(docs).groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "word-counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(most).collect()}
+    grade = F.floor(F.log2("c") * GRADES).cast("int")
+    least, n = None, 0
+    for r in counts.groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect():  # some GRADES a doubling
+        n += r["count"]
+        if n > most:
+            break
+        least = r["grade"]
+    found = [] if least is None else counts.where(grade >= least).collect()
+    head = {bytes(r["word"]): r["c"] for r in sorted(found, key=lambda r: (-r["c"], bytes(r["word"])))}
     end = counts.where(F.length("word") == 0).first()
     head.setdefault(END, end["c"] if end else 0)
     return Statistics(counts, tokens, distinct, list(head), np.array(list(head.values()), np.int64))
@@ -317,7 +338,7 @@ def train(encoded: DataFrame, known: Statistics, steps: int = STEPS, rate: float
     for step in range(steps):
         part = rows.where(F.pmod(F.xxhash64("doc_id", F.size("ids")), F.lit(steps)) == step)
         found = _summed(part, CLASSES, ("observed", "expected"), _Counts(model))
-        o, e = found["observed"].astype(float), found["expected"] / PARTS
+        o, e = found["observed"].astype(float), found["expected"] / GIVEN_PARTS
         model = Model(classes, within, model.bias, (model.table + rate * (o - e) / (np.maximum(o, e) + DAMP)).astype(np.float32))
     return model
 
