@@ -5,18 +5,16 @@ from __future__ import annotations
 import hashlib
 import io
 import pickle
-import zipfile
-import zlib
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import DatasetError
 from ..functions import geometry as g
 from ..functions import text as t
 from . import json_values
+from .archives import zip_entries  # noqa: F401
 
 REQUIRED = ("visible", "infrared", "depth", "query")
 REFS = "ref_id bigint, image_id bigint, ann_id string, split string, no_target boolean, sentences array<struct<sent_id:string,sent:string,raw:string>>"
@@ -154,47 +152,6 @@ def listing(spark: SparkSession, root: str, glob: str | None = None, content: bo
     return rows.select(relative.alias("path"), F.col("length").alias("size"), *([F.col("content")] if content else []), F.regexp_replace("path", "^file:/+", "file:///").alias("location"))
 
 
-class ZipEntries(DataSource):
-    """spark.read.format('zip_entries'): the members of archives, with their CRC checked if option crc is true."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "zip_entries"
-
-    def schema(self) -> str:
-        return "archive string, pos int, name string, is_dir boolean, size bigint, crc_ok boolean"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _ZipReader(self.options)
-
-
-class _ZipReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.paths, self.crc = options["path"].split(","), options.get("crc", "false").lower() == "true"
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition):
-        with zipfile.ZipFile(partition.value) as z:
-            for i, m in enumerate(z.infolist()):
-                ok = None
-                if self.crc:
-                    try:
-                        with z.open(m) as f:
-                            while f.read(1 << 20):
-                                pass
-                        ok = True
-                    except (zipfile.BadZipFile, zlib.error):
-                        ok = False
-                yield partition.value, i, m.filename, m.is_dir(), m.file_size, ok
-
-
-def zip_entries(spark: SparkSession, *archives: str, crc: bool = False) -> DataFrame:
-    spark.dataSource.register(ZipEntries)
-    return spark.read.format("zip_entries").option("crc", str(crc).lower()).load(",".join(archives))
-
-
 def config(path: str) -> dict[str, Any]:
     """A YAML (or JSON) file whose top level is an object."""
     with open(path, encoding="utf-8") as f:

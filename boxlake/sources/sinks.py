@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 import json
 import os
-import zipfile
 from pathlib import Path
 from typing import Any
 
@@ -66,9 +65,11 @@ def unpack(entries: DataFrame, archive: str, target: str, overwrite: bool = Fals
     """Unpacks the files of zip_entries() of one archive to their safe paths below target; returns how many were new.
 
     Unsafe members fail the job before anything is written. A file of the same size is left; one of another size is an
-    error unless overwrite. Each partition opens the archive once; files appear under their name only when complete.
+    error unless overwrite. Members are read in the slices that entries has, each where the directory says it is, and
+    checked; files appear under their name only when complete.
     """
     from ..functions import text as t
+    from .archives import content
 
     files = entries.where("not is_dir").withColumn("error", t.path_error(F.col("name"))).withColumn("target", t.safe_path(F.col("name")))
     bad = files.where("error is not null").select("name", "error").limit(1).collect()
@@ -77,7 +78,7 @@ def unpack(entries: DataFrame, archive: str, target: str, overwrite: bool = Fals
 
     def write(rows):
         n = 0
-        with zipfile.ZipFile(archive) as z:
+        with open(archive, "rb") as source:
             for r in rows:
                 path = Path(target, r.target)
                 if path.exists() and path.stat().st_size == r["size"]:
@@ -86,11 +87,11 @@ def unpack(entries: DataFrame, archive: str, target: str, overwrite: bool = Fals
                     raise FileExistsError(path)
                 path.parent.mkdir(parents=True, exist_ok=True)
                 part = path.with_name(f".{path.name}.{os.getpid()}")
-                with z.open(r["name"]) as source, part.open("wb") as sink:
-                    while piece := source.read(8 << 20):
+                with part.open("wb") as sink:
+                    for piece in content(source, r.offset, r.method, r.compressed, r.crc, r["name"]):
                         sink.write(piece)
                 part.replace(path)
                 n += 1
         yield n
 
-    return files.select("name", "size", "target").rdd.mapPartitions(write).sum()
+    return files.select("name", "size", "target", "offset", "method", "compressed", "crc").rdd.mapPartitions(write).sum()
