@@ -5,17 +5,18 @@ from __future__ import annotations
 import json
 import platform
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..sources import readers, sinks
+from ..sources import one_file, readers, sinks
 from . import grounding, integrity, outputs, runs, stats
 
 LOG = "predictions_debug.jsonl"
@@ -80,13 +81,16 @@ def summarise(parsed: DataFrame, selected: int, total: int, new: int) -> dict[st
 
 
 def _write_predictions(done: DataFrame, target: Path) -> None:
-    """One JSON object of done(pos, query_id, box) in the queries' order; rows stream to the driver, since it is one file by
-    its nature."""
-    with target.open("w", encoding="utf-8") as f:
-        f.write("{")
-        for n, r in enumerate(done.select("pos", "query_id", g.to_array(F.col("box")).alias("bbox")).orderBy("pos").toLocalIterator()):
-            f.write(("," if n else "") + "\n" + json.dumps(r.query_id, ensure_ascii=False) + ": " + json.dumps(list(r.bbox)))
-        f.write("\n}\n")
+    """One JSON object of done(line_no, query_id, box) in the log's order: that of each id's last sound line. Tasks write it together."""
+
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [json.dumps(q, ensure_ascii=False) + ": " + json.dumps(b) for q, b in zip(batch.column("query_id").to_pylist(), batch.column("bbox").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"line_no": batch.column("line_no"), "text": pa.array(texts, pa.string())})
+
+    rows = done.select("line_no", "query_id", g.to_array(F.col("box")).alias("bbox"))
+    kind = rows.schema["line_no"].dataType.simpleString()
+    one_file.write(rows.mapInArrow(said, f"line_no {kind}, text string"), ["line_no"], "text", str(target), b"{\n", b",\n", b"\n}\n")
 
 
 def run(rows: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder], folder: str, limit: int | None = None, mode: str = "error", strategy: str = "first", resume: bool = False, stamp: dict[str, Any] | None = None) -> dict[str, Any]:
@@ -113,7 +117,7 @@ def run(rows: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder
     parsed = parse()
     done = runs.reused(parsed)
     found = summarise(parsed, selected_count, total, new)
-    _write_predictions(done.join(selected.select("query_id", "pos"), "query_id"), Path(folder, "predictions.json"))
+    _write_predictions(done, Path(folder, "predictions.json"))
     last = parsed.where("prediction_ok").groupBy("query_id").agg(F.max_by(F.struct("fallback_used", "error", "box"), "line_no").alias("r")).select("query_id", "r.*")
     sinks.failures(last, f"{folder}/failure_cases.csv")
     return sinks.summary(found | {"wall_time_seconds_this_invocation": time.perf_counter() - began}, f"{folder}/inference_summary.json")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-import zipfile
-from pathlib import Path
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SubmissionError
 from ..functions import geometry as g
+from ..sources import one_file
 
 
 def id_difference(original: DataFrame, predicted: DataFrame, key: str = "query_id") -> DataFrame:
@@ -27,21 +28,19 @@ def build(original: DataFrame, predicted: DataFrame) -> DataFrame:
     return original.join(predicted.select("query_id", g.to_array(F.col("box")).alias("bbox")), "query_id")
 
 
-def write(rows: DataFrame, target: str, archive: str) -> int:
+def write(rows: DataFrame, target: str, archive: str, parts: int | None = None) -> int:
     """Writes rows of build() as one JSON object in order of pos and an archive with just that file; returns their number.
 
-    Rows stream to the driver partition by partition; a submission is one file by its nature. Every field of the original
-    is kept; bbox is replaced in place or comes last.
+    Tasks write it together, see one_file.write(). Every field of the original is kept; bbox is replaced in place or comes last.
     """
-    n = 0
-    with open(target, "w", encoding="utf-8") as f:
-        f.write("{")
-        for r in rows.orderBy("pos").toLocalIterator():
-            record = json.loads(r["source_json"])
-            record["bbox"] = list(r["bbox"])
-            f.write(("," if n else "") + "\n" + json.dumps(r["query_id"], ensure_ascii=False) + ": " + json.dumps(record, ensure_ascii=False))
-            n += 1
-        f.write("\n}\n")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        z.write(target, Path(target).name)
-    return n
+
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for query_id, source, box in zip(*(batch.column(c).to_pylist() for c in ("query_id", "source_json", "bbox")), strict=True):
+                record = json.loads(source) | {"bbox": list(box)}
+                texts.append(json.dumps(query_id, ensure_ascii=False) + ": " + json.dumps(record, ensure_ascii=False))
+            yield pa.RecordBatch.from_pydict({"pos": batch.column("pos").cast(pa.int64()), "text": pa.array(texts, pa.string())})
+
+    texts = rows.select("pos", "query_id", "source_json", "bbox").mapInArrow(said, "pos long, text string")
+    return one_file.write(texts, ["pos"], "text", target, b"{\n", b",\n", b"\n}\n", archive, parts)

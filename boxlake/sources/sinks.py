@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import os
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DatasetError
 from ..operators.splits import SPLITS
+from . import one_file
 
 
 def jsonl(rows: DataFrame, path: str) -> int:
@@ -40,14 +44,22 @@ def summary(row: DataFrame | dict[str, Any], path: str) -> dict[str, Any]:
 def failures(rows: DataFrame, path: str) -> None:
     """query_id, error and box of fallback rows as one CSV file with a byte order mark and a header, in order of the ids.
 
-    Rows stream to the driver partition by partition, since it is one file by its nature.
+    Tasks write it together, see one_file.write().
     """
     table = rows.where("fallback_used").select("query_id", "error", F.to_json(F.array("box.x1", "box.y1", "box.x2", "box.y2")).alias("fallback_bbox"))
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(table.columns)
-        for r in table.orderBy("query_id").toLocalIterator():
-            out.writerow(r)
+
+    def line(values: list[Any]) -> str:
+        out = io.StringIO()
+        csv.writer(out).writerow(values)
+        return out.getvalue()
+
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [line(r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_pydict({"query_id": batch.column("query_id"), "text": pa.array(texts, pa.string())})
+
+    texts = table.mapInArrow(said, "query_id string, text string")
+    one_file.write(texts, ["query_id"], "text", path, b"\xef\xbb\xbf" + line(table.columns).encode())
 
 
 def settings(found: dict[str, Any], path: str) -> None:
