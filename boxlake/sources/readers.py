@@ -64,7 +64,7 @@ def strict(rows: DataFrame) -> DataFrame:
 def _structs(elements: DataFrame, fields: str, path: str) -> DataFrame:
     """elements(pos, text) with r, what they are as JSON; an element that is none raises DatasetError."""
     rows = elements.select("*", F.from_json("text", f"struct<{_inline(fields)},_wrong:string>", {"columnNameOfCorruptRecord": "_wrong"}).alias("r"))
-    if not rows.where("r._wrong is not null").isEmpty():
+    if not rows.where("r._wrong is not null and trim(r._wrong) <> 'null'").isEmpty():
         raise DatasetError(f"{path} is not JSON")
     return rows
 

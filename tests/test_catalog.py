@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from boxlake.plans import catalog, rules  # noqa: F401
+from boxlake.plans import catalog, files, rules  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
