@@ -15,19 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import DatasetError, SettingsError
-from .functions import text as t
 from .operators import annotations, audit, inference, integrity, pictures, preparation, published, runs, splits, submission
-from .sources import readers, sinks
+from .sources import readers, sinks, walk
 
 
 def validate(spark: SparkSession, root: str, queries: str) -> dict:
-    """Strict reading of the records, and which of their files are missing (the first 20 in order)."""
+    """Strict reading of the records, and which of their files are missing (the first 20 in order).
+
+    A path is what it stands for on the disk: names of one image that links lead to count once, and one that leads out of
+    the root is an error.
+    """
     rows = readers.strict(readers.record_errors(readers.queries(spark, queries)))
     paths = rows.select("pos", F.posexplode(F.array(*(F.col("fields")[n] for n in readers.REQUIRED[:3]))).alias("at", "path"))
-    paths = paths.withColumn("path", t.inner_path(F.col("path")))
-    missing = annotations.with_existence(paths, readers.listing(spark, root), "path", "exists").where("not exists")
-    counts = rows.agg(F.count("*").alias("query_count"), F.count_distinct(F.col("fields")["visible"]).alias("image_count")).first()
-    return counts.asDict() | {"missing_count": missing.count(), "missing_preview": [r.path for r in missing.orderBy("pos", "at").limit(20).collect()]}
+    paths = walk.resolved(paths, root)
+    out = paths.where("target is null").orderBy("pos", "at").select("path").limit(1).collect()
+    if out:
+        raise DatasetError(f"{out[0].path} leads out of {root}")
+    missing = paths.where("not exists")
+    counts = paths.agg(F.count_distinct("pos").alias("query_count"), F.count_distinct(F.when(F.col("at") == 0, F.col("target"))).alias("image_count")).first()
+    return counts.asDict() | {"missing_count": missing.count(), "missing_preview": [r.target for r in missing.orderBy("pos", "at").limit(20).collect()]}
 
 
 def grounder(config: dict[str, Any]) -> Callable[[], Any]:

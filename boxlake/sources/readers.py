@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import pickle
+import re
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import DatasetError
 from ..functions import geometry as g
 from ..functions import text as t
-from . import json_values
+from . import json_values, walk
 from .archives import zip_entries  # noqa: F401
 
 REQUIRED = ("visible", "infrared", "depth", "query")
@@ -76,8 +77,6 @@ def references(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _inline(ddl: str) -> str:
-    import re
-
     return re.sub(r"(^|, )(\w+) ", lambda m: ("," if m[1] else "") + m[2] + ":", ddl)
 
 
@@ -144,12 +143,18 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, root: str, glob: str | None = None, content: bool = False) -> DataFrame:
-    """(path relative to root, size[, content], location) of the regular files below root; location is a file's URI."""
+    """(path relative to root, size[, content], location) of the files below root; location is a file's URI.
+
+    Folders that the tasks can open are walked by them, see walk.walk(): links are followed, and empty and hidden files
+    listed. Of another store Spark lists what it reads, which leaves those out.
+    """
+    if walk.local(root):
+        return walk.files(spark, root, glob, content).drop("target")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    base = root.rstrip("/").removeprefix("file://")
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^\\Q" + base + "\\E/", "")
-    return rows.select(relative.alias("path"), F.col("length").alias("size"), *([F.col("content")] if content else []), F.regexp_replace("path", "^file:/+", "file:///").alias("location"))
+    base = re.sub("^[a-z0-9]+:/+[^/]*", "", root.rstrip("/"))
+    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+[^/]*", ""), "^\\Q" + base + "\\E/", "")
+    return rows.select(relative.alias("path"), F.col("length").alias("size"), *([F.col("content")] if content else []), F.col("path").alias("location"))
 
 
 def config(path: str) -> dict[str, Any]:
