@@ -19,7 +19,11 @@ SIZED = OUT + ", width int, height int"
 
 class Grounder(Protocol):
     def predict(self, *, image: bytes, query: str) -> dict[str, Any]:
-        """raw_output, boxes (pixel xyxy) and labels; OutputError or BoxError for an output that cannot be used."""
+        """raw_output, boxes (pixel xyxy) and labels; OutputError or BoxError for an output that cannot be used.
+
+        A model may have predict_batch(images=, queries=) besides, and batch_size: then it is given so many at once, and
+        answers each in order with such a dict or such an error.
+        """
 
 
 class FixedGrounder:
@@ -34,28 +38,48 @@ class FixedGrounder:
         return {"raw_output": query, "boxes": self.boxes, "labels": self.labels}
 
 
-def run(rows: DataFrame, make: Callable[[], Grounder], sizes: bool = False) -> DataFrame:
+def run(rows: DataFrame, make: Callable[[], Grounder], sizes: bool = False, seen: Any = None) -> DataFrame:
     """OUT of rows(query_id, query, content or location), or SIZED with the image's size. make() is called once a task, where
     a model is loaded. Of rows with a location the image is read there, so that no batch holds more than names and one image.
 
+    A model with predict_batch gets batches. seen, an accumulator, gets the number of rows done.
     Unusable outputs give an error in their row; any other failure (an unreadable image whose size is asked for, too) fails the job, and what was not committed is redone.
+    A model with predict_batch is given the rows of a batch at once. seen, an accumulator, gets the number of rows done.
     """
 
     schema, image = SIZED if sizes else OUT, "location" if "location" in rows.columns else "content"
 
+    def one(model: Grounder, content: bytes, query: str) -> tuple[dict[str, Any], str | None]:
+        try:
+            return model.predict(image=content, query=query), None
+        except (OutputError, BoxError) as e:
+            return {}, str(e)
+
+    def answers(model: Grounder, asked: list[tuple[str, bytes, str]]) -> list[tuple]:
+        """Rows of OUT for (query_id, image, query); a batch's time is shared out evenly."""
+        began = time.perf_counter()
+        if hasattr(model, "predict_batch"):
+            found = [({}, str(f)) if isinstance(f, Exception) else (f, None) for f in model.predict_batch(images=[c for _, c, _ in asked], queries=[q for _, _, q in asked])]
+            if len(found) != len(asked):
+                raise ValueError("predict_batch must answer every query")
+            took = [1000 * (time.perf_counter() - began) / len(asked)] * len(asked)
+        else:
+            found, took = [], []
+            for _, content, query in asked:
+                began = time.perf_counter()
+                found.append(one(model, content, query))
+                took.append(1000 * (time.perf_counter() - began))
+        return [(i, f.get("raw_output"), f.get("boxes"), f.get("labels"), error, ms, *(size(content) if sizes else ())) for (i, content, _), (f, error), ms in zip(asked, found, took, strict=True)]
+
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
+        step = getattr(model, "batch_size", 1) if hasattr(model, "predict_batch") else 1
         for part in parts:
-            out = []
-            for query_id, query, content in zip(part["query_id"], part["query"], part[image], strict=True):
-                content = opened(content) if image == "location" else content
-                began = time.perf_counter()
-                try:
-                    found, error = model.predict(image=content, query=query), None
-                except (OutputError, BoxError) as e:
-                    found, error = {}, str(e)
-                took = 1000 * (time.perf_counter() - began)
-                out.append((query_id, found.get("raw_output"), found.get("boxes"), found.get("labels"), error, took, *(size(content) if sizes else ())))
+            out, rows = [], list(zip(part["query_id"], part["query"], part[image], strict=True))
+            for a in range(0, len(rows), step):  # no more images are held than a batch has
+                out += answers(model, [(i, opened(c) if image == "location" else c, q) for i, q, c in rows[a : a + step]])
+            if seen is not None:
+                seen.add(len(part))
             yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
     return rows.select("query_id", "query", image).mapInPandas(work, schema)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import platform
+import threading
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
@@ -14,12 +16,15 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions import geometry as g
 from ..functions import text as t
 from ..sources import one_file, readers, sinks
 from . import grounding, integrity, outputs, runs, stats
 
 LOG = "predictions_debug.jsonl"
+#: Queries between two lines about a run's progress, at least.
+EVERY = 100
 #: Options of a run and what they are where a configuration says nothing (the seed and the number of tokens: fixed values).
 DEFAULTS = {"grounder": "", "prompt": "", "device": "cpu", "dtype": "float16", "seed": 20260729, "max_new_tokens": 256, "num_beams": 1, "selection_strategy": "first", "fallback_mode": "error"}
 
@@ -42,14 +47,43 @@ def record_environment(folder: str, config: dict[str, Any], stamp: dict[str, Any
     sinks.settings(config, f"{folder}/resolved_config.yaml")
 
 
-def _log_rows(todo: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder], mode: str, strategy: str) -> DataFrame:
+@contextmanager
+def progress(seen: Any, before: int, total: int, every: int, say: Callable[[str], None] = lambda s: print(s, flush=True), pause: float = 0.5) -> Iterator[None]:
+    """While a job runs, says how many of total are done: before, and what its finished tasks have added to the accumulator seen.
+
+    At most a line for each `every` records. A task that is run again may add twice, so no more than total is ever said.
+    """
+    over, said = threading.Event(), before // every
+
+    def look() -> None:
+        nonlocal said
+        done = min(before + seen.value, total)
+        if done // every > said:
+            said = done // every
+            say(f"{done} of {total} queries done")
+
+    def watch() -> None:
+        while not over.wait(pause):
+            look()
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+        look()
+
+
+def _log_rows(todo: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder], mode: str, strategy: str, seen: Any = None) -> DataFrame:
     """Log lines of todo(query_id, query, visible). A missing or unreadable image fails the job.
 
     Only names are joined; a task opens its images itself, one at a time.
     """
     paths = files.select(F.col("path").alias("_path"), "location")
     rows = todo.join(paths, t.inner_path(F.col("visible")) == F.col("_path"), "left").withColumn("location", F.coalesce("location", F.raise_error(F.concat(F.lit("missing image: "), F.col("visible"))).cast("string")))
-    found = grounding.run(rows, make, sizes=True).withColumnRenamed("error", "_refused")
+    found = grounding.run(rows, make, sizes=True, seen=seen).withColumnRenamed("error", "_refused")
     found = outputs.predictions(found, mode, strategy).join(todo.select("query_id", "query", "visible"), "query_id")
     # What the model says of an output it refused tells more than that there were no candidates.
     error = F.when(F.col("error") == "no_candidates", F.coalesce("_refused", "error")).otherwise(F.col("error"))
@@ -62,11 +96,15 @@ def _log_rows(todo: DataFrame, files: DataFrame, make: Callable[[], grounding.Gr
 def summarise(parsed: DataFrame, selected: int, total: int, new: int) -> dict[str, Any]:
     """Metrics over the lines whose prediction is sound; ids that a log has twice count twice but in valid_bbox_count."""
     rows = parsed.where("prediction_ok").select("query_id", "source_suffix", F.coalesce("fallback_used", F.lit(False)).alias("fallback"), "latency_ms", g.area(F.col("box")).alias("area"), F.coalesce(F.size("candidates"), F.lit(0)).alias("candidates"))
-    named = lambda c, n: [stats.mean(F.col(c)).alias(f"{n}_mean"), F.coalesce(F.max(c), F.lit(0)).alias(f"{n}_max")]
+    most = lambda c, n: F.coalesce(F.max(c), F.lit(0)).alias(f"{n}_max")
     counts = rows.agg(
-        F.count_distinct("query_id").alias("valid_bbox_count"), F.count_if("fallback").alias("fallback_count"), *named("candidates", "candidate_count"), F.count_if(F.col("candidates") > 1).alias("multi_candidate_count"),
-        *named("area", "bbox_area"), F.count_if(F.col("area") > 0.5).alias("bbox_area_over_50_count"), stats.mean(F.col("latency_ms")).alias("latency_ms_mean"), (F.coalesce(F.sum("latency_ms"), F.lit(0.0)) / 1000).alias("inference_latency_seconds_total"),
+        F.count_distinct("query_id").alias("valid_bbox_count"), F.count_if("fallback").alias("fallback_count"), most("candidates", "candidate_count"), F.count_if(F.col("candidates") > 1).alias("multi_candidate_count"),
+        most("area", "bbox_area"), F.count_if(F.col("area") > 0.5).alias("bbox_area_over_50_count"),
     ).first().asDict()
+    # The same in whatever order the log is read.
+    sums = {r["name"]: r for r in exact.totals(exact.partial_sums(rows, {"candidate_count": F.col("candidates"), "bbox_area": F.col("area"), "latency_ms": F.col("latency_ms")}, []), []).collect()}
+    counts |= {f"{n}_mean": sums[n]["mean"] if n in sums else 0.0 for n in ("candidate_count", "bbox_area", "latency_ms")}
+    counts["inference_latency_seconds_total"] = sums["latency_ms"]["total"] / 1000 if "latency_ms" in sums else 0.0
     for column, name in (("candidates", "candidate_count"), ("area", "bbox_area"), ("latency_ms", "latency_ms")):
         ranks = stats.nearest_rank(rows, column, {"p50": 0.5, "p95": 0.95}, []).first()
         counts |= {f"{name}_{p}": (ranks[p] if ranks and ranks[p] is not None else 0.0) for p in ("p50", "p95")}
@@ -112,7 +150,9 @@ def run(rows: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder
     new, selected_count = todo.count(), selected.count()
     if new or not log.exists() or not resume:
         print(f"{selected_count - new} of {selected_count} queries done before, {new} to do", flush=True)
-        _log_rows(todo, files, make, mode, strategy).write.mode("append" if resume else "overwrite").option("ignoreNullFields", False).json(str(log))
+        seen = spark.sparkContext.accumulator(0)
+        with progress(seen, selected_count - new, selected_count, EVERY):
+            _log_rows(todo, files, make, mode, strategy, seen).write.mode("append" if resume else "overwrite").option("ignoreNullFields", False).json(str(log))
         print(f"{selected_count} of {selected_count} queries done", flush=True)
     parsed = parse()
     done = runs.reused(parsed)

@@ -9,9 +9,10 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions import text as t
 from ..operators import annotations, integrity, runs
-from ..sources import json_values, one_file, readers, sinks
+from ..sources import json_values, line_index, one_file, readers, sinks
 from .catalog import query, table
 
 
@@ -107,3 +108,24 @@ def large_json_array(spark, sf):
     one_file.write(rows.select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))).alias("said")), ["conv_id", "turn"], "said", path, b"[\n", b",\n", b"\n]\n")
     found = json_values.elements(spark, f"file://{path}", "[").select("pos", F.from_json("text", rows.select("conv_id", "turn", "text").schema).alias("r"))
     return found.select("r.conv_id", "r.turn", "pos", F.sha2("r.text", 256).alias("digest"))
+
+
+@query("""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS number, doc_id, lang, sha256(coalesce(text, '')) AS digest FROM documents)
+SELECT number, d.doc_id, lang, digest FROM d JOIN (SELECT DISTINCT doc_id FROM labels) l ON number = l.doc_id""")
+def manifest_by_number(spark, sf):
+    """All documents as one JSON-lines file; the lines whose numbers the labels name, fetched through its index."""
+    docs, folder = table(spark, sf, "documents"), _folder(spark, "lines")
+    said = F.to_json(F.struct("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")))
+    one_file.write(docs.select("doc_id", said.alias("said")), ["doc_id"], "said", f"{folder}/m.jsonl", between=b"\n", tail=b"\n")
+    line_index.build(spark, f"{folder}/m.jsonl", f"{folder}/index")
+    found = line_index.Lines(spark, f"{folder}/index").fetch(table(spark, sf, "labels").select(F.col("doc_id").alias("number")))
+    r = F.from_json("value", docs.select("doc_id", "lang", "text").schema)
+    return found.select("number", r.alias("r")).select("number", "r.doc_id", "r.lang", F.sha2("r.text", 256).alias("digest"))
+
+
+@query("""SELECT l_returnflag, sum(l_linenumber) / 1048576e0 AS v_total, sum(l_linenumber) / 1048576e0 / (3 * count(*)) AS v_mean FROM lineitem GROUP BY 1""")
+def exact_means(spark, sf):
+    """Sums whose terms cancel but for a small rest that plain sums lose, and their means, by key."""
+    large = F.col("l_quantity") * F.pow(F.lit(2.0), F.lit(60.0) + F.col("l_orderkey") % 40)
+    rows = table(spark, sf, "lineitem").select("l_returnflag", F.explode(F.array(large, F.col("l_linenumber") * F.pow(F.lit(2.0), F.lit(-20.0)), -large)).alias("v"))
+    return exact.means(rows, {"v": F.col("v")}, ["l_returnflag"])
