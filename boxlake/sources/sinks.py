@@ -6,6 +6,7 @@ import csv
 import io
 import json
 import os
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
@@ -29,8 +30,25 @@ def jsonl(rows: DataFrame, path: str) -> int:
 
 
 def split_manifests(rows: DataFrame, folder: str, name: str) -> dict[str, int]:
-    """folder/name_<split> for each split; one without rows is written empty."""
-    return {s: jsonl(rows.where(F.col("split") == s), f"{folder}/{name}_{s}") for s in SPLITS}
+    """folder/name_<split> for each split, written and counted in one pass over rows; one without rows is an empty folder.
+
+    The splits' files get their names when all are written, so a failed job leaves what was there before.
+    """
+    from pyspark.sql import Observation
+
+    seen, draft, spark = Observation(), f"{folder}/.{name}-{uuid.uuid4().hex}", rows.sparkSession
+    known = rows.where(F.col("split").isin(*SPLITS)).observe(seen, *(F.count_if(F.col("split") == s).alias(s) for s in SPLITS))
+    known.withColumn("_split", F.col("split")).write.partitionBy("_split").option("ignoreNullFields", False).json(draft)
+    path = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(draft).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in SPLITS:
+        source, target = path(f"{draft}/_split={s}"), path(f"{folder}/{name}_{s}")
+        fs.delete(target, True)
+        if not (fs.exists(source) and fs.rename(source, target)):
+            fs.mkdirs(target)
+        fs.create(path(f"{folder}/{name}_{s}/_SUCCESS"), True).close()
+    fs.delete(path(draft), True)
+    return {s: int(seen.get[s]) for s in SPLITS}
 
 
 def summary(row: DataFrame | dict[str, Any], path: str) -> dict[str, Any]:
