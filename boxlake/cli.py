@@ -197,9 +197,10 @@ def main(args: list[str] | None = None) -> int:
     elif o.command == "sample":
         found = sample(spark, config)
     elif o.command == "verify":
-        pinned = dict(p.rsplit("=", 1) for p in o.pin)
-        found = verify(spark, o.archives, not o.skip_crc, output=o.output)
-        bad = any(r["bad_member"] or r["sha256"] != pinned.get(r["archive"], r["sha256"]).upper() for r in found)
+        try:
+            found = verify(spark, o.archives, not o.skip_crc, dict(p.rsplit("=", 1) for p in o.pin), o.output)
+        except DatasetError as e:
+            found, bad = {"error": str(e)}, True
     elif o.command == "extract":
         found = extract(spark, {a: v["target"] for a, v in config["archives"].items()}, config["output_dir"])
     elif o.command == "prepare":

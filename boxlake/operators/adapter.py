@@ -6,6 +6,9 @@ import importlib
 from pathlib import Path
 from typing import Any, Protocol
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..errors import OutputError, SettingsError
 from .grounding import size
 
@@ -22,9 +25,9 @@ class Backend(Protocol):
         """{task: {"bboxes": pixel boxes, "labels": their labels}}."""
 
 
-def prompt_for(query: str, task: str = TASK) -> str:
-    """The query as it stands, right behind the task."""
-    return task + query
+def prompt_for(query: str | Column, task: str = TASK) -> str | Column:
+    """The query as it stands, right behind the task; of a column a column."""
+    return F.concat(F.lit(task), query) if isinstance(query, Column) else task + query
 
 
 def candidates(parsed: Any, task: str = TASK) -> dict[str, list]:

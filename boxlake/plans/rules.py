@@ -121,7 +121,7 @@ def preview_labels(spark, sf):
 @query(f"SELECT conv_id, turn, '{adapter.TASK}' || text AS prompt FROM conversations WHERE role = 'user'")
 def prompts(spark, sf):
     """What a prompted model is asked."""
-    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lit(adapter.TASK), "text").alias("prompt"))
+    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", adapter.prompt_for(F.col("text")).alias("prompt"))
 
 
 @query("""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'a/../p' || page_id WHEN 1 THEN '../p' || page_id WHEN 2 THEN './x//y/./p' || page_id WHEN 3 THEN '/p' || page_id WHEN 4 THEN 'a\\b\\..\\p' || page_id ELSE 'a/../../a/p' || page_id END AS path FROM pages)
