@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -64,8 +66,13 @@ def gate(folder: str, fingerprint: dict[str, Any] | None, resume: bool, log: str
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share; without one named, only a local master has a temporary one."""
+    """A fresh path in the folder that driver and executors share; without one named, only a local master has a temporary one,
+    which goes with the process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise SettingsError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(folder or tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SettingsError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,16 +9,19 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..errors import SettingsError
 from ..functions import exact
 from ..functions import text as t
 from ..operators import annotations, integrity, runs
-from ..sources import json_values, line_index, one_file, readers, sinks
+from ..sources import json_values, line_index, one_file, readers, sinks, walk
 from .catalog import query, table
 
 
 def _folder(spark, name: str) -> str:
     """A fresh shared folder, as a path that tasks open."""
-    path = runs.shared_path(spark, name).removeprefix("file://")
+    path = walk.local(runs.shared_path(spark, name))
+    if path is None:
+        raise SettingsError("spark.checkpoint.dir must be a folder that tasks can open")
     Path(path).mkdir(parents=True)
     return path
 
