@@ -170,13 +170,13 @@ def features(text: str, matcher: Matcher) -> tuple[float, float, float]:
     return math.log1p(total), math.log1p(100 * total / max(words, 1)), float(total > 0)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Newton steps for coefficients (the last is the constant) with a ridge on all but the constant."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50, times: np.ndarray | float = 1.0) -> np.ndarray:
+    """Newton steps for coefficients (the last is the constant) with a ridge on all but the constant; times: how often rows count."""
     x = np.c_[x, np.ones(len(x))]
     b, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ b)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (times * (y - p)) - penalty @ b)
         b += step
         if np.abs(step).max() < 1e-8:
             break

@@ -562,6 +562,65 @@ def test_pu_quality_edges(spark):
     assert {r.score for r in pu_quality.quality_scores(table, pu_quality.learn(table, labels.limit(0))).collect()} == {0.5}
 
 
+def test_pu_slices_hold_every_row(spark):
+    """Every row is dealt, a row that half the table repeats evenly; the mean of the slices' fits equals one by hand."""
+    rows = [([float(i % 11)] * len(pu_quality.FEATURES), i % 3) for i in range(300)] + [([5.0] * len(pu_quality.FEATURES), 1)] * 301
+    bands = pu_quality.Bands([[2.0, 4.0]] + [[7.5]] * (len(pu_quality.FEATURES) - 1))
+    table = spark.createDataFrame(rows, "x array<double>, fold int")
+    found = pu_quality.deal(table, bands, 4).collect()
+    place = lambda x: tuple(sum(v > e for e in edges) for v, edges in zip(x, bands.edges, strict=True))
+    count = Counter()
+    for r in found:
+        count[tuple(r.bands), r.fold] += r.times
+    assert count == Counter((place(x), f) for x, f in rows)
+    hot = [r.times for r in found if tuple(r.bands) == place(rows[-1][0]) and r.fold == 1]
+    assert len(hot) == 4 and max(hot) - min(hot) <= 1
+    mean = lambda c, fold, times: [np.r_[times @ c, times.sum()] / times.sum()]
+    expected = []
+    for k in {r.slice for r in found}:
+        x = np.array([[*np.concatenate([np.eye(len(e) + 1)[b] for b, e in zip(r.bands, bands.edges, strict=True)]), 1.0] for r in found if r.slice == k for _ in range(r.times)])
+        expected.append(x.mean(0))
+    for parts in (1, 7):
+        (w,) = pu_quality.average(pu_quality.deal(table.repartition(parts), bands, 4), 4, bands, mean)
+        assert w == pytest.approx(np.mean(expected, 0), abs=1e-8)
+
+
+def test_pu_learns_from_all_slices(spark):
+    rows = [(i, near(BASE, 60) if i % 5 else junk(), i % 5 and 1) for i in range(400)]
+    table = pu_quality.described(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, quality int")
+    model = pu_quality.learn(table, labels, slice_rows=80)
+    assert pu_quality.learn(table.repartition(7), labels.repartition(3), slice_rows=80) == model
+    found = pu_quality.quality_scores(table, model).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.quality for r in found) >= 0.95 * len(found)
+
+
+def test_fits_count_rows():
+    """A row that counts n times weighs as n rows do."""
+    rng = np.random.default_rng(4)
+    p, u, times = rng.random((8, 3)), rng.random((6, 3)), np.array([1, 4, 2, 1, 1, 3])
+    assert pu_quality.fit_pu(p, u, 0.3, times) == pytest.approx(pu_quality.fit_pu(p, np.repeat(u, times, 0), 0.3), abs=1e-9)
+    x, y, often = np.r_[p, u], np.r_[np.ones(8), np.zeros(6)], np.r_[np.ones(8, int), times]
+    assert toxicity.fit_logistic(x, y, times=often) == pytest.approx(toxicity.fit_logistic(np.repeat(x, often, 0), np.repeat(y, often)), abs=1e-9)
+
+
+@pytest.mark.parametrize("text", ("One two two, Three!\n\none | 12 #$ x\none | 12 #$ x\n ends here.", "Über große Brücken? überall \u65e5\u672c\n- a", "word", " ", BASE))
+def test_described_by_hand(text):
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    n, chars, letters = len(words), sum(len(w) for w in words), [c for c in text if c.isalpha()]
+    pairs = list(zip(words, words[1:], strict=False))
+    part = lambda marks: sum(c in marks for c in text) / chars
+    expected = {
+        "log_words": lambda: math.log(n), "word_length": lambda: chars / n, "upper": lambda: sum(c.isupper() for c in text) / max(len(letters), 1),
+        "digits": lambda: part("0123456789"), "marks": lambda: part("!?"), "symbols": lambda: part("#*$%&<>{}^~"), "bars": lambda: part("|"),
+        "distinct_words": lambda: len(set(words)) / n, "top_word": lambda: max(words.count(w) for w in words) / n, "same_as_last": lambda: sum(a == b for a, b in pairs) / n,
+        "dup_lines": lambda: 1 - len(set(lines)) / len(lines), "line_length": lambda: n / len(lines), "ends_marked": lambda: sum(x.rstrip().endswith((".", "!", "?", ":", ";", '"')) for x in lines) / len(lines),
+        "non_ascii": lambda: (len(text.encode()) - len(text)) / chars, "word_entropy": lambda: -sum(words.count(w) / n * math.log2(words.count(w) / n) for w in set(words)) / max(math.log2(n), 1),
+        "distinct_pairs": lambda: len(set(pairs)) / max(n - 1, 1), "long_words": lambda: sum(len(w) > 14 for w in words) / n, "capital_words": lambda: sum(w[:1].isupper() for w in words) / n,
+    }
+    assert pu_quality.describe(text) == pytest.approx([expected[f]() if words else 0.0 for f in pu_quality.FEATURES])
+
+
 def test_pu_risk_by_hand():
     """The risk as a sum over rows, its descent, and the bands, each against loops."""
     rng = np.random.default_rng(3)
