@@ -24,7 +24,8 @@ SYMBOLS, BLANK, WINDOW = b"#*$%&|<>", b" \t\n\r\x0b\x0c", 8
 NON_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS))
 #: Script of a text: that of most of its letters, by ranges of code points.
 SCRIPTS = {"latin": ((0x41, 0x24F), (0x1E00, 0x1EFF)), "greek": ((0x370, 0x3FF),), "cyrillic": ((0x400, 0x52F),), "arabic": ((0x600, 0x6FF),), "devanagari": ((0x900, 0x97F),), "cjk": ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF))}
-#: Per script: least and most characters a token, most share of byte tokens, least entropy (bits) and from how many tokens.
+#: Per script: least and most characters a token, most share of byte tokens, least entropy (bits) and of how many tokens;
+#: fewer tokens can't have as much entropy, so least_entropy() falls with their number's logarithm.
 #: latin lies just outside the labelled clean rows of sf0.1 (1.64 and 4.94 at the least); the others just outside a passage each.
 BANDS = {"latin": (1.63, 5.5, 0.1, 4.8, 60), "vietnamese": (0.75, 5.5, 0.15, 4.8, 60), "greek": (0.6, 3.0, 0.1, 4.0, 60), "cyrillic": (0.65, 4.0, 0.1, 4.5, 60), "arabic": (0.6, 3.0, 0.1, 4.0, 60), "devanagari": (0.42, 2.5, 0.2, 4.0, 60), "cjk": (0.28, 2.5, 0.4, 4.5, 60), "other": (0.28, 3.0, 0.7, 3.6, 60), "none": (2.0, 5.5, 0.1, 4.0, 60)}
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token double, byte_share double, token_entropy double, base_failed boolean, kept boolean"
@@ -134,6 +135,11 @@ class Fertility:
         return chars / max(total, *self.counts[:, which].sum(axis=1).tolist()), int(self.is_byte[tokens].sum()) / total, max(entropy, 0.0), total
 
 
+def least_entropy(bits: float, tokens: int, total: int) -> float:
+    """The bound for a text of total tokens: bits from that many tokens on, below in proportion to the most that total tokens can have."""
+    return bits * min(1.0, math.log2(max(total, 1)) / math.log2(tokens))
+
+
 @lru_cache(2)
 def fertility_of(path: str, ranks: tuple[str, ...]) -> Fertility:
     """One for all tasks of a Python worker: vocabularies are read, and known words encoded, once."""
@@ -152,8 +158,8 @@ def _assess(text: bytes, words: list[bytes], fertility: Fertility, bands: dict[s
     failed = n < 20 or 100 * repeated > 30 * n
     script = "latin" if text.isascii() and text.lower() != text.upper() else script_of(Counter(text.decode(errors="replace")))
     per_token, byte_share, entropy, total = fertility.measure(words, chars)
-    least, most, bytes_most, entropy_least, from_tokens = bands.get(script, bands["other"])
-    kept = not failed and least <= per_token <= most and byte_share <= bytes_most and (total < from_tokens or entropy >= entropy_least)
+    least, most, bytes_most, bits, tokens = bands.get(script, bands["other"])
+    kept = not failed and least <= per_token <= most and byte_share <= bytes_most and entropy >= least_entropy(bits, tokens, total)
     return n, chars, len(text) - len(text.translate(None, SYMBOLS)), dup_lines(text), repeated, script, per_token, byte_share, entropy, failed, kept
 
 

@@ -313,6 +313,8 @@ def test_quality_rules_takes_the_least_of_the_vocabularies(spark):
     ("".join(chr(0x1780 + i % 40) + " " * (i % 7 == 6) for i in range(280)), "other", None),
     ("xq#zv kw$jq zzx%vq qj*wk vx&zq jk|qw zq<xv wj>kq qz#xj vk$wq xz%jk wq*vz kj&xq zv|wk jq<zx qw>vk xj#qz kz$vw jx%wq vq*zk wk&xj qz|vx", "latin", False),
     ("The committee met in the old town hall to discuss how the new bridge should be paid for and which of the roads would have to be closed while it was being built over the river", "latin", True),
+    ("the bridge of the town and the road of the town and a bridge of the road and the town", "latin", None),
+    ("buy now buy now or now buy now and buy now buy or now now buy or buy and now buy now", "latin", False),
     ("Ủy ban đã họp tại tòa thị chính cũ để thảo luận về cách chi trả cho cây cầu mới và những con đường nào sẽ phải đóng cửa trong khi xây dựng cầu qua sông", "vietnamese", True),
     ("Комитет собрался в старой ратуше, чтобы обсудить, как оплатить новый мост и какие дороги придется закрыть, пока его строят через реку", "cyrillic", True),
     ("Η επιτροπή συνεδρίασε στο παλιό δημαρχείο για να συζητήσει πώς θα πληρωθεί η νέα γέφυρα και ποιοι δρόμοι θα πρέπει να κλείσουν όσο χτίζεται πάνω από το ποτάμι", "greek", True),
@@ -347,8 +349,9 @@ def test_fertility_measures_and_verdict(spark, docs):
         share = sum(c for i, c in tokens.items() if sp.is_byte(i)) / max(total, 1)
         per_token = sum(map(len, said)) / max(most, 1)
         assert (r.chars_per_token, r.byte_share, r.token_entropy) == pytest.approx((per_token, share, entropy), abs=1e-9)
-        low, high, most_bytes, low_entropy, least = quality_rules.BANDS[r.script]
-        assert r.kept == (not r.base_failed and low <= per_token <= high and share <= most_bytes and (total < least or entropy >= low_entropy))
+        low, high, most_bytes, bits, at = quality_rules.BANDS[r.script]
+        bound = bits if total >= at else bits * math.log(max(total, 1), at)
+        assert r.kept == (not r.base_failed and low <= per_token <= high and share <= most_bytes and entropy >= bound)
 
 
 def test_pieces(spark, docs, none):
