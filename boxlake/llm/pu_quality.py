@@ -135,9 +135,19 @@ def described(docs: DataFrame) -> DataFrame:
     return stored(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, x array<double>", make), "described")
 
 
-def _sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """x and fold of at most most rows, chosen by hash; in an order that the partitions do not set."""
-    found = rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "x").limit(most).select("x", "fold").collect()
+def sample(rows: DataFrame, total: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """x and fold of those of the total rows(doc_id, x, fold) that have the most least hashes, in that order.
+
+    A bound on the hash leaves about twice as many as are wanted before rows are put in order, so that tasks don't each
+    give that many; should too few have it (much repeated doc_ids), all are put in order. Only those chosen reach the driver.
+    """
+    h = F.xxhash64(F.lit(SEED), "doc_id")
+    bound = min(int(min(1.0, (2 * most + 1000) / max(total, 1)) * 2**64) - 2**63, 2**63 - 1)
+    for part in (rows.where(h <= bound), rows):
+        found = stored(part.orderBy(h, "doc_id", "x").limit(most).select(h.alias("h"), "doc_id", "x", "fold"), "sample").collect()
+        if len(found) >= min(most, total):
+            break
+    found.sort(key=lambda r: (r["h"], r["doc_id"], r["x"]))
     return np.array([r["x"] for r in found], float).reshape(-1, len(FEATURES)), np.array([r["fold"] for r in found], int)
 
 
@@ -212,8 +222,8 @@ def learn(table: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int =
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).where("label = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("trusted")).distinct()
     rows = table.where(~held_out_rows(modulus, held_out)).join(known, "doc_id", "left")
     rows = stored(rows.select("doc_id", "x", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(FOLDS)).alias("fold")), "training-rows")
-    total, *edges = rows.agg(F.count("*"), *(F.percentile_approx(F.col("x")[i], list(CUTS), 10_000) for i in range(len(FEATURES)))).first()
-    px, p_fold = _sample(rows.where("trusted"), positives)
+    total, trusted, *edges = rows.agg(F.count("*"), F.count_if("trusted"), *(F.percentile_approx(F.col("x")[i], list(CUTS), 10_000) for i in range(len(FEATURES)))).first()
+    px, p_fold = sample(rows.where("trusted"), trusted, positives)
     if not len(px):
         return {"edges": [[] for _ in FEATURES], "weights": [0.0] * (len(FEATURES) + 1), "prior": [0.5]}
     bands = Bands([sorted(set(e)) for e in edges])

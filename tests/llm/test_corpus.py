@@ -598,6 +598,18 @@ def test_pu_learns_from_all_slices(spark):
     assert sum(r.predicted == r.quality for r in found) >= 0.95 * len(found)
 
 
+@pytest.mark.parametrize("repeat", (1, 4000))
+def test_pu_sample_takes_the_least_hashes(spark, repeat):
+    """Also where one doc_id has nearly all rows, so that the bound on the hash may leave too few."""
+    rows = [(i, [float(i)] * len(pu_quality.FEATURES), i % 5) for i in range(3000 if repeat == 1 else 7) for _ in range(repeat if i == 3 else 1)]
+    table = spark.createDataFrame(rows, "doc_id long, x array<double>, fold int")
+    order = {r.doc_id: r.h for r in table.select("doc_id", F.xxhash64(F.lit(pu_quality.SEED), "doc_id").alias("h")).distinct().collect()}
+    expected = sorted(rows, key=lambda r: (order[r[0]], r[0]))[:20]
+    for parts in (1, 6):
+        x, fold = pu_quality.sample(table.repartition(parts), len(rows), 20)
+        assert x[:, 0].tolist() == [r[0] for r in expected] and fold.tolist() == [r[2] for r in expected]
+
+
 def test_fits_count_rows():
     """A row that counts n times weighs as n rows do."""
     rng = np.random.default_rng(4)
