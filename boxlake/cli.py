@@ -6,11 +6,13 @@ import argparse
 import importlib
 import json
 import random
+import sys
 from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
 import numpy as np
+from pyspark.resource import ExecutorResourceRequests, ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ def validate(spark: SparkSession, root: str, queries: str) -> dict:
 
 
 def grounder(config: dict[str, Any]) -> Callable[[], Any]:
-    """What makes the model in a task: config's grounder, 'module:callable', called with grounder_options there."""
+    """What makes the model in a task: config's grounder, 'module:callable', called with grounder_options there. The seed is
+    set once the model is loaded, so that loading uses up none of its numbers."""
     module, _, name = str(config.get("grounder", "")).partition(":")
     if not name:
         raise SettingsError("a configuration names its grounder as module:callable")
@@ -45,13 +48,46 @@ def grounder(config: dict[str, Any]) -> Callable[[], Any]:
     seed = int(config.get("seed", inference.DEFAULTS["seed"]))
 
     def make() -> Any:
+        model = getattr(importlib.import_module(module), name)(**options)
+        if hasattr(model, "load"):
+            model.load()
         random.seed(seed)
         np.random.seed(seed % (1 << 32))
-        return getattr(importlib.import_module(module), name)(**options)
+        if "torch" in sys.modules:
+            sys.modules["torch"].manual_seed(seed)
+        return model
 
     return make
 
 
+def task_profile(config: dict[str, Any]) -> ResourceProfile | None:
+    """What a task of the model's stage needs, from config's task_resources {cores, gpus} and executor_resources {cores, memory,
+    python_memory, gpus, gpu_discovery}; None where neither is there. Not every cluster manager takes such profiles."""
+    task, executor = config.get("task_resources"), config.get("executor_resources")
+    if not task and not executor:
+        return None
+    builder = ResourceProfileBuilder()
+    if task:
+        wanted = TaskResourceRequests()
+        if "cores" in task:
+            wanted.cpus(int(task["cores"]))
+        if "gpus" in task:
+            wanted.resource("gpu", float(task["gpus"]))
+        builder.require(wanted)
+    if executor:
+        has = ExecutorResourceRequests()
+        if "cores" in executor:
+            has.cores(int(executor["cores"]))
+        if "memory" in executor:
+            has.memory(executor["memory"])
+        if "python_memory" in executor:
+            has.pysparkMemory(executor["python_memory"])
+        if "gpus" in executor:
+            has.resource("gpu", int(executor["gpus"]), executor.get("gpu_discovery", ""))
+        builder.require(has)
+    return builder.build
+
+
 def _loaded(spark: SparkSession, config: dict[str, Any]) -> tuple[DataFrame, DataFrame]:
     """Strict records with their order, and where the images are."""
     rows = readers.strict(readers.record_errors(readers.queries(spark, config["queries_path"])))
@@ -72,7 +108,7 @@ def infer(spark: SparkSession, config: dict[str, Any], limit: int | None = None,
     """A run of config, and the submission if asked for, which only a run over the whole dataset can give."""
     rows, files = _loaded(spark, config)
     mode, folder = config.get("fallback_mode", "error"), config["output_dir"]
-    found = inference.run(rows, files, grounder(config), folder, limit, mode, config.get("selection_strategy", "first"), resume, _started(spark, config, mode))
+    found = inference.run(rows, files, grounder(config), folder, limit, mode, config.get("selection_strategy", "first"), resume, _started(spark, config, mode), task_profile(config))
     if build_submission:
         if not found["is_full_dataset_run"]:
             raise SettingsError("only a run over the whole dataset can be submitted")
@@ -86,7 +122,7 @@ def sample(spark: SparkSession, config: dict[str, Any]) -> dict[str, Any]:
     if [r.has for r in rows.select(F.col("box").isNotNull().alias("has")).limit(2).collect()] != [True]:
         raise DatasetError("a sample is exactly one record, with a box")
     folder = config["output_dir"]
-    inference.run(rows, files, grounder(config), folder, stamp=_started(spark, config, "error"))
+    inference.run(rows, files, grounder(config), folder, stamp=_started(spark, config, "error"), profile=task_profile(config))
     found = inference.evaluate(rows, _log_boxes(spark, folder, rows)).first().asDict()
     image = Path(config["dataset_root"], found.pop("visible")).read_bytes()
     Path(folder, "gt_vs_prediction.png").write_bytes(pictures.comparison(image, found["true_bbox"], found["prediction_bbox"]))

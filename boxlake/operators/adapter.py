@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import sys
 from pathlib import Path
 from typing import Any, Protocol
 
@@ -50,8 +51,8 @@ def candidates(parsed: Any, task: str = TASK) -> dict[str, list]:
 
 
 class PromptedGrounder:
-    """backend names what loads the model, as module:callable; it is called with model_path and load_options at the first
-    image that a task has. options go to every generation."""
+    """backend names what loads the model, as module:callable; it is called with model_path and load_options by load(), or at
+    the first image. options go to every generation."""
 
     def __init__(self, backend: str, model_path: str, task: str = TASK, load_options: dict[str, Any] | None = None, **options: Any) -> None:
         if not Path(model_path).exists():
@@ -65,6 +66,16 @@ class PromptedGrounder:
             self.loaded = getattr(importlib.import_module(module), name)(self.model_path, **self.load_options)
         return self.loaded
 
+    def load(self) -> None:
+        self.model()
+
+    def peak_memory(self) -> int:
+        """Bytes of its device that the model has held at most: what the backend says, or the GPU's where one is in use."""
+        if hasattr(self.loaded, "peak_memory"):
+            return int(self.loaded.peak_memory())
+        torch = sys.modules.get("torch")
+        return int(torch.cuda.max_memory_allocated()) if torch is not None and torch.cuda.is_available() else 0
+
     def predict(self, *, image: bytes, query: str) -> dict[str, Any]:
         raw = self.model().generate(image=image, prompt=prompt_for(query, self.task), **self.options)
         return {"raw_output": raw} | candidates(self.model().parse(raw, task=self.task, image_size=size(image)), self.task)

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import pandas as pd
+from pyspark.accumulators import AccumulatorParam
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 
 from ..errors import BoxError, OutputError
@@ -22,7 +24,8 @@ class Grounder(Protocol):
         """raw_output, boxes (pixel xyxy) and labels; OutputError or BoxError for an output that cannot be used.
 
         A model may have predict_batch(images=, queries=) besides, and batch_size: then it is given so many at once, and
-        answers each in order with such a dict or such an error.
+        answers each in order with such a dict or such an error. One with peak_memory() tells the most bytes of its device
+        that it has used in this process.
         """
 
 
@@ -38,16 +41,29 @@ class FixedGrounder:
         return {"raw_output": query, "boxes": self.boxes, "labels": self.labels}
 
 
-def run(rows: DataFrame, make: Callable[[], Grounder], sizes: bool = False, seen: Any = None) -> DataFrame:
-    """OUT of rows(query_id, query, content or location), or SIZED with the image's size. make() is called once a task, where
-    a model is loaded. Of rows with a location the image is read there, so that no batch holds more than names and one image.
+class Most(AccumulatorParam):
+    """For accumulators that keep the largest value: a task that is run again changes nothing."""
 
-    A model with predict_batch gets batches. seen, an accumulator, gets the number of rows done.
-    Unusable outputs give an error in their row; any other failure (an unreadable image whose size is asked for, too) fails the job, and what was not committed is redone.
-    A model with predict_batch is given the rows of a batch at once. seen, an accumulator, gets the number of rows done.
+    def zero(self, value: int) -> int:
+        return value
+
+    def addInPlace(self, a: int, b: int) -> int:  # noqa: N802
+        return max(a, b)
+
+
+def run(rows: DataFrame, make: Callable[[], Grounder], sizes: bool = False, seen: Any = None, peak: Any = None, carried: tuple[str, ...] = (), profile: ResourceProfile | None = None) -> DataFrame:
+    """OUT of rows(query_id, query, content or location), or SIZED with the image's size; carried names further string columns
+    of rows to keep. make() is called once a task that has rows, where a model is loaded. Of rows with a location the image is read there,
+    so that no batch holds more than names and one image.
+
+    Unusable outputs give an error in their row; any other failure (an unreadable image whose size is asked for, too) fails
+    the job, and what was not committed is redone. A model with predict_batch gets batches. seen, an accumulator, gets the
+    number of rows done; peak, one of Most, the peak_memory() of a model that has it. profile says what a task of the model's
+    stage needs (cores, memory, GPUs), where the cluster manager takes such profiles.
     """
 
     schema, image = SIZED if sizes else OUT, "location" if "location" in rows.columns else "content"
+    schema += "".join(f", {c} string" for c in carried)
 
     def one(model: Grounder, content: bytes, query: str) -> tuple[dict[str, Any], str | None]:
         try:
@@ -72,14 +88,19 @@ def run(rows: DataFrame, make: Callable[[], Grounder], sizes: bool = False, seen
         return [(i, f.get("raw_output"), f.get("boxes"), f.get("labels"), error, ms, *(size(content) if sizes else ())) for (i, content, _), (f, error), ms in zip(asked, found, took, strict=True)]
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
-        step = getattr(model, "batch_size", 1) if hasattr(model, "predict_batch") else 1
+        model = None
         for part in parts:
+            model = make() if model is None else model  # not for a task without rows
+            step = getattr(model, "batch_size", 1) if hasattr(model, "predict_batch") else 1
             out, rows = [], list(zip(part["query_id"], part["query"], part[image], strict=True))
+            kept = list(zip(*(part[c] for c in carried), strict=True)) if carried else [()] * len(rows)
             for a in range(0, len(rows), step):  # no more images are held than a batch has
                 out += answers(model, [(i, opened(c) if image == "location" else c, q) for i, q, c in rows[a : a + step]])
             if seen is not None:
                 seen.add(len(part))
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
+            if peak is not None and hasattr(model, "peak_memory"):
+                peak.add(int(model.peak_memory()))
+            yield pd.DataFrame([r + k for r, k in zip(out, kept, strict=True)], columns=[f.split()[0] for f in schema.split(", ")])
 
-    return rows.select("query_id", "query", image).mapInPandas(work, schema)
+    names = dict.fromkeys(("query_id", "query", image, *carried))
+    return rows.select(*names).mapInPandas(work, schema, profile=profile)

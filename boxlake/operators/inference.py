@@ -13,14 +13,14 @@ from typing import Any
 
 import pyarrow as pa
 import pyspark
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exact
 from ..functions import geometry as g
 from ..functions import text as t
 from ..sources import one_file, readers, sinks
-from . import grounding, integrity, outputs, runs, stats
+from . import grounding, integrity, outputs, run_state, runs
 
 LOG = "predictions_debug.jsonl"
 #: Queries between two lines about a run's progress, at least.
@@ -76,15 +76,15 @@ def progress(seen: Any, before: int, total: int, every: int, say: Callable[[str]
         look()
 
 
-def _log_rows(todo: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder], mode: str, strategy: str, seen: Any = None) -> DataFrame:
+def _log_rows(todo: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder], mode: str, strategy: str, seen: Any = None, peak: Any = None, profile: ResourceProfile | None = None) -> DataFrame:
     """Log lines of todo(query_id, query, visible). A missing or unreadable image fails the job.
 
-    Only names are joined; a task opens its images itself, one at a time.
+    Only names are joined; a task opens its images itself, one at a time, and query and path go through with each row.
     """
     paths = files.select(F.col("path").alias("_path"), "location")
     rows = todo.join(paths, t.inner_path(F.col("visible")) == F.col("_path"), "left").withColumn("location", F.coalesce("location", F.raise_error(F.concat(F.lit("missing image: "), F.col("visible"))).cast("string")))
-    found = grounding.run(rows, make, sizes=True, seen=seen).withColumnRenamed("error", "_refused")
-    found = outputs.predictions(found, mode, strategy).join(todo.select("query_id", "query", "visible"), "query_id")
+    found = grounding.run(rows, make, sizes=True, seen=seen, peak=peak, carried=("query", "visible"), profile=profile).withColumnRenamed("error", "_refused")
+    found = outputs.predictions(found, mode, strategy)
     # What the model says of an output it refused tells more than that there were no candidates.
     error = F.when(F.col("error") == "no_candidates", F.coalesce("_refused", "error")).otherwise(F.col("error"))
     return found.select(
@@ -93,31 +93,22 @@ def _log_rows(todo: DataFrame, files: DataFrame, make: Callable[[], grounding.Gr
     )
 
 
-def summarise(parsed: DataFrame, selected: int, total: int, new: int) -> dict[str, Any]:
-    """Metrics over the lines whose prediction is sound; ids that a log has twice count twice but in valid_bbox_count."""
-    rows = parsed.where("prediction_ok").select("query_id", "source_suffix", F.coalesce("fallback_used", F.lit(False)).alias("fallback"), "latency_ms", g.area(F.col("box")).alias("area"), F.coalesce(F.size("candidates"), F.lit(0)).alias("candidates"))
-    most = lambda c, n: F.coalesce(F.max(c), F.lit(0)).alias(f"{n}_max")
-    counts = rows.agg(
-        F.count_distinct("query_id").alias("valid_bbox_count"), F.count_if("fallback").alias("fallback_count"), most("candidates", "candidate_count"), F.count_if(F.col("candidates") > 1).alias("multi_candidate_count"),
-        most("area", "bbox_area"), F.count_if(F.col("area") > 0.5).alias("bbox_area_over_50_count"),
-    ).first().asDict()
-    # The same in whatever order the log is read.
-    sums = {r["name"]: r for r in exact.totals(exact.partial_sums(rows, {"candidate_count": F.col("candidates"), "bbox_area": F.col("area"), "latency_ms": F.col("latency_ms")}, []), []).collect()}
-    counts |= {f"{n}_mean": sums[n]["mean"] if n in sums else 0.0 for n in ("candidate_count", "bbox_area", "latency_ms")}
-    counts["inference_latency_seconds_total"] = sums["latency_ms"]["total"] / 1000 if "latency_ms" in sums else 0.0
-    for column, name in (("candidates", "candidate_count"), ("area", "bbox_area"), ("latency_ms", "latency_ms")):
-        ranks = stats.nearest_rank(rows, column, {"p50": 0.5, "p95": 0.95}, []).first()
-        counts |= {f"{name}_{p}": (ranks[p] if ranks and ranks[p] is not None else 0.0) for p in ("p50", "p95")}
+def summary_of(found: run_state.Parts, selected: int, total: int, new: int, peak: int = 0) -> dict[str, Any]:
+    """The summary of a run from what its log says in aggregate, see run_state."""
+    counts = run_state.metrics(found)
     for part, name in (("valid_bbox_count", "valid_bbox_rate"), ("fallback_count", "fallback_rate"), ("multi_candidate_count", "multi_candidate_rate"), ("bbox_area_over_50_count", "bbox_area_over_50_rate")):
         counts[name] = counts[part] / selected if selected else 0.0
-    suffixes = {r.source_suffix or "": r["count"] for r in rows.groupBy("source_suffix").count().collect()}
     return counts | {
-        "records_in_dataset": total, "records_processed": selected, "records_processed_this_run": new, "records_reused_from_checkpoint": selected - new, "invalid_checkpoint_lines": parsed.where("invalid").count(),
-        "is_full_dataset_run": selected == total, "system_error_count": 0, "source_suffix_counts": suffixes,
-        "gpu_peak_memory_bytes": 0,  # models run in tasks, whose memory is not measured
+        "records_in_dataset": total, "records_processed": selected, "records_processed_this_run": new, "records_reused_from_checkpoint": selected - new,
+        "is_full_dataset_run": selected == total, "system_error_count": 0, "gpu_peak_memory_bytes": peak,
     }
 
 
+def summarise(parsed: DataFrame, selected: int, total: int, new: int, peak: int = 0) -> dict[str, Any]:
+    """summary_of() lines of a log, which are parsed once."""
+    return summary_of(run_state.store(parsed, runs.shared_path(parsed.sparkSession, "run-state")), selected, total, new, peak)
+
+
 def _write_predictions(done: DataFrame, target: Path) -> None:
     """One JSON object of done(line_no, query_id, box) in the log's order: that of each id's last sound line. Tasks write it together."""
 
@@ -131,11 +122,13 @@ def _write_predictions(done: DataFrame, target: Path) -> None:
     one_file.write(rows.mapInArrow(said, f"line_no {kind}, text string"), ["line_no"], "text", str(target), b"{\n", b",\n", b"\n}\n")
 
 
-def run(rows: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder], folder: str, limit: int | None = None, mode: str = "error", strategy: str = "first", resume: bool = False, stamp: dict[str, Any] | None = None) -> dict[str, Any]:
+def run(rows: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder], folder: str, limit: int | None = None, mode: str = "error", strategy: str = "first", resume: bool = False, stamp: dict[str, Any] | None = None, profile: ResourceProfile | None = None) -> dict[str, Any]:
     """Runs rows of readers.strict() over images files(path, location) and returns the summary, written to folder as well.
 
     resume keeps the sound predictions of folder's log and does the others; stamp is the fingerprint that guards it. The
-    log grows by committed tasks, so a lost executor leaves no half lines, and a failed job leaves none of its own.
+    log grows by committed tasks, so a lost executor leaves no half lines, and a failed job leaves none of its own. What it
+    says is kept in aggregate, and a resumed run adds its own lines to that; only where the log has lines of ids that are
+    not selected now, whose counts can't be taken out, is it read whole. profile is for the model's stage.
     """
     outputs.check_options(mode, strategy)
     began, spark = time.perf_counter(), rows.sparkSession
@@ -144,22 +137,30 @@ def run(rows: DataFrame, files: DataFrame, make: Callable[[], grounding.Grounder
     runs.gate(folder, stamp, resume, LOG)
     Path(folder).mkdir(parents=True, exist_ok=True)
     log = Path(folder, LOG)
-    parse = lambda: runs.parse_checkpoint(readers.lines(spark, str(log)), selected)
-    known = runs.reused(parse()) if resume and log.exists() else None
-    todo = selected if known is None else runs.remaining(selected, known)
+    state = run_state.RunState(spark, f"{folder}/run_state", str(log))
+    todo = selected
+    if resume:
+        state.cover()
+        todo = runs.remaining(selected, state.parts().ids.where("sound"))
+    else:
+        state.clear()
     new, selected_count = todo.count(), selected.count()
+    peak = spark.sparkContext.accumulator(0, grounding.Most())
     if new or not log.exists() or not resume:
         print(f"{selected_count - new} of {selected_count} queries done before, {new} to do", flush=True)
         seen = spark.sparkContext.accumulator(0)
         with progress(seen, selected_count - new, selected_count, EVERY):
-            _log_rows(todo, files, make, mode, strategy, seen).write.mode("append" if resume else "overwrite").option("ignoreNullFields", False).json(str(log))
+            _log_rows(todo, files, make, mode, strategy, seen, peak, profile).write.mode("append" if resume else "overwrite").option("ignoreNullFields", False).json(str(log))
         print(f"{selected_count} of {selected_count} queries done", flush=True)
-    parsed = parse()
-    done = runs.reused(parsed)
-    found = summarise(parsed, selected_count, total, new)
+    state.cover()
+    whole, names = state.parts(), selected.select("query_id").distinct()
+    if whole.ids.join(names, "query_id", "left_anti").isEmpty():
+        found = summary_of(whole, selected_count, total, new, peak.value)
+    else:
+        found = summarise(runs.parse_checkpoint(readers.lines(spark, str(log)), selected), selected_count, total, new, peak.value)
+    done = whole.ids.where("sound").join(names, "query_id", "left_semi")
     _write_predictions(done, Path(folder, "predictions.json"))
-    last = parsed.where("prediction_ok").groupBy("query_id").agg(F.max_by(F.struct("fallback_used", "error", "box"), "line_no").alias("r")).select("query_id", "r.*")
-    sinks.failures(last, f"{folder}/failure_cases.csv")
+    sinks.failures(done, f"{folder}/failure_cases.csv")
     return sinks.summary(found | {"wall_time_seconds_this_invocation": time.perf_counter() - began}, f"{folder}/inference_summary.json")
 
 

@@ -24,16 +24,21 @@ def selection(queries: DataFrame, limit: int | None) -> DataFrame:
     return queries if not limit else queries.where(F.col("pos") < limit)
 
 
-def parse_checkpoint(lines: DataFrame, selected: DataFrame) -> DataFrame:
-    """lines(line_no, value) as (line_no, query_id, box, ..., prediction_ok, invalid).
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """lines(line_no, value) as (line_no, query_id, box, ..., prediction_ok, invalid), blank ones left out.
 
-    Blank lines and ids that are not selected are dropped; those ids are not invalid. A line is invalid if it is no
-    object, lacks an id or a sound box, or has no latency; with id and box its prediction is still used.
+    A line is invalid if it is no object, lacks an id or a sound box, or has no latency; with id and box its prediction
+    is still used.
     """
     rows = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", LINE, {"mode": "PERMISSIVE"}))
     rows = rows.select("line_no", "r.*").withColumn("box", g.from_array(F.col("normalized_bbox")))
     ok = F.col("query_id").isNotNull() & F.col("box").isNotNull() & g.normalized_error(F.col("box")).isNull()
-    rows = rows.withColumn("prediction_ok", ok).withColumn("invalid", ~(ok & F.col("latency_ms").isNotNull()))
+    return rows.withColumn("prediction_ok", ok).withColumn("invalid", ~(ok & F.col("latency_ms").isNotNull()))
+
+
+def parse_checkpoint(lines: DataFrame, selected: DataFrame) -> DataFrame:
+    """parsed_lines() without ids that are not selected, which are not invalid; lines without an id stay."""
+    rows = parsed_lines(lines)
     known = selected.select(F.col("query_id").alias("_id"), F.lit(True).alias("_known")).distinct()
     return rows.join(known, F.col("query_id") == F.col("_id"), "left").where("query_id is null or _known").drop("_id", "_known")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import SettingsError
 from ..functions import exact
 from ..functions import text as t
-from ..operators import annotations, integrity, runs
+from ..operators import annotations, integrity, run_state, runs
 from ..sources import json_values, line_index, one_file, readers, sinks, walk
 from .catalog import query, table
 
@@ -132,3 +132,32 @@ def exact_means(spark, sf):
     large = F.col("l_quantity") * F.pow(F.lit(2.0), F.lit(60.0) + F.col("l_orderkey") % 40)
     rows = table(spark, sf, "lineitem").select("l_returnflag", F.explode(F.array(large, F.col("l_linenumber") * F.pow(F.lit(2.0), F.lit(-20.0)), -large)).alias("v"))
     return exact.means(rows, {"v": F.col("v")}, ["l_returnflag"])
+
+
+_RUN = "SELECT event_id, user_id, l_extendedprice AS ms, event_id % 9 AS k FROM events JOIN (SELECT l_orderkey, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1) ON l_orderkey = event_id"
+
+
+@query(f"""WITH s AS (SELECT user_id, k, CASE k WHEN 3 THEN NULL ELSE ms END AS ms FROM ({_RUN}) WHERE k NOT IN (1, 5)),
+o AS (SELECT ms, row_number() OVER (ORDER BY ms) AS r, count(*) OVER () AS n FROM s WHERE ms IS NOT NULL)
+SELECT count(DISTINCT user_id) AS valid_bbox_count, count(*) FILTER (k = 4) AS fallback_count, (SELECT count(*) FROM ({_RUN}) WHERE k IN (1, 3, 5)) AS invalid_checkpoint_lines,
+ (SELECT min(ms) FROM o WHERE r >= round_even((n - 1) * 0.5, 0) + 1) AS latency_ms_p50, (SELECT min(ms) FROM o WHERE r >= round_even((n - 1) * 0.95, 0) + 1) AS latency_ms_p95,
+ round(avg(ms), 6) AS latency_ms_mean, round(sum(ms) / 1000, 6) AS inference_latency_seconds_total, true AS same FROM s""")
+def run_state_pieces(spark, sf):
+    """A log of events that grows in three pieces; after each the state takes in the new files only. Beside the metrics:
+    whether they equal, bit for bit, those of one reading of the whole log."""
+    took = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").cast("double").alias("ms"))
+    e = table(spark, sf, "events").join(took, F.col("event_id") == F.col("l_orderkey"))
+    k = F.col("event_id") % 9
+    box = F.array(F.lit(0.1), F.lit(0.2), F.when(k == 1, 0.05).otherwise(0.5), F.lit(0.75))
+    line = F.to_json(F.struct(F.concat(F.lit("u"), "user_id").alias("query_id"), F.lit(".png").alias("source_suffix"), box.alias("normalized_bbox"), (k == 4).alias("fallback_used"), F.when(k != 3, F.col("ms")).alias("latency_ms")))
+    lines = e.select("event_id", F.when(k == 5, "not json").otherwise(line).alias("value"))
+    folder = _folder(spark, "run")
+    state = run_state.RunState(spark, f"{folder}/state", f"{folder}/log")
+    for piece in range(3):
+        lines.where(F.col("event_id") % 3 == piece).select("value").write.mode("append").text(f"{folder}/log")
+        state.cover()
+    found = run_state.metrics(state.parts())
+    whole = run_state.metrics(run_state.store(runs.parsed_lines(readers.lines(spark, f"{folder}/log")), f"{folder}/whole"))
+    counts, reals = ("valid_bbox_count", "fallback_count", "invalid_checkpoint_lines"), ("latency_ms_p50", "latency_ms_p95", "latency_ms_mean", "inference_latency_seconds_total")
+    row = (*(found[n] for n in counts), *(round(found[n], 6) for n in reals), found == whole)
+    return spark.createDataFrame([row], ", ".join([f"{n} long" for n in counts] + [f"{n} double" for n in reals] + ["same boolean"]))

@@ -58,6 +58,12 @@ def image_group_sizes(spark, sf):
     return found.select("visible", "infrared", "depth", "size_mismatch")
 
 
+def _metrics(spark, found: dict) -> DataFrame:
+    names = ("valid_bbox_count", "fallback_count", "latency_ms_mean", "inference_latency_seconds_total", "latency_ms_p50", "latency_ms_p95", "invalid_checkpoint_lines")
+    row = tuple(round(found[n], 9) if isinstance(found[n], float) else found[n] for n in names)
+    return spark.createDataFrame([row], ", ".join(f"{n} {'bigint' if n.endswith(('count', 'lines')) else 'double'}" for n in names))
+
+
 def _log(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Lines of a log made of events, some of them damaged, and the selected ids."""
     e = table(spark, sf, "events")
@@ -92,9 +98,7 @@ def run_summary(spark, sf):
     """Metrics of a run over its log lines; ids that a log has twice count twice but in valid_bbox_count."""
     lines, selected = _log(spark, sf)
     found = inference.summarise(runs.parse_checkpoint(lines, selected), 100, 100, 0)
-    names = ("valid_bbox_count", "fallback_count", "latency_ms_mean", "inference_latency_seconds_total", "latency_ms_p50", "latency_ms_p95", "invalid_checkpoint_lines")
-    row = tuple(round(found[n], 9) if isinstance(found[n], float) else found[n] for n in names)
-    return spark.createDataFrame([row], ", ".join(f"{n} {'bigint' if n.endswith(('count', 'lines')) else 'double'}" for n in names))
+    return _metrics(spark, found)
 
 
 @query("SELECT k AS query_id FROM (SELECT DISTINCT user_id AS k FROM events WHERE user_id < 60) ANTI JOIN (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'error') USING (k)")

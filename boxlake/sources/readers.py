@@ -134,8 +134,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(path)
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file or a folder of them. line_no grows in reading order, with gaps: numbering without
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(line_no, value) of a text file, a folder of them, or several. line_no grows in reading order, with gaps: numbering without
     them would put all lines in one task. Files of a folder are read in the order in which they were written."""
     rows = spark.read.text(path)
     at = F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
