@@ -16,13 +16,14 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, map_batches, stored, trim
+from .common import BATCH_ROWS, as_bytes, documents, map_batches, stored, trim
 
 #: Words that tasks know, at most, and grades of counts a doubling, by which they are chosen. Words of the text are never empty: the empty one stands for the end.
 HEAD, GRADES, END = 131_072, 64, b""
@@ -36,7 +37,7 @@ ROWS, STEPS, RATE, DAMP = 1 << 15, 4, 0.7, 3.0
 #: Fixed point of the probabilities in a task, of what it gives of their sums, and of the logarithms that are summed.
 PARTS, GIVEN_PARTS, LOG_PARTS = 1 << 16, 1 << 6, 1 << 40
 #: Tokens that are worked on at once (CHUNK * PARTS fits 32 bits), and entries that a task counts before it passes them on.
-CHUNK, PENDING = 16_384, 200_000
+CHUNK, PENDING = 8_192, 200_000
 #: Rows of a table that are sent at once; tasks a core, and groups of them, that sum into tables.
 _BLOCK, TASKS, GROUPS = 1024, 4, 32
 _NONE = -1e4
@@ -75,8 +76,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, head: list[bytes]) -> DataFrame:
-    """doc_id, held_out, ids (of the words in head, len(head) for others, then that of END), and the other words with their counts."""
-    end, rare = head.index(END), len(head)
+    """doc_id, held_out, ids (of the words in head, len(head) for others, then that of END; see flat_ids()), and the other words with their counts."""
+    rare = len(head)
 
     def make():
         known = {w: i for i, w in enumerate(head)}
@@ -84,10 +85,10 @@ def encode(docs: DataFrame, head: list[bytes]) -> DataFrame:
         def work(batch):
             ids, tail, tail_n = [], [], []
             for text in as_bytes(batch, "text"):
-                words = words_of(text)
-                own = [known.get(w, rare) for w in words]
-                others = Counter([w for w, i in zip(words, own, strict=True) if i == rare])
-                ids.append(np.array([*own, end], np.int32))
+                words = [*words_of(text), END]
+                own = np.fromiter(map(known.get, words, repeat(rare)), np.int32, len(words))
+                others = Counter([words[i] for i in np.flatnonzero(own == rare).tolist()])
+                ids.append(own.tobytes())
                 tail.append(list(others))
                 tail_n.append(list(others.values()))
             return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "ids": ids, "tail": tail, "tail_n": tail_n}
@@ -95,7 +96,14 @@ def encode(docs: DataFrame, head: list[bytes]) -> DataFrame:
         return work
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
-    return map_batches(rows, "doc_id long, held_out boolean, ids array<int>, tail array<binary>, tail_n array<int>", make, after=trim)
+    return map_batches(rows, "doc_id long, held_out boolean, ids binary, tail array<binary>, tail_n array<int>", make, after=trim)
+
+
+def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows, one after another, and how many each row has. They are stored as 32-bit integers in one binary
+    value a row, which Spark copies whole; arrays it would copy number by number."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 4 for r in rows], np.int64)
 
 
 @dataclass
@@ -113,6 +121,9 @@ class Model:
         self.single = [_mixed(n * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)) for k in (1, 2, 3)]
         self.seed = n * np.uint64(0xC2B2AE3D27D4EB4F)
 
+    def __reduce__(self):
+        return Model, (self.classes, self.within, self.bias, self.table)  # hashes are computed anew where it is read
+
     def contexts(self, ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         """The words one, two and three places before each of ids, which are those of documents of the given sizes."""
         at = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -152,15 +163,18 @@ class Model:
         for part, rows, p in self.chunks(ids, sizes):
             np.exp(p, out=p)
             p *= (PARTS / _row_sums(p))[:, None]
-            p = np.rint(p, out=p).astype(np.int32)
+            # Two classes are summed as one 64-bit number: no sum of a chunk fills 32 bits, and running sums may wrap.
+            pairs = np.rint(p, out=p).astype(np.int32).view(np.int64)
             for r in rows:
                 # Sixteen bits are sorted by radix.
                 order = np.argsort(r, kind="stable")
                 own = r[order]
-                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                expected[own[first]] += np.add.reduceat(np.take(p, order, axis=0, mode="clip"), first, axis=0)
-                cell, n = np.unique(r * np.int64(CLASSES) + y[part], return_counts=True)
-                flat[cell] += n
+                last = np.flatnonzero(np.r_[own[1:] != own[:-1], True])
+                upto = np.take(pairs, order, axis=0, mode="clip")
+                upto = np.cumsum(upto, axis=0, out=upto)[last]
+                upto[1:] -= upto[:-1].copy()
+                expected[own[last]] += upto.view(np.int32)
+                np.add.at(flat, r * np.int64(CLASSES) + y[part], 1)
 
 
 def _row_sums(p: np.ndarray) -> np.ndarray:
@@ -175,55 +189,84 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(33)) & np.uint64(ROWS - 1)).astype(np.uint16)
 
 
-def _summed(rows: DataFrame, width: int, columns: tuple[str, ...], work: Callable) -> dict[str, np.ndarray]:
+def _summed(rows: DataFrame, width: int, columns: tuple[str, ...], work: Callable, finish: Callable | None = None) -> dict[str, np.ndarray]:
     """Tables that the tasks fill by work(ids, sizes, *tables), summed; their size is fixed, and so is what the driver gets.
 
-    A task gives blocks of its tables, those rows that have anything, as 64-bit integers; blocks are added up by groups of
-    tasks, then over the groups.
+    A task gives blocks of its tables, those rows that have anything, as integers; blocks are added up by groups of
+    tasks, then over the groups. finish(*sums) makes one table of 32-bit numbers of a block's sums, row by row, and the driver gets
+    that alone, as "finished".
     """
-    schema = "block int, group int, used binary, " + ", ".join(f"{c} binary" for c in columns)
+    spark, height = rows.sparkSession, work.height
+    shared = spark.sparkContext.broadcast(work)
+    schema = lambda names: "block int, group int, used binary, " + ", ".join(f"{c} binary" for c in names)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        group, tables = TaskContext.get().partitionId() % GROUPS, None
+        group, tables, work = TaskContext.get().partitionId() % GROUPS, None, shared.value
         for batch in batches:
-            if batch.num_rows:
-                ids = batch.column("ids")
+            for start in range(0, batch.num_rows, BATCH_ROWS):
                 tables = tables or work.tables()
-                work.add(np.asarray(ids.flatten()), np.asarray(ids.value_lengths()), *tables)
+                work.add(*flat_ids(batch.column("ids").slice(start, BATCH_ROWS)), *tables)
         if tables:
-            for b in range(0, work.height, _BLOCK):
+            for b in range(0, height, _BLOCK):
                 whole = work.given(*(t[b : b + _BLOCK] for t in tables))
-                used = np.flatnonzero(np.any([t.any(axis=1) for t in whole], axis=0))
+                used = _used(whole)
                 if len(used):
-                    yield said(b // _BLOCK, group, used, [t[used] for t in whole])
+                    yield said(b // _BLOCK, group, used, [_narrow(t[used]) for t in whole])
         trim()
 
-    def said(block: int, group: int, used: np.ndarray, tables: list[np.ndarray]) -> pa.RecordBatch:
-        numbers = {"block": pa.array([block], pa.int32()), "group": pa.array([group], pa.int32())}
-        return pa.RecordBatch.from_pydict(numbers | {c: pa.array([t.astype(kind).tobytes()], pa.binary()) for c, t, kind in zip(("used", *columns), (used, *tables), (np.uint16, *[np.int64] * len(columns)), strict=True)})
+    def said(block: int, group: int, used: np.ndarray, tables: list[np.ndarray], names: tuple[str, ...] = columns) -> pa.RecordBatch:
+        numbers = {"block": pa.array([block], pa.int32()), "group": pa.array([group], pa.int32()), "used": pa.array([used.astype(np.uint16).tobytes()], pa.binary())}
+        return pa.RecordBatch.from_pydict(numbers | {c: pa.array([t.tobytes()], pa.binary()) for c, t in zip(names, tables, strict=True)})
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
         sums: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
             for block, group, used, *parts in zip(*(batch.column(c).to_pylist() for c in ("block", "group", "used", *columns)), strict=True):
                 held = sums.setdefault((block, group), [np.zeros((_BLOCK, width), np.int64) for _ in columns])
+                at = np.frombuffer(used, np.uint16)
                 for h, p in zip(held, parts, strict=True):
-                    h[np.frombuffer(used, np.uint16)] += np.frombuffer(p, np.int64).reshape(-1, width)
+                    h[at] += _wide(p, len(at), width)
         for (block, group), held in sums.items():
-            used = np.flatnonzero(np.any([t.any(axis=1) for t in held], axis=0))
-            yield said(block, group, used, [t[used] for t in held])
+            used = _used(held)
+            yield block, group, used, [t[used] for t in held]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, group, used, tables in sums_of(batches):
+            yield said(block, group, used, [_narrow(t) for t in tables])
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, group, used, tables in sums_of(batches):
+            yield said(block, group, used, [finish(*tables).astype(np.float32)], ("finished",))
 
     # So many tasks fill tables, however many parts the rows have: what they give grows with the machines, not with the rows.
-    tasks = rows.sparkSession.sparkContext.defaultParallelism * TASKS
-    made = rows.select("ids").coalesce(tasks).mapInArrow(fill, schema).repartition("block", "group").mapInArrow(add, schema)
-    made = made.withColumn("group", F.lit(0)).repartition("block").mapInArrow(add, schema)
-    out = {c: np.zeros((-(-work.height // _BLOCK) * _BLOCK, width), np.int64) for c in columns}
-    for r in made.collect():
-        for c in columns:
-            out[c][r["block"] * _BLOCK + np.frombuffer(r["used"], np.uint16).astype(int)] = np.frombuffer(r[c], np.int64).reshape(-1, width)
-    return {c: t[: work.height] for c, t in out.items()}
+    tasks = spark.sparkContext.defaultParallelism * TASKS
+    made = rows.select("ids").coalesce(tasks).mapInArrow(fill, schema(columns)).repartition("block", "group").mapInArrow(add, schema(columns))
+    made = made.withColumn("group", F.lit(0)).repartition("block")
+    names = ("finished",) if finish else columns
+    made = made.mapInArrow(end if finish else add, schema(names)).toArrow()
+    shared.destroy()  # else the driver and the executors keep each step's
+    out = {c: np.zeros((-(-height // _BLOCK) * _BLOCK, width), np.float32 if finish else np.int64) for c in names}
+    for block, used, *parts in zip(*(made[c] for c in ("block", "used", *names)), strict=True):
+        at = block.as_py() * _BLOCK + np.frombuffer(used.as_buffer(), np.uint16).astype(int)
+        for c, p in zip(names, parts, strict=True):
+            out[c][at] = np.frombuffer(p.as_buffer(), np.float32).reshape(-1, width) if finish else _wide(p.as_buffer(), len(at), width)
+    return {c: t[:height] for c, t in out.items()}
+
+
+def _used(tables: list[np.ndarray]) -> np.ndarray:
+    """The rows in which some table has anything."""
+    return np.flatnonzero(np.any([t.any(axis=1) for t in tables], axis=0))
+
+
+def _narrow(t: np.ndarray) -> np.ndarray:
+    """t (no number of it is negative) as 32-bit integers if they hold it, else as 64-bit ones; _wide() reads both."""
+    return t.astype(np.int32 if t.max(initial=0) < 1 << 31 else np.int64)
+
+
+def _wide(t: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(t, np.int32 if len(t) == 4 * rows * width else np.int64).reshape(rows, width)
 
 
 @dataclass
@@ -310,11 +353,18 @@ def statistics(docs: DataFrame, most: int = HEAD) -> Statistics:
         if n > most:
             break
         least = r["grade"]
-    found = [] if least is None else counts.where(grade >= least).collect()
-    head = {bytes(r["word"]): r["c"] for r in sorted(found, key=lambda r: (-r["c"], bytes(r["word"])))}
-    end = counts.where(F.length("word") == 0).first()
-    head.setdefault(END, end["c"] if end else 0)
-    return Statistics(counts, tokens, distinct, list(head), np.array(list(head.values()), np.int64))
+    found = counts.where(F.lit(False) if least is None else grade >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    head, head_counts = found["word"].to_pylist(), found["c"].to_numpy()
+    if END not in head:
+        end = counts.where(F.length("word") == 0).first()
+        head, head_counts = [*head, END], np.append(head_counts, end["c"] if end else 0)
+    return Statistics(counts, tokens, distinct, head, head_counts.astype(np.int64))
+
+
+def _step(observed: np.ndarray, expected: np.ndarray, rate: float) -> np.ndarray:
+    """What a step adds to the table, damped by the larger of the two counts."""
+    expected = expected / GIVEN_PARTS
+    return rate * (observed - expected) / (np.maximum(observed, expected) + DAMP)
 
 
 def train(encoded: DataFrame, known: Statistics, steps: int = STEPS, rate: float = RATE) -> Model:
@@ -325,7 +375,7 @@ def train(encoded: DataFrame, known: Statistics, steps: int = STEPS, rate: float
     buckets = np.full(n + 1, -1, np.int64)
     buckets[: min(n, ANCHORS)] = [zlib.crc32(w) % BUCKETS for w in known.head[:ANCHORS]]
     company = _summed(rows, BUCKETS, ("company",), _Company(buckets))["company"][:n]
-    classes = np.full(n + 1, CLASSES - 1)
+    classes = np.full(n + 1, CLASSES - 1, np.uint8)
     classes[:n] = SINGLES + clusters(company, weight, CLUSTERS)
     classes[: min(n, SINGLES)] = np.arange(min(n, SINGLES))
     mass = np.bincount(classes[:n], weight, CLASSES)
@@ -336,10 +386,9 @@ def train(encoded: DataFrame, known: Statistics, steps: int = STEPS, rate: float
     within = np.append(np.log10((weight + 0.5) / (mass + 0.5 * size)[classes[:n]]), -np.log10(tail[0] + 0.5 * (tail[1] + 1)))
     model = Model(classes, within, bias.astype(np.float32), np.zeros((ROWS, CLASSES), np.float32))
     for step in range(steps):
-        part = rows.where(F.pmod(F.xxhash64("doc_id", F.size("ids")), F.lit(steps)) == step)
-        found = _summed(part, CLASSES, ("observed", "expected"), _Counts(model))
-        o, e = found["observed"].astype(float), found["expected"] / GIVEN_PARTS
-        model = Model(classes, within, model.bias, (model.table + rate * (o - e) / (np.maximum(o, e) + DAMP)).astype(np.float32))
+        part = rows.where(F.pmod(F.xxhash64("doc_id", (F.length("ids") / 4).cast("int")), F.lit(steps)) == step)
+        moved = _summed(part, CLASSES, ("observed", "expected"), _Counts(model), lambda o, e: _step(o, e, rate))["finished"]
+        model = Model(classes, within, model.bias, model.table + moved)
     return model
 
 
@@ -352,8 +401,7 @@ def scores(encoded: DataFrame, known: Statistics, model: Model) -> DataFrame:
         seen = known_counts > 0
 
         def work(batch):
-            column = batch.column("ids")
-            ids, sizes = np.asarray(column.flatten()), np.asarray(column.value_lengths())
+            ids, sizes = flat_ids(batch.column("ids"))
             first = np.cumsum(sizes) - sizes
             add = lambda v: np.add.reduceat(v, first) if len(first) else np.empty(0)
             own = {"n_tokens": sizes.astype(np.int64), "n_rare": add((ids == rare).astype(np.int64)), "n_head": add(seen[ids].astype(np.int64))}

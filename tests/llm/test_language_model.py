@@ -1,6 +1,7 @@
 """Language-model scores: exact shares by hand, a distribution that sums to one, gradients, and edges."""
 
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -122,6 +123,59 @@ def test_sums_of_tasks_do_not_depend_on_them(spark):
     assert (one["observed"] == many["observed"]).all() and abs(one["expected"] - many["expected"]).max() <= 7
 
 
+def test_driver_gets_one_table_of_a_step(spark):
+    """The step itself, not the counts that make it; the model goes out without what tasks can compute, and not a second time."""
+    known, encoded, model = _trained(spark, 20)
+    part = encoded.where(~F.col("held_out"))
+    sums = lm._summed(part, lm.CLASSES, ("observed", "expected"), lm._Counts(model))
+    found = lm._summed(part, lm.CLASSES, ("observed", "expected"), lm._Counts(model), lambda o, e: lm._step(o, e, 0.5))
+    assert list(found) == ["finished"] and found["finished"].dtype == np.float32 and found["finished"].any()
+    assert np.allclose(found["finished"], lm._step(sums["observed"], sums["expected"], 0.5), atol=1e-6)
+    large = lm.Model(np.zeros(lm.HEAD + 1, model.classes.dtype), np.zeros(lm.HEAD + 1), model.bias, model.table)
+    assert len(pickle.dumps(large)) < model.table.nbytes + 9 * lm.HEAD + 10_000
+    again = pickle.loads(pickle.dumps(model))
+    ids, sizes = np.arange(len(known.head)), np.array([len(known.head)])
+    assert (again.log_classes(ids, sizes) == model.log_classes(ids, sizes)).all()
+
+
+def test_ids_are_one_value_a_row(spark):
+    """Spark copies arrays number by number."""
+    encoded = lm.encode(spark.createDataFrame([(1, "a b c a", "r", 1, "h", "w"), (2, None, "r", 1, "h", "w")], SCHEMA), [b"a", b"", b"b"])
+    assert dict(encoded.dtypes)["ids"] == "binary"
+    table = encoded.orderBy("doc_id").toArrow()
+    ids, sizes = lm.flat_ids(table["ids"].combine_chunks())
+    assert ids.tolist() == [0, 2, 3, 0, 1, 1] and sizes.tolist() == [5, 1]
+    assert table["tail"].to_pylist() == [[b"c"], []] and table["tail_n"].to_pylist() == [[1], []]
+
+
+@pytest.mark.parametrize("same", (True, False))
+def test_gradient_adds_up_every_row_of_a_class(same):
+    """Against adding one by one; also where a whole chunk falls in one cell, the most that a sum of a chunk holds."""
+    rng = np.random.default_rng(3)
+    n = 2 * lm.CHUNK + 77
+    ids = np.zeros(n, np.int32) if same else rng.integers(0, 40, n).astype(np.int32)
+    bias = np.where(np.arange(lm.CLASSES) == 5, 0.0, -90.0) if same else rng.normal(0, 1, lm.CLASSES)
+    model = lm.Model(np.full(40, 5, np.uint8), np.zeros(40), bias.astype(np.float32), np.zeros((lm.ROWS, lm.CLASSES), np.float32))
+    sizes = np.array([n - 5, 0, 5])
+    found, right = ([np.zeros((lm.ROWS, lm.CLASSES), np.int64) for _ in range(2)] for _ in range(2))
+    model.gradient(ids, sizes, *found)
+    p = np.exp(np.float32(bias.astype(np.float32)))
+    p = np.rint(p * (lm.PARTS / lm._row_sums(p[None]))[:, None]).astype(np.int64)[0]
+    for r in model.rows(model.contexts(ids, sizes)):
+        np.add.at(right[0], (r, 5), 1)
+        np.add.at(right[1], r, np.broadcast_to(p, (n, lm.CLASSES)))
+    assert (found[0] == right[0]).all() and (abs(found[1] - right[1]).max(axis=1) <= found[0].sum(axis=1) * (not same)).all()
+    assert not same or found[1].max() > lm.CHUNK * lm.PARTS
+
+
+@pytest.mark.parametrize("most", (0, (1 << 31) - 1, 1 << 31, 1 << 40))
+def test_sums_take_32_bits_only_where_they_fit(most):
+    t = np.array([[0, most], [1, 2], [3, 4]])
+    stored = lm._narrow(t)
+    assert stored.itemsize == (4 if most < 1 << 31 else 8)
+    assert (lm._wide(stored.tobytes(), 3, 2) == t).all()
+
+
 def test_clusters_tell_languages_apart():
     rng = np.random.default_rng(2)
     company = np.concatenate([rng.poisson([9, 1, 5, 0], (50, 4)), rng.poisson([0, 8, 1, 6], (50, 4))])
